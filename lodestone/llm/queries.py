@@ -19,6 +19,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.warc import round_trip
+
+    records = round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"), least_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix
 
@@ -55,6 +68,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
+        "op2_near_dedup": op2_near_dedup,
         "op3_mixing": op3_mixing,
         "op4_token_counts": op4_token_counts,
         "op6_sharding": op6_sharding,
@@ -66,6 +81,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _KEY = "md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))"
 
 ORACLE_SQL = {
+    "op1_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, max(page_id) AS original FROM p GROUP BY h),
+b AS (SELECT page_id, octet_length(payload) AS payload_bytes, original, h FROM p JOIN o USING (h)),
+d AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda j:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST(('0x' || substr(h, CAST(g * 5 + 1 AS INT), 5)) AS BIGINT) >> (15 - 5 * j)) & 31 AS INT) + 1]), '')), '') AS digest FROM b)
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to FROM d""",
+    "op2_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.node = l.a),
+m AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
     "op3_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, {_KEY} AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
