@@ -45,6 +45,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.learned_partitions import search
+
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.sharding import shard
 
@@ -58,6 +64,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, least=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ngram_quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.token_files import read_token_files, write_token_files
 
@@ -66,15 +78,24 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, out)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_near_dedup": op2_near_dedup,
         "op3_mixing": op3_mixing,
         "op4_token_counts": op4_token_counts,
+        "op5_learned_partitions": op5_learned_partitions,
         "op6_sharding": op6_sharding,
         "op7_line_dedup": op7_line_dedup,
+        "op8_quality": op8_quality,
         "op9_token_files": op9_token_files,
+        "op10_decontamination": op10_decontamination,
     }
 
 

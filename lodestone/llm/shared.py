@@ -73,3 +73,16 @@ def word_count(text: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_rows(docs: DataFrame, decider) -> DataFrame:
+    """The rows of ``docs``, with all columns as they are, for which ``decider()(record batch)`` gives true."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        decide = decider()
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
