@@ -174,8 +174,8 @@ def _matches(items: Items, texts: list[str | None]):
     starts, of, inside = starts[order], of[order], inside[order]
     new = np.ones(len(starts), bool)
     new[1:] = (of[1:] != of[:-1]) | (inside[1:] != inside[:-1])
-    groups = np.flatnonzero(new)
-    for lo, hi in zip(groups, [*groups[1:], len(starts)], strict=True):
+    groups = np.append(np.flatnonzero(new), len(starts))
+    for lo, hi in zip(groups[:-1], groups[1:], strict=True):
         k, text = int(of[lo]), int(inside[lo])
         item = items.items[k][1]
         n, d = len(item), most_edits(len(item), items.share)
