@@ -61,7 +61,7 @@ def hash_bucket(digits: Column, buckets: int) -> Column:
     return F.floor(F.conv(F.substring(digits, 1, 4), 16, 10).cast("long") * F.lit(buckets) / F.lit(65536)).cast("long")
 
 
-def buckets_for(rows: int, rows_per_bucket: int = 50_000, least: int = 16) -> int:
+def buckets_for(rows: int, rows_per_bucket: int = 50_000, least: int = 256) -> int:
     """A power of two so that a uniform hash puts about ``rows_per_bucket`` rows in each range, at most 65536."""
     return min(65536, max(least, 1 << max(0, (max(rows, 1) // rows_per_bucket)).bit_length()))
 
