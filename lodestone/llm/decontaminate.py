@@ -20,6 +20,7 @@ from lodestone.llm.shared import keep_rows
 
 _WORD = re.compile(r"\w+")
 UNKNOWN, END = 0, 1
+SLICE = 5000  # texts searched together
 FOUND = "doc_id long, item_id long, distance int, item_words int, start_word long"
 
 
@@ -70,6 +71,10 @@ class Items:
         self.sampled = {n: 1 + int(np.log(len(k)) / np.log(256)) for n, k in self.by_length.items()}
         self.tables = {p: self._tables_for(recall, p) for p in set(self.sampled.values())}
         self.index = {n: self._index(n) for n in self.by_length}
+        self.own_words = {}
+        for n, of in self.by_length.items():
+            self.own_words[n] = np.zeros(len(self.vocabulary) + 2, np.int32)
+            self.own_words[n][np.concatenate([self.items[k][1] for k in of])] = 1
 
     def _tables_for(self, recall: float, sampled: int) -> int:
         """Tables needed: with p, the chance that all sampled places of one agree at the most edits, 1 - (1 - p) ** tables >= recall."""
@@ -113,13 +118,14 @@ class Items:
     def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows and items that share a key in some table: starts and item numbers.
 
-        A window within d edits of an item holds at least n - d of its words; windows that hold fewer words of the
-        benchmark's vocabulary are left out first, which loses none.
+        A window within d edits of an item holds at least n - d of its words, each at most as often as the item does.
+        Windows that hold fewer words of all items of their length are left out first, pairs that share fewer
+        words last; neither loses any.
         """
-        known = np.concatenate([[0], np.cumsum(symbols > END, dtype=np.int32)])
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for n, tables in self.index.items():
             need = n - most_edits(n, self.share)
+            known = np.concatenate([[0], np.cumsum(self.own_words[n][symbols], dtype=np.int32)])
             ends = np.minimum(np.arange(n, len(symbols) + n, dtype=np.int64), len(symbols)) if len(symbols) < n else None
             held = known[ends] - known[:-1] if ends is not None else np.concatenate([known[n:] - known[:-n], known[-1] - known[len(symbols) - n + 1 : -1]])
             starts = np.flatnonzero(held >= need)
@@ -143,7 +149,10 @@ class Items:
             for lo in range(0, len(at), 1 << 14):
                 some = at[lo : lo + (1 << 14)]
                 window = symbols[np.minimum(starts[some][:, None] + np.arange(len(item)), len(symbols) - 1)]
-                keep[some] = np.isin(window, item).sum(axis=1) >= len(item) - most_edits(len(item), self.share)
+                shared = np.zeros(len(some), np.int64)
+                for w, times in zip(*np.unique(item, return_counts=True), strict=True):
+                    shared += np.minimum((window == w).sum(axis=1), times)
+                keep[some] = shared >= len(item) - most_edits(len(item), self.share)
         return starts[keep], of[keep]
 
 
@@ -228,8 +237,8 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
 
     def search(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                ids, texts = batch["doc_id"].iloc[lo : lo + 2000].tolist(), batch["text"].iloc[lo : lo + 2000].tolist()
+            for lo in range(0, len(batch), SLICE):
+                ids, texts = batch["doc_id"].iloc[lo : lo + SLICE].tolist(), batch["text"].iloc[lo : lo + SLICE].tolist()
                 rows = [(None if ids[t] is None else int(ids[t]), held.value.items[k][0], d, len(held.value.items[k][1]), s) for t, k, d, s in _matches(held.value, texts)]
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_words", "start_word"])
                 yield out.astype({"doc_id": "Int64", "item_id": "int64", "distance": "int32", "item_words": "int32", "start_word": "int64"})
@@ -246,8 +255,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2,
             def decide(batch):
                 texts = batch.column("text").to_pylist()
                 keep = np.ones(len(texts), bool)
-                for lo in range(0, len(texts), 2000):
-                    for t, *_ in _matches(held.value, texts[lo : lo + 2000]):
+                for lo in range(0, len(texts), SLICE):
+                    for t, *_ in _matches(held.value, texts[lo : lo + SLICE]):
                         keep[lo + t] = False
                 return keep
 
