@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import concepts, evaluation, profile, retrieval, rules
+from lodestone.operators import concepts, evaluation, profile, retrieval, rules, topics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,3 +251,16 @@ def rrf_hybrid(spark, sf_dir):
     sparse = _bm25(spark, sf_dir, 50)
     other = r6(retrieval.dense(*_vectors(spark, sf_dir), 50), "score")
     return r6(retrieval.fuse_ranks([(sparse, 1.0), (other, 1.0)]), "score")
+
+
+_TOPIC_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+_WORD_ROWS = ", ".join(f"('{w}', '{d}', {i})" for i, (d, words) in enumerate(topics.DOMAINS.items()) for w in words.split())
+
+
+@query(f"""WITH c AS (SELECT table_name AS dataset, lower(column_name) AS name FROM information_schema.columns WHERE table_name IN {_TOPIC_TABLES}),
+p AS (SELECT dataset, unnest(list_append(string_split(replace(name, '-', '_'), '_'), name)) AS word FROM c), n AS (SELECT dataset, count(*) AS size FROM c GROUP BY dataset),
+k(word, domain, place) AS (VALUES {_WORD_ROWS}), f AS (SELECT dataset, domain, place, count(*) AS found FROM p JOIN k USING (word) GROUP BY ALL)
+SELECT dataset, domain, round(found / size, 6) AS score, row_number() OVER (PARTITION BY dataset ORDER BY found / size DESC, place) AS rank FROM f JOIN n USING (dataset)""")
+def topic_domains(spark, sf_dir):
+    names = [(name, f.name) for name in _TOPIC_TABLES for f in t(spark, sf_dir, name).schema.fields]
+    return r6(topics.domain_scores(spark.createDataFrame(names, "dataset string, column_name string")), "score")

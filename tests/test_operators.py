@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import concepts, evaluation, profile, retrieval, rules
+from lodestone.operators import concepts, evaluation, profile, retrieval, rules, topics
 from lodestone.sources import benchmarks
 from lodestone.streaming import usage
 
@@ -110,3 +110,11 @@ def test_cost_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("costs").collect()[0]["cost_usd"] == pytest.approx(2.5)
+
+
+def test_topics(spark):
+    c = spark.createDataFrame([("s", "Price"), ("s", "net-profit"), ("s", "zip"), ("s", "rent"), ("o", "foo"), ("n", None)], "dataset string, column_name string")
+    got = [(r["dataset"], r["domain"], r["score"]) for r in topics.domain_scores(c).orderBy("rank").collect()]
+    assert got == [("s", "real_estate", 1.0), ("s", "finance", 0.75)]
+    assert rows(topics.topics(c), "dataset") == [("n", "general", []), ("o", "general", []), ("s", "real_estate", ["Real Estate Data", "Finance Data"])]
+    assert topics.topics(c.limit(0)).count() == 0
