@@ -280,6 +280,17 @@ def test_quality_keeps_clean_and_drops_noise(spark):
     assert {tuple(r) for r in keep_quality(df, labels).collect()} == {r for r in rows if r[0] < 120}
 
 
+def test_quality_limits_are_quantiles(spark):
+    import numpy as np
+
+    from lodestone.llm import ngram_quality as Q
+
+    values = np.exp(np.arange(1000) / 1000)
+    scored = spark.createDataFrame([("en", 9, float(v)) for v in values], "lang string, n_symbols long, perplexity double")
+    low, high = Q._limits(spark, scored, {"en"}, (0.005, 0.995))["en"]
+    assert (np.sum(values < low), np.sum(values > high)) == (4, 5)
+
+
 def test_decontamination_against_all_places(spark):
     import numpy as np
 
