@@ -291,6 +291,22 @@ def test_quality_limits_are_quantiles(spark):
     assert (np.sum(values < low), np.sum(values > high)) == (4, 5)
 
 
+def test_quality_of_rare_languages(spark):
+    from lodestone.llm.ngram_quality import fit, quality
+
+    rng = random.Random(7)
+    words = {"en": ["the", "house", "river", "green", "walks", "stone", "under"], "es": ["casa", "verde", "piedra", "bajo", "camina", "la"], None: ["the", "casa", "stone"]}
+    clean = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(100)) + "."
+    rows = [(i, clean("en"), "en") for i in range(400)] + [(1000 + i, clean("es"), "es") for i in range(40)] + [(2000 + i, clean(None), None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for rare in (1, 2, 3):
+        labels = spark.createDataFrame([(i, 1, 0) for i in [*range(400), *range(1000, 1000 + rare), *range(2000, 2000 + rare)]], "doc_id long, quality int, toxic int")
+        tables, own, limits = fit(df, labels)
+        assert own == {"en"} and set(tables) == set(limits) == {"en", "*"}
+        scored = quality(df, labels)
+        assert {(r["low"], r["high"]) for r in scored.where("not lang <=> 'en'").select("low", "high").distinct().collect()} == {limits["*"]}
+
+
 def test_decontamination_against_all_places(spark):
     import numpy as np
 
