@@ -307,6 +307,22 @@ def test_quality_of_rare_languages(spark):
         assert {(r["low"], r["high"]) for r in scored.where("not lang <=> 'en'").select("low", "high").distinct().collect()} == {limits["*"]}
 
 
+def test_quality_sees_a_strange_word_in_prose():
+    import numpy as np
+
+    from lodestone.llm import ngram_quality as Q
+
+    nll = np.full(2000, 1.0)
+    letters = np.arange(2000) % 6 != 5
+    assert Q.worst(nll, letters) == pytest.approx((1.0, 1.0)) and Q.worst(nll[:0], letters[:0]) == (0.0, 0.0)
+    nll[600:605] = 6.0
+    word, stretch = Q.worst(nll, letters)
+    assert (word, stretch) == pytest.approx(((5 * 6 + 1) / 6, (64 + 25) / 64)) and nll.mean() < 1.02
+    limits = Q.Limits({"*": (1.0, 3.0)}, {"*": (1.0, 20.0)}, {"*": (1.0, 5.0)})
+    kept = limits.keep(np.full(3, 2.7), np.array([3.0, np.exp(word), 3.0]), np.array([3.0, 4.0, 6.0]), limits.of("xx"))
+    assert kept.tolist() == [True, False, False]
+
+
 def test_decontamination_against_all_places(spark):
     import numpy as np
 
