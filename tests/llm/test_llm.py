@@ -231,98 +231,6 @@ def test_cuckoo_filter_deletes():
     assert f.contains(keys[1000:2000]).all() and f.contains(keys[:1000]).mean() < 0.01
 
 
-def test_kneser_ney_against_plain(spark):
-    import math
-
-    import numpy as np
-
-    from lodestone.llm import ngram_quality as Q
-
-    texts = ["the cat sat on the mat.", "a cat, the hat\nand THE bat", "that cat!"]
-    counts, other = collections.Counter(), "the zebra"
-    for t in texts:
-        counts.update(Q.grams([t])[0].tolist())
-    wanted = set(counts) | set(Q.grams([other])[0].tolist())
-    df = spark.createDataFrame([("en", int(g), counts.get(g, 0)) for g in wanted], "lang string, g int, n long")
-    got = {r["g"]: r["logp"] for r in Q.scored_grams(df).collect()}
-    A, levels = Q.ALPHABET, {Q.ORDER: dict(counts)}
-    for k in range(Q.ORDER - 1, 0, -1):
-        levels[k] = collections.Counter(g % A**k for g in levels[k + 1])
-
-    def p(k, g):
-        if k == 0:
-            return 1 / A
-        c = levels[k]
-        n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
-        d = [max(0.0, i - (i + 1) * y * n[i] / n[i - 1]) for i in (1, 2, 3)] if all(n) else [0.5, 1.0, 1.5]
-        mine = {h: v for h, v in c.items() if h // A == g // A}
-        if not mine:
-            return p(k - 1, g % A ** (k - 1))
-        back = sum(d[min(v, 3) - 1] for v in mine.values())
-        own = max(0.0, mine[g] - d[min(mine[g], 3) - 1]) if g in mine else 0.0
-        return (own + back * p(k - 1, g % A ** (k - 1))) / sum(mine.values())
-
-    assert got == pytest.approx({g: math.log(p(Q.ORDER, g)) for g in wanted}, abs=1e-4)
-    assert np.array_equal(Q.grams(["ab", "", "c"])[1], [2, 0, 1])
-
-
-def test_quality_keeps_clean_and_drops_noise(spark):
-    from lodestone.llm.ngram_quality import keep_quality, quality
-
-    rng = random.Random(3)
-    clean = lambda: " ".join(rng.choice(["the", "house", "river", "green", "walks", "stone", "under"]) for _ in range(40)) + "."
-    rows = [(i, clean(), "en" if i % 2 else None, "s", 0) for i in range(120)] + [(200 + i, "#$%@ QZX!! || " * 20, "en", "s", 0) for i in range(5)] + [(300, None, "en", "s", 0), (301, "", "xx", "s", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"] for r in quality(df, labels).collect() if r["kept"]}
-    assert kept == set(range(120))
-    assert {tuple(r) for r in keep_quality(df, labels).collect()} == {r for r in rows if r[0] < 120}
-
-
-def test_quality_limits_are_quantiles(spark):
-    import numpy as np
-
-    from lodestone.llm import ngram_quality as Q
-
-    values = np.exp(np.arange(1000) / 1000)
-    scored = spark.createDataFrame([("en", 9, float(v)) for v in values], "lang string, n_symbols long, perplexity double")
-    low, high = Q._limits(spark, scored, {"en"}, (0.005, 0.995))["en"]
-    assert (np.sum(values < low), np.sum(values > high)) == (4, 5)
-
-
-def test_quality_of_rare_languages(spark):
-    from lodestone.llm.ngram_quality import fit, quality
-
-    rng = random.Random(7)
-    words = {"en": ["the", "house", "river", "green", "walks", "stone", "under"], "es": ["casa", "verde", "piedra", "bajo", "camina", "la"], None: ["the", "casa", "stone"]}
-    clean = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(100)) + "."
-    rows = [(i, clean("en"), "en") for i in range(400)] + [(1000 + i, clean("es"), "es") for i in range(40)] + [(2000 + i, clean(None), None) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for rare in (1, 2, 3):
-        labels = spark.createDataFrame([(i, 1, 0) for i in [*range(400), *range(1000, 1000 + rare), *range(2000, 2000 + rare)]], "doc_id long, quality int, toxic int")
-        tables, own, limits = fit(df, labels)
-        assert own == {"en"} and set(tables) == set(limits) == {"en", "*"}
-        scored = quality(df, labels)
-        assert {(r["low"], r["high"]) for r in scored.where("not lang <=> 'en'").select("low", "high").distinct().collect()} == {limits["*"]}
-
-
-def test_quality_sees_a_strange_word_in_prose():
-    import numpy as np
-
-    from lodestone.llm import ngram_quality as Q
-
-    nll = np.full(2000, 1.0)
-    letters = np.arange(2000) % 6 != 5
-    assert Q.worst(nll, letters) == pytest.approx((1.0, 1.0)) and Q.worst(nll[:0], letters[:0]) == (0.0, 0.0)
-    nll[600:605] = 6.0
-    word, stretch = Q.worst(nll, letters)
-    assert (word, stretch) == pytest.approx(((5 * 6 + 1) / 6, (64 + 25) / 64)) and nll.mean() < 1.02
-    limits = Q.Limits({"*": (1.0, 3.0)}, {"*": (1.0, 20.0)}, {"*": (1.0, 5.0)})
-    kept = limits.keep(np.full(3, 2.7), np.array([3.0, np.exp(word), 3.0]), np.array([3.0, 4.0, 6.0]), limits.of("xx"))
-    assert kept.tolist() == [True, False, False]
-
-
 def test_decontamination_against_all_places(spark):
     import numpy as np
 
