@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut
+from lodestone.llm.shared import cut, release
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Each round offers every node, and the node its label names, the labels of its neighbours, keeps the least offer, then
     replaces each label by its label's label. Label tables are written to the shared folder each round, which ends
-    the lineage. Joins are on plain tables, so adaptive execution can split a node with very many links.
+    the lineage, and those of the round before are deleted. Joins are on plain tables, so adaptive execution can split a node with very many links.
     """
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-edges")
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-labels")
@@ -27,7 +27,9 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         jumped = cut(hooked.join(up, hooked["label"] == F.col("up")).select("node", F.col("up_label").alias("label")), "cc-labels")
         old = labels.select("node", F.col("label").alias("old"))
         changed = jumped.join(old, "node").where("label <> old").limit(1).count()
+        release(labels, offers, hooked)
         labels = jumped
         if not changed:
+            release(edges)
             return labels
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

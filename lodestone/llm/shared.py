@@ -1,7 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in local tests,
-a folder under the local temporary directory is used.
+The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and Spark runs in one process, as in local
+tests, a folder under the local temporary directory is used. What ``cut`` writes stays until ``remove`` or ``release``
+is called; operators release the tables that their result doesn't read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -35,11 +38,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost executor costs no rerun."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote, once all that was made from them is written itself."""
+    for table in tables:
+        if table is not None and (path := getattr(table, "scratch_path", None)):
+            remove(table.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path of the shared folder once nothing reads it."""
+    """Delete a path of the shared folder once nothing reads it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
