@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import cut
+from lodestone.llm.shared import cut, release
 
 UNIVERSE_BITS = 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +73,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, size: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, fp_hi, fp_lo (hash of the word sequence; null without words), bands, sketch (a byte of each coordinate)."""
+    """doc_id, _text, n_shingles, fp (128-bit hash of the word sequence; null without words), bands, sketch (a byte of each coordinate)."""
 
     def make(batches):
         import xxhash
@@ -83,29 +83,32 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int, seed: int) -> Da
             for text in batch["text"]:
                 words = words_of(text)
                 if not words:
-                    out.append((0, None, None, None, None))
+                    out.append((0, None, None, None))
                     continue
                 hashes = shingle_hashes(words, size)
                 sig = signature(hashes, seed, bands * rows)
-                fp = xxhash.xxh3_128_intdigest(b" ".join(words))
-                hi, lo = (x - (1 << 64) if x >> 63 else x for x in (fp >> 64, fp & (2**64 - 1)))
-                out.append((len(hashes), hi, lo, band_keys(sig, bands), (sig & 255).astype(np.uint8).tobytes()))
-            n, hi, lo, keys, bits = zip(*out, strict=True) if out else ((),) * 5
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_shingles": n, "fp_hi": pd.array(hi, dtype="Int64"), "fp_lo": pd.array(lo, dtype="Int64"), "bands": keys, "sketch": bits})
+                out.append((len(hashes), xxhash.xxh3_128_digest(b" ".join(words)), band_keys(sig, bands), (sig & 255).astype(np.uint8).tobytes()))
+            n, fp, keys, bits = zip(*out, strict=True) if out else ((),) * 4
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "_text": batch["_text"], "n_shingles": n, "fp": fp, "bands": keys, "sketch": bits})
 
-    return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, n_shingles long, fp_hi long, fp_lo long, bands array<long>, sketch binary")
+    # doc_id travels as a string: pandas would turn a long column with nulls into doubles
+    keyed = docs.select(F.col("doc_id").cast("string"), "_text", "text")
+    made = keyed.mapInPandas(make, "doc_id string, _text long, n_shingles long, fp binary, bands array<long>, sketch binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """fp, shingles of texts (fp, text), in no order."""
+
     def make(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "shingles": [shingle_hashes(words_of(t), size) for t in batch["text"]]})
+            yield pd.DataFrame({"fp": batch["fp"], "shingles": [shingle_hashes(words_of(t), size) for t in batch["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(make, "doc_id long, shingles array<long>")
+    return docs.select("fp", "text").mapInPandas(make, "fp binary, shingles array<long>")
 
 
-def _agreeing(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose sketches agree in a share of ``least``."""
+def _agreeing(pairs: DataFrame, heads: DataFrame, least: float, share: float) -> DataFrame:
+    """Pairs (a, b) whose set sizes allow the similarity and whose sketches agree in a share of ``least``."""
 
     @F.pandas_udf("double")
     def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -114,40 +117,73 @@ def _agreeing(pairs: DataFrame, heads: DataFrame, least: float) -> DataFrame:
         left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
         return pd.Series((left == right).mean(axis=1))
 
-    a = heads.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    b = heads.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(b, "b").join(a, "a")
-    return near.where(agreement("sa", "sb") >= least).select("a", "b")
+    a = heads.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    b = heads.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    sized = pairs.join(b, "b").join(a, "a").where(F.least("na", "nb") >= F.greatest("na", "nb") * (share - 1e-9))
+    return sized.where(agreement("sa", "sb") >= least).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity, in whole numbers: 100 * intersection >= percent * union."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
+    a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("xa"))
+    b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("xb"))
     common = F.size(F.array_intersect("xa", "xb"))
     both = pairs.join(b, "b").join(a, "a").withColumn("common", common).withColumn("either", F.size("xa") + F.size("xb") - F.col("common"))
     return both.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def _met(rows: DataFrame, block: int, held: list[str]) -> DataFrame:
+    """Members of each bucket outside the component of its first member, met with all its members, block by block: key, i, j, outside, *held."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    others = F.sequence(F.lit(0), blocks - 1)
+    left = rows.where("label <> main").select("key", own.alias("i"), F.explode(others).alias("j"), F.lit(True).alias("outside"), *held)
+    right = rows.select("key", F.explode(others).alias("i"), own.alias("j"), F.lit(False).alias("outside"), *held)
+    return left.union(right)
+
+
+def _codes(x: pd.Series, y: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for labels, equal where the labels are: numpy would compare bytes without their trailing zeros."""
+    codes = pd.factorize(np.concatenate([x.to_numpy(object), y.to_numpy(object)]))[0]
+    return codes[: len(x)], codes[len(x) :]
+
+
+def _promising(rows: DataFrame, least: float, share: float) -> DataFrame:
+    """fp of members of open buckets that may be linked with a member of another component, by sizes and sketches alone."""
+
+    def compare(both: pd.DataFrame) -> pd.DataFrame:
+        x, y = both[both["outside"]], both[~both["outside"]]
+        found: set[bytes] = set()
+        if len(x) and len(y):
+            sx, sy = (np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1) for s in (x, y))
+            nx, ny = (s["n_shingles"].to_numpy() for s in (x, y))
+            lx, ly = _codes(x["label"], y["label"])
+            fx, fy = x["fp"].to_numpy(), y["fp"].to_numpy()
+            for p in range(len(x)):
+                at = np.flatnonzero((ly != lx[p]) & (np.minimum(ny, nx[p]) >= np.maximum(ny, nx[p]) * (share - 1e-9)))
+                at = at[(sy[at] == sx[p]).mean(axis=1) >= least]
+                if len(at):
+                    found.add(fx[p])
+                    found.update(fy[at])
+        return pd.DataFrame({"fp": list(found)}, dtype=object)
+
+    return _met(rows, 2048, ["fp", "label", "n_shingles", "sketch"]).groupBy("key", "i", "j").applyInPandas(compare, "fp binary").distinct()
+
+
 def _residue(rows: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
-    """Links that join components, among rows (key, doc_id, label, main, blocks, block, sketch, bands) of open buckets.
+    """Links that join components, among the rows of open buckets that are promising.
 
     Members outside the component of a bucket's first member are held against all members, block by block, so a task
     holds two blocks at a time. A pair is looked at in the first bucket that it shares, if its sketches agree, and decided
     on the full sets; of the links in a pair of blocks only those are yielded that join components not yet joined there.
     """
-    rows = rows.join(sets, "doc_id")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    held = ["doc_id", "label", "sketch", "bands", "shingles"]
-    left = rows.where("label <> main").select("key", F.col("block").alias("i"), F.explode(others).alias("j"), F.lit(True).alias("outside"), *held)
-    right = rows.select("key", F.explode(others).alias("i"), F.col("block").alias("j"), F.lit(False).alias("outside"), *held)
 
     def compare(key, both):
         found = []
         x, y = both[both["outside"]], both[~both["outside"]]
         if len(x) and len(y):
             (sx, sy), (bx, by) = ([np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1) for s in (x, y)], [np.stack(s["bands"].to_list()) for s in (x, y)])
-            ids, labels, own = y["doc_id"].to_numpy(), y["label"].to_numpy(), x["label"].to_numpy()
+            ids, (own, labels) = y["fp"].to_numpy(), _codes(x["label"], y["label"])
             full_y: dict[int, frozenset] = {}
             root: dict[int, int] = {}
 
@@ -169,21 +205,22 @@ def _residue(rows: DataFrame, sets: DataFrame, percent: int, least: float) -> Da
                     common = len(full & full_y[q])
                     if common * 100 >= (len(full) + len(full_y[q]) - common) * percent:
                         root[top(own[p])] = top(labels[q])
-                        found.append((x["doc_id"].iloc[p], ids[q]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                        found.append((x["fp"].iloc[p], ids[q]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
-    met = left.union(right).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = _met(rows.join(sets, "fp"), 512, ["fp", "label", "sketch", "bands", "shingles"])
+    return met.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def _open_buckets(buckets: DataFrame, heads: DataFrame, labels: DataFrame, block: int = 512) -> DataFrame:
+def _open_buckets(buckets: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets that hold three or more members in two or more components; the first round decided all others."""
-    of = labels.select(F.col("node").alias("doc_id"), "label")
-    labelled = cut(buckets.join(of, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "near-labelled")
-    still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "label"))["label"].alias("main"))
-    still = cut(still.where("n > 2 and low <> high").select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "near-open")
-    rows = labelled.join(still, "key").join(heads.select("doc_id", "sketch", "bands"), "doc_id")
-    return cut(rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "near-residue")
+    of = labels.select(F.col("node").alias("fp"), "label")
+    labelled = cut(buckets.join(of, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "near-labelled")
+    still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "label"))["label"].alias("main"))
+    still = cut(still.where("n > 2 and low <> high").select("key", "main", "n"), "near-open")
+    rows = cut(labelled.join(still, "key").join(heads, "fp"), "near-residue")
+    release(labelled, still)
+    return rows
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = 25, rows: int = 5, seed: int = 42, agreement: float | None = None) -> DataFrame:
@@ -195,43 +232,74 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
 
     1. Circulant MinHash: ``bands`` x ``rows`` coordinates from two permutations of 2**20 places. At the least similarity,
        25 bands of 5 miss a pair with a chance of about 4e-7.
-    2. Equal word sequences form classes; only the smallest doc_id of a class goes on. Rows that repeat a doc_id with
-       the same text fall in one class; a doc_id with different texts is refused, as ids name documents.
-    3. In each bucket all members are paired with its smallest doc_id. Pairs whose sizes and sketches allow it are
+    2. Equal word sequences form classes, known by their fingerprint; only one of each class goes on.
+    3. In each bucket all members are paired with its first. Pairs whose sizes and sketches allow it are
        decided on their full sets, and components are formed.
-    4. Buckets that then hold more than one component are compared in blocks across components, so no link that could
-       join two components is left out, while groups already joined are never expanded into pairs.
+    4. Buckets that then hold more than one component are compared in blocks across components, by sizes and sketches, then the members
+       that may be linked on their full sets, so no link that could join two components is left out, while groups already joined
+       are never expanded into pairs.
+
+    Rows that repeat a doc_id with the same text get the same values. A doc_id with several texts is several documents: each row
+    has the component of its own text. A row without doc_id is linked with nothing: its component_id is null, and it is kept.
+    An empty table gives no rows.
     """
+    out, _ = _components(docs, percent, size, bands, rows, seed, agreement)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps, and of rows that repeat doc_id and words one only."""
+    out, base = _components(docs, **options)
+    gone = cut(out.where("not kept").select(F.col("doc_id").alias("_id"), "_text").distinct(), "near-gone")
+    again = cut(base.where("doc_id is not null").groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), "_text"), "near-again")
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+    kept = keyed.join(gone, ["_id", "_text"], "left_anti")
+    if again.limit(1).count():
+        once = kept.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+        kept = kept.join(again, ["_id", "_text"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def _components(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = 25, rows: int = 5, seed: int = 42, agreement: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The result of ``near_duplicates`` with the hash ``_text`` of each row's text, and the table of all sketches."""
     share = percent / 100
     coordinates = bands * rows
     least = share - 6 * (share * (1 - share) / coordinates) ** 0.5 if agreement is None else agreement
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
     base = cut(sketches(docs, bands, rows, size, seed), "near-sketches")
-    worded = base.where("fp_hi is not null and doc_id is not null")
-    classes = cut(worded.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("head")), "near-classes")
-    heads = cut(worded.join(classes.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sketch"), "near-heads")
-    buckets = heads.select("doc_id", F.explode("bands").alias("key"))
-    firsts = cut(buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "near-firsts")
-    shared = buckets.join(firsts, "key").where("doc_id <> a")
-    pairs = cut(shared.select("a", F.col("doc_id").alias("b")).distinct(), "near-pairs")
-    near = cut(_agreeing(pairs, heads, least), "near-agreeing")
+    worded = base.where("fp is not null and doc_id is not null")
+    # one row of each class goes on; the class takes part under its fingerprint, its smallest doc_id is put in at the end
+    heads = cut(worded.groupBy("fp").agg(F.min(F.struct("doc_id", "_text", "n_shingles")).alias("h"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("fp", "h.*", "bands", "sketch"), "near-heads")
+    buckets = heads.select("fp", F.explode("bands").alias("key"))
+    firsts = cut(buckets.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "near-firsts")
+    pairs = cut(buckets.join(firsts, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "near-pairs")
+    near = cut(_agreeing(pairs, heads, least, share), "near-agreeing")
     crowded = cut(buckets.join(firsts.select("key"), "key"), "near-buckets")
-    sets = _sets(near.select(F.col("a").alias("doc_id")).union(near.select("b")), docs, size)
+    sets = _sets(near.select(F.col("a").alias("fp")).union(near.select("b")), heads, docs, size)
     links = cut(_linked(near, sets, percent), "near-links")
     labels = components(links)
-    rows = _open_buckets(crowded, heads, labels)
-    seen = sets.select("doc_id")
-    sets = sets.union(_sets(rows.select("doc_id").join(seen, "doc_id", "left_anti"), docs, size))
-    more = cut(_residue(rows, sets, percent, least), "near-more")
+    open_rows = _open_buckets(crowded, heads.select("fp", "n_shingles", "sketch", "bands"), labels)
+    release(firsts, pairs, near, crowded, links)
+    promising = cut(_promising(open_rows, least, share), "near-promising")
+    more_sets = _sets(promising.join(sets, "fp", "left_anti"), heads, docs, size)
+    more = cut(_residue(open_rows.join(promising, "fp", "left_semi"), sets.union(more_sets), percent, least), "near-more")
     if more.limit(1).count():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    of_head = classes.join(labels.select(F.col("node").alias("head"), "label"), "head", "left")
-    of_class = cut(of_head.select("fp_hi", "fp_lo", F.coalesce("label", "head").alias("component_id")), "near-components")
-    out = base.join(of_class, ["fp_hi", "fp_lo"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Shingle sets of the documents named, and of no others."""
-    texts = docs.join(cut(ids.distinct(), "near-needed"), "doc_id", "left_semi")
-    return cut(shingle_sets(texts, size).dropDuplicates(["doc_id"]), "near-sets")
+        joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+        release(labels)
+        labels = joined
+    release(open_rows, promising, sets, more_sets, more)
+    of_head = heads.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
+    named = of_head.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = cut(of_head.join(named, "label").select("fp", "component_id"), "near-components")
+    release(heads, labels)
+    out = base.join(of_class, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), base
+
+
+def _sets(classes: DataFrame, heads: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Shingle sets of the classes named, and of no others, each from the text of its first row."""
+    needed = cut(classes.distinct().join(heads.select("fp", "doc_id", "_text"), "fp"), "near-needed")
+    texts = docs.join(needed, ["doc_id", "_text"]).select("fp", "text")
+    sets = cut(shingle_sets(texts, size).dropDuplicates(["fp"]), "near-sets")
+    release(needed)
+    return sets
