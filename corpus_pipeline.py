@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import drop_contaminated
-from lodestone.llm.minhash import near_duplicates
-from lodestone.llm.mixing import mix
+from lodestone.llm.minhash import drop_near_duplicates
+from lodestone.llm.mixing import mixed_rows
 from lodestone.llm.ngram_quality import keep_quality
 from lodestone.llm.sharding import shard
 from lodestone.llm.shared import new_path, table
@@ -17,14 +17,13 @@ WEIGHTS, SHARE, MOST, SHARDS = (3, 1, 2), 1.5, 2.0, 16
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within the limits of their language; the model is trained on labelled trusted ones."""
+    """Documents whose perplexity, and that of their worst word, are within the limits of their language; the model is trained on labelled trusted ones."""
     return keep_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near-duplicates; rows without a doc_id stay."""
-    gone = near_duplicates(docs, percent=80, size=5, bands=32, rows=4).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document, the one with the smallest doc_id, of each group of near-duplicates, once; rows without a doc_id stay."""
+    return drop_near_duplicates(docs, percent=80, size=5, bands=32, rows=4).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, none more than twice; the same doc_id then has that many rows."""
-    taken = mix(docs, WEIGHTS, SHARE, MOST, whole_documents=True)
-    times = taken.select("doc_id", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("times"))
-    times = times.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """Whole documents as often as the mix takes them, none more than twice; a document then has that many rows."""
+    return mixed_rows(docs.select(*COLUMNS), WEIGHTS, SHARE, MOST)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

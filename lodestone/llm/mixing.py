@@ -35,8 +35,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, size: Column | None = None, whole_documents: bool = False) -> DataFrame:
-    """What a mix takes of each document: doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, size: Column | None = None, whole_documents: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """What a mix takes of each document: doc_id, source, size, source_size, target, taken, and the columns named in ``carry``.
 
     Documents of a source are in the order of a seeded hash of doc_id (ties: doc_id, size). With a budget B, its
     target rounded, and S its size, each is taken B div S times whole; then the order is walked and the first B mod S
@@ -44,11 +44,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     ``whole_documents`` it is taken whole if at least half of it lies before the cut.
 
     ``size``: words of the text by default (null: 0). Documents of size 0 are taken 0 times; a null source is a
-    source of its own, last in order. Repeated rows count each; reruns agree. An empty table gives no rows.
+    source of its own, last in order. Repeated rows, and rows that repeat a doc_id or have none, count each; reruns agree. An
+    empty table gives no rows.
     Ranges of the hash, uniform whatever the source, take the place of sampled range partitions: a source with a third
     of all rows is spread over all of them, and only a sum for each source and range is gathered.
     """
-    rows = docs.select("doc_id", "source", (word_count() if size is None else size).cast("long").alias("size"), ordered_hash("doc_id", seed).alias("key"))
+    rows = docs.select("doc_id", "source", *carry, (word_count() if size is None else size).cast("long").alias("size"), ordered_hash("doc_id", seed).alias("key"))
     rows = cut(rows, "mix")
     rows = rows.withColumn("range", hash_bucket(F.col("key"), buckets_for(rows.count())))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -66,5 +67,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return (
         placed.withColumns({"budget": budget, "epochs": epochs})
         .withColumn("left", left)
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+        .select("doc_id", "source", *carry, "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
     )
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as a mix of whole documents takes them.
+
+    A row is known by a hash of all its columns, so rows without doc_id, or that repeat one, keep their own counts.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    taken = mix(keyed, weights, share, most, seed, whole_documents=True, carry=["_row"])
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    counts = taken.select("_row", F.col("doc_id").alias("_id"), times.alias("times")).groupBy("_row", "_id").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+    counts = cut(counts.where("times > 0").withColumnRenamed("_row", "_r"), "mix-times")
+    same = (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = keyed.join(counts.where("rows = 1"), same)
+    if counts.where("rows > 1").limit(1).count():  # rows alike in all columns: one stands for all
+        again = keyed.join(counts.where("rows > 1"), same)
+        once = once.unionByName(again.dropDuplicates(["_row", "_id"]))
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)

@@ -34,7 +34,9 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
     the hash and so on) and row i of N, from 0, goes to shard i * shards div N. So shards differ by at most one row, and
     any stretch of the order, thus each shard, holds each source in proportion. ``slot`` counts a shard's rows from 0.
     size: UTF-8 bytes of the text plus 1 (null: 1). text_crc32: of the text's UTF-8 (null: 0). Repeated rows are
-    placed each; a null source is a source of its own; an empty table gives no rows.
+    placed each, also those that repeat a doc_id or have none; a null source is a source of its own; an empty table gives no rows.
+    Equal texts are rows like any other: the mixture of each shard needs them dealt like the rest, so a group of equal texts, which
+    may be a third of all rows, is spread over the shards.
     """
     rows = docs.select(
         "doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
