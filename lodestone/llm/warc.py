@@ -12,6 +12,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,7 +62,7 @@ def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to: the page whose record holds the payload, null where that is the page itself.
 
-    Of pages with equal payloads of ``least_bytes`` or more, the one with the largest page_id holds it. The table of
+    Of pages with equal payloads of ``least_bytes`` or more, the one with the largest page_id holds it; one without page_id does not, if another has one. The table of
     shared digests has no texts and is written first, so the join can split a payload that a third of all pages have.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -69,7 +70,7 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     shared = pages.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
     shared = cut(shared.where("n > 1").select(F.col("sha").alias("shared_sha"), "original"), "warc-shared")
     joined = pages.join(shared, F.col("sha") == F.col("shared_sha"), "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, out: str, archive_bytes: int = 1 << 30) -> DataFrame:
@@ -138,18 +139,28 @@ def index_of(manifest: DataFrame, root: str) -> DataFrame:
     return manifest.select("archive").mapInPandas(locate, "archive string, offset long, length long")
 
 
-def read_records(index: DataFrame, root: str, keep_payload: bool = True, together: int = 1 << 20) -> DataFrame:
-    """The records at the index' places, each task with its own stretch of places, near ones read in one range of up to ``together`` bytes."""
-    spread = index.withColumn("stretch", F.floor(F.col("offset") / (4 << 20))).repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+def read_records(index: DataFrame, root: str, keep_payload: bool = True, together: int = 1 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+    """The records at the index' places, each task with its own stretches of places, near ones read in one range of up to ``together`` bytes.
+
+    The number of tasks follows from the records' lengths, ``task_bytes`` each, as the index itself is small whatever they hold.
+    """
+    sc = index.sparkSession.sparkContext
+    tasks = max(sc.defaultParallelism, -(-(index.agg(F.sum("length")).collect()[0][0] or 0) // task_bytes))  # one row
+    spread = index.withColumn("stretch", F.floor(F.col("offset") / (1 << 20))).repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset")
 
     def read(batches):
         fs, base = uri_filesystem(root)
+        with ExitStack() as opened:
+            yield from read_all(batches, fs, base, opened)
+
+    def read_all(batches, fs, base, opened):
         name, f = None, None
         for batch in batches:
             out = []
             for archive, lo, blob in _ranges(batch, together):
                 if archive != name:
-                    name, f = archive, fs.open_input_file(f"{base}/{archive}")
+                    opened.close()
+                    name, f = archive, opened.enter_context(fs.open_input_file(f"{base}/{archive}"))
                 f.seek(lo)
                 held = f.read(blob[-1][1] - lo)
                 for begin, end in blob:
@@ -183,7 +194,8 @@ def round_trip(pages: DataFrame, out: str, least_bytes: int = 0, keep_payload: b
     """Write a record for each row of ``pages`` (page_id, url, html; others ignored) and read all archives back.
 
     A null html is an empty payload; a null url gives a record without a target. Rows that repeat a page_id each get a
-    record; those whose payload is held by their own page_id are responses. An empty table gives no archive and no rows.
+    record; those whose payload is held by their own page_id are responses. A null page_id holds a payload only if no other page has it.
+    Payloads of any length are one record each. An empty table gives no archive and no rows.
     """
     manifest = write_archives(with_originals(pages, least_bytes), out)
-    return read_records(index_of(manifest, out), out, keep_payload)
+    return read_records(cut(index_of(manifest, out), "warc-index"), out, keep_payload)
