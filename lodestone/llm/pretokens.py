@@ -2,14 +2,17 @@
 
 A byte-level BPE never merges across pre-tokens, and its pre-tokenizer always starts one at a space that a
 character other than white space follows. A text is therefore cut at such spaces and at single newlines, and each
-piece is looked up before the library is asked. Texts that hold two white-space characters in a row, white space at
-an end, or the string of an added token, go to the library whole.
+piece is looked up before the library is asked. Of a run of blanks, newlines and tabs all but the last one are a pre-token, and
+the last one, unless it is a blank, is another; a run that ends the text is one. Texts that hold other white space next to
+such a place, or the string of an added token, go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
+_RUN = re.compile(r"[ \n\t\r]{2,}|[\t\r]|^[ \n]|[ \n]\Z")
 _LAST_SAFE = "ɏ"  # up to here all Unicode versions agree on what is a letter
 _CLOSING = ".,;:!?"
 
@@ -96,8 +99,11 @@ class PretokenEncoder:
         return self.of_ids(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _of_piece(self, piece: str):
-        """piece: what followed a space; with a newline in front, what followed that; with '\\0' in front, the start of the text."""
+        """piece: what followed a space; with a newline in front, what followed that; with '\\0' in front, text without a space
+        before it; with '\\1' in front, white space that is a pre-token."""
         mark, body = piece[:1], piece
+        if mark == "\1":
+            return self.pretokens[piece[1:]]
         if mark in "\0\n":
             body = piece[1:]
         if not body or body[0].isspace() or body[-1].isspace():
@@ -115,11 +121,30 @@ class PretokenEncoder:
     def value(self, text: str | None):
         if not text:
             return self.total([])
-        if not self.cuttable or "\0" in text or any(a in text for a in self.added):
+        if not self.cuttable or "\0" in text or "\1" in text or any(a in text for a in self.added):
             return self.whole(text)
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\0" + pieces[0]
         try:
-            return self.total(list(map(self.pieces.__getitem__, pieces)))
+            return self.total(list(map(self.pieces.__getitem__, self._pieces(text))))
         except _Uncut:
             return self.whole(text)
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        """What followed spaces, newlines (marked) and the start (marked); runs of white space are marked as pre-tokens of their own."""
+        if _RUN.search(text) is None:
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\0" + pieces[0]
+            return pieces
+        out, at, lead = [], 0, "\0"
+        for run in [*_RUN.finditer(text), None]:
+            begin, end = run.span() if run else (len(text), len(text))
+            if begin > at:
+                pieces = text[at:begin].replace("\n", " \n").split(" ")
+                pieces[0] = lead + pieces[0]
+                out += pieces
+            if run:
+                head, tail = (run[0], "") if end == len(text) else (run[0][:-1], run[0][-1])
+                out += ["\1" + x for x in (head, tail.strip(" ")) if x]
+                lead = "" if tail == " " else "\0"
+                at = end
+        return out

@@ -29,7 +29,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 2_000, entri
             for batch in batches:
                 for text in batch["text"].dropna():
                     encoder.value(text)
-                    for word in text.split(" "):
+                    for word in text.replace("\n", " ").split(" "):
                         core = word.rstrip(".,;:!?")
                         if core.isalpha():
                             seen[" " + core] += 1
@@ -46,7 +46,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, cache_entries: i
     """Number of tokens of each text, as the tokenizers or sentencepiece library counts them without special tokens.
 
     Input: ``doc_id`` and ``text``; other columns are ignored. Output, a row for each input row (repeated rows
-    included): doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``). A null text counts as an empty one.
+    included): doc_id (null stays null), n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``). A null text counts as an empty one.
+    An empty table gives no rows.
     The first tier is a broadcast table of at most 32,768 frequent pre-tokens, the second a cache in each Python
     worker of at most ``cache_entries`` entries in each of two generations. Nothing is shuffled.
     ``path``: a .json file of tokenizers or a .model file of sentencepiece, readable at that path on all executors.
@@ -69,9 +70,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, cache_entries: i
             tokens = [value(t) if t is not None else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": tokens})
 
-    sized = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    out = sized.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    # doc_id travels as a string: pandas would turn a long column with nulls into doubles
+    sized = docs.select(F.col("doc_id").cast("string"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    out = sized.mapInPandas(count, "doc_id string, n_bytes long, n_tokens long")
+    return out.select(F.col("doc_id").cast("long"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _pieces(path: str):

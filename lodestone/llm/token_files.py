@@ -34,17 +34,18 @@ def _encoder(path: str, width: int, cache_entries: int) -> PretokenEncoder:
     return _encoders[key]
 
 
-def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0, parts: int | None = None, cache_entries: int = 250_000, part_tokens: int = 1 << 28) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0, parts: int | None = None, cache_entries: int = 250_000, part_tokens: int = 1 << 28, part_docs: int = 100_000) -> DataFrame:
     """Encode each text (null: empty), append ``end_id``, write the files below ``out`` and return the manifest.
 
     Rows are range-partitioned and sorted by (doc_id, hash of the text), so a doc_id that repeats does not gather in
-    one task; all rows are kept. A part that exceeds ``part_tokens`` ids is followed by another of the same task.
+    one task; all rows are kept. A part that exceeds ``part_tokens`` ids is followed by another of the same task. There are as
+    many tasks as shuffle partitions, or as ``part_docs`` rows each need. An empty table gives an empty manifest.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // part_docs), 1)
     end = np.array([end_id], "<u2" if width == 2 else "<u4").tobytes()
 
     def write(batches):
