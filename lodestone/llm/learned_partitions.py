@@ -1,18 +1,22 @@
 """Nearest neighbours by learned partitions: a balanced cut of a neighbour graph, and a classifier that routes vectors.
 
 Fitted on a bounded sample: its neighbour graph is cut into equal parts, and a small network learns which part a
-vector's neighbours are in. All vectors are then put in their most probable part, queries in several, and the vectors of
-those parts are ranked by their exact cosine.
+vector's neighbours are in. Where parts would be too large, each is cut again by a graph and a network of its own, fitted in a
+task for each part, so the number of parts grows with the vectors. All vectors are then put in their most probable part,
+queries in several, and the vectors of those parts are ranked by their exact cosine.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut, ordered_hash
+from lodestone.llm.shared import cut, ordered_hash, release
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -121,45 +125,101 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.dropDuplicates(["vec_id", "vector"])
 
 
-def search(vectors: DataFrame, is_query: str, k: int = 5, sample_rows: int = 4096, recall: float = 0.985, seed: int = 3, chunk: int = 4096, queries_at_once: int = 2048) -> DataFrame:
+class Tree:
+    """Routers by the number of their node in their level; a node without one has a single child."""
+
+    def __init__(self, fan: int):
+        self.fan, self.levels = fan, []
+
+    def add(self, routers: dict[int, tuple[Router | None, int]]) -> None:
+        self.levels.append(routers)
+
+    def route(self, x: np.ndarray, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``x`` and the leaves they are sent to: the most probable one, or all that the routers' probes reach."""
+        rows, nodes = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for routers in self.levels:
+            new_rows, new_nodes = [], []
+            for node in np.unique(nodes).tolist():
+                at = rows[nodes == node]
+                router, probes = routers.get(node, (None, 1))
+                if router is None:
+                    children = np.zeros((len(at), 1), np.int64)
+                else:
+                    children = np.argsort(-router.probabilities(x[at]), axis=1, kind="stable")[:, : 1 if best_only else probes]
+                new_rows.append(np.repeat(at, children.shape[1]))
+                new_nodes.append((node * self.fan + children).ravel())
+            rows, nodes = np.concatenate(new_rows), np.concatenate(new_nodes)
+        return rows, nodes
+
+
+def _levels_of(rows: int) -> int:
+    """How often a sample of so many rows can be halved; 128 rows a part tell enough."""
+    return max(0, int(math.log2(max(1, rows // 128))))
+
+
+def _routed(vectors: DataFrame, tree: Tree, best_only: bool) -> DataFrame:
+    """vec_id, vector, part: a row for each leaf that a vector is sent to."""
+    held = vectors.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                rows, leaves = held.value.route(unit(np.stack(batch["vector"].to_list())), best_only)
+                yield batch.iloc[rows].assign(part=leaves)
+
+    return vectors.select("vec_id", "vector").mapInPandas(run, "vec_id long, vector array<double>, part long")
+
+
+def learned_tree(vectors: DataFrame, sample_rows: int, recall: float, leaf_rows: int, seed: int) -> Tree:
+    """Routers down to parts of about ``leaf_rows`` vectors, each fitted on at most ``sample_rows`` vectors of its node."""
+    total = vectors.count()
+    rows = vectors.orderBy(ordered_hash("vec_id", seed), "vec_id").limit(sample_rows).toPandas()
+    levels = _levels_of(len(rows))
+    tree = Tree(1 << levels)
+    if not levels:
+        return tree
+    depth = max(1, math.ceil(math.log(max(1.0, total / leaf_rows)) / math.log(tree.fan) - 1e-9))
+    each = recall ** (1 / depth)
+    tree.add({0: fit(unit(np.stack(rows["vector"].to_list())), levels, 10, each, seed)})
+
+    def fit_node(key, batch):
+        sample = unit(np.stack(batch["vector"].to_list()))
+        own = _levels_of(len(sample))
+        made = fit(sample, min(levels, own), 10, each, seed) if own else (None, 1)
+        return pd.DataFrame({"node": [key[0]], "router": [pickle.dumps(made)]})
+
+    for _ in range(depth - 1):
+        placed = cut(_routed(vectors, tree, True), "ann-nodes")
+        first = Window.partitionBy("part").orderBy(ordered_hash("vec_id", seed), "vec_id")
+        some = placed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_rows)
+        fitted = cut(some.select("part", "vector").groupBy("part").applyInPandas(fit_node, "node long, router binary"), "ann-routers")
+        tree.add({r["node"]: pickle.loads(r["router"]) for r in fitted.toLocalIterator()})  # one for each part, of fixed size
+        release(placed, fitted)
+    return tree
+
+
+def search(vectors: DataFrame, is_query: str, k: int = 5, sample_rows: int = 4096, recall: float = 0.985, leaf_rows: int = 65_536, seed: int = 3, chunk: int = 4096, queries_at_once: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` (SQL over vec_id) selects, the ``k`` nearest found of all other rows.
 
     Nearness is the cosine in double precision on the vectors as they are; ties go to the smaller vec_id. Null, zero or
-    non-finite vectors, and those of another than the most common length, take no part. The index is fitted on
-    ``sample_rows`` vectors at most, those with the least hashes of vec_id, and holds every row. Of rows with the same vector
-    the k + 1 with the least vec_ids can be among the nearest, so only these go on; it loses none, and a vector that a
+    non-finite vectors, null vec_ids, and vectors of another than the most common length, take no part. Repeated rows count once. A vec_id with
+    several vectors takes part with each, and the best score of any of them counts. With fewer candidates than ``k`` all are
+    given; an empty table gives no rows. The index is fitted on
+    ``sample_rows`` vectors at most for each node of the tree, those with the least hashes of vec_id, and holds every row. Of rows with the same
+    vector the k + 1 with the least vec_ids can be among the nearest, so only these go on; it loses none, and a vector that a
     third of all rows have costs what one row does. A part's vectors are dealt into chunks, its queries into blocks, so
     no task holds a whole part.
     """
-    spark = vectors.sparkSession
     v = cut(usable(vectors), "ann-usable")
     first = Window.partitionBy("vector").orderBy("vec_id")
-    unlike = v.withColumn("same", F.row_number().over(first)).where(F.col("same") <= k + 1).drop("same")
-    rows = unlike.where("vec_id is not null").orderBy(ordered_hash("vec_id", seed), "vec_id").limit(sample_rows).toPandas()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if rows.empty:
-        return spark.createDataFrame([], schema)
-    sample = unit(np.stack(rows["vector"].to_list()))
-    levels = max(0, int(np.log2(max(1, len(sample) // 128))))
-    router, probes = fit(sample, levels, 10, recall, seed) if levels else (None, 1)
-    held = spark.sparkContext.broadcast(router)
-
-    def route(most: int):
-        def run(batches):
-            for batch in batches:
-                if len(batch):
-                    x = unit(np.stack(batch["vector"].to_list()))
-                    best = np.argsort(-held.value.probabilities(x), axis=1, kind="stable")[:, :most] if held.value else np.zeros((len(x), 1), np.int64)
-                    yield batch.assign(parts=list(best.astype(np.int32)))
-
-        return run
-
-    routed = "vec_id long, vector array<double>, parts array<int>"
-    homes = cut(unlike.mapInPandas(route(1), routed).select("vec_id", "vector", F.element_at("parts", 1).alias("part")), "ann-homes")
-    asked = cut(v.where(F.expr(is_query)).mapInPandas(route(probes), routed).select("vec_id", "vector", F.explode("parts").alias("part")), "ann-queries")
+    unlike = cut(v.withColumn("same", F.row_number().over(first)).where(F.col("same") <= k + 1).drop("same"), "ann-unlike")
+    tree = learned_tree(unlike, sample_rows, recall, leaf_rows, seed)
+    homes = cut(_routed(unlike, tree, True), "ann-homes")
+    asked = cut(_routed(v.where(F.expr(is_query)), tree, False), "ann-queries")
+    release(v, unlike)
     chunks = homes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     blocks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / queries_at_once).cast("int").alias("blocks"))
-    plan = F.broadcast(cut(chunks.join(blocks, "part"), "ann-plan"))  # a row for each part, 2 ** levels at most
+    plan = F.broadcast(cut(chunks.join(blocks, "part"), "ann-plan"))  # a row for each part
 
     def deal(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id"), F.col(own_n)).cast("int").alias(own)
@@ -187,5 +247,6 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, sample_rows: int = 409
 
     met = left.union(right).groupBy("part", "chunk", "block").applyInPandas(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order).cast("int"))
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(order).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
