@@ -11,6 +11,7 @@ a check of their size; beyond it the lines' keys are joined with the exact table
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.cuckoo import CuckooFilter
-from lodestone.llm.shared import cut
+from lodestone.llm.shared import cut, release
 
 FILTERS = "shard int, buckets long, filter binary"
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -47,6 +48,16 @@ def _longs(pairs) -> np.ndarray:
     return np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
 
 
+class LineState(NamedTuple):
+    """What line dedup knows of a corpus: exact counts, the filters of frequent keys, and what they were made with."""
+
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+    min_docs: int
+    least: int
+
+
 def reference_counts(docs: DataFrame, least: int = 1) -> DataFrame:
     """hi, lo, docs: for each line key of ``least`` code points or more, the number of documents (rows) that hold it."""
 
@@ -102,35 +113,56 @@ def updated_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min
             if len(moves):
                 made.delete(moves.loc[moves["now"] == -1, "hi"].to_numpy())
                 if not made.insert(moves.loc[moves["now"] == 1, "hi"].to_numpy()):
-                    raise RuntimeError("a filter is full: build the filters anew from the counts")
+                    return pd.DataFrame({"shard": [key[0]], "buckets": [0], "filter": [None]})  # full: made anew below
         return pd.DataFrame({"shard": [key[0]], "buckets": [made.buckets], "filter": [made.table.tobytes()]})
 
-    return filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, FILTERS)
+    changed = cut(filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, FILTERS), "line-filters")
+    full = changed.where("filter is null").select("shard")
+    if not full.limit(1).count():
+        return changed
+    anew = after.withColumn("_s", F.pmod("lo", F.lit(shards)).cast("int")).join(full, F.col("_s") == F.col("shard"), "left_semi").drop("_s")
+    return changed.where("filter is not null").unionByName(build_filters(anew, min_docs, shards))
+
+
+def line_state(docs: DataFrame, min_docs: int = 10, least: int = 1) -> LineState:
+    """The state of a corpus, written to the shared folder."""
+    counts = cut(reference_counts(docs, least), "line-counts")
+    shards = max(1, counts.where(F.col("docs") >= min_docs).count() // 50_000)
+    return LineState(counts, cut(build_filters(counts, min_docs, shards), "line-filters"), shards, min_docs, least)
+
+
+def updated_state(state: LineState, added: DataFrame | None = None, deleted: DataFrame | None = None) -> LineState:
+    """The state after documents came and went: counts are summed up, and only keys that crossed ``min_docs`` are inserted or deleted.
+
+    ``deleted`` holds the rows as they were added. Deleting what was added gives the state as it was before.
+    """
+    counts = cut(updated_counts(state.counts, added, deleted, state.least), "line-counts")
+    filters = cut(updated_filters(state.filters, state.counts, counts, state.min_docs, state.shards), "line-filters")
+    return state._replace(counts=counts, filters=filters)
 
 
 def _kept(text: str | None, drop: list[bool]) -> str:
     return "\n".join(line for line, gone in zip((text or "").split("\n"), drop, strict=True) if not gone)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, counts: DataFrame | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, state: LineState | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text, kept_sha256 for each row of ``docs`` (doc_id, text; others ignored).
 
     Lines are split at ``\\n`` only; a null or empty text is one empty line. A line whose key has ``least`` or more code
     points and is in ``min_docs`` or more documents goes, in every document and every time. Each row counts as a
-    document, also where rows or doc_ids repeat; within a row a key counts once. The rest is joined by ``\\n``; if
-    nothing is left the kept text is empty. ``counts``: the state to hold lines against, by default that of ``docs``.
+    document, also where rows or doc_ids repeat or are null; within a row a key counts once. The rest is joined by ``\\n``; if
+    nothing is left the kept text is empty. ``state``: the corpus to hold lines against, by default ``docs`` itself.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
-    counts = cut(reference_counts(docs, least) if counts is None else counts, "line-counts")
+    state = state or line_state(docs, min_docs, least)
+    counts, shards, min_docs, least = state.counts, state.shards, state.min_docs, state.least
     frequent = counts.where(F.col("docs") >= min_docs)
-    n = frequent.count()
-    shards = max(1, n // 50_000)
     docs = docs.select(F.col("doc_id").cast("string"), "text")
     schema = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
-    if n * 8 > broadcast_bytes:
+    if (state.filters.agg(F.sum(F.octet_length("filter"))).collect()[0][0] or 0) > broadcast_bytes:  # one row
         return _drop_by_join(docs, frequent, least, schema)
-    filters = cut(build_filters(counts, min_docs, shards), "line-filters")
-    held = {r["shard"]: (r["buckets"], bytes(r["filter"])) for r in filters.toLocalIterator()}
+    held = {r["shard"]: (r["buckets"], bytes(r["filter"])) for r in state.filters.toLocalIterator()}
     tables = spark.sparkContext.broadcast(held)
 
     def mistaken(batches):
@@ -140,20 +172,21 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, cou
             yield batch.loc[hit, ["hi", "lo"]]
 
     exceptions = cut(counts.where(F.col("docs") < min_docs).select("hi", "lo").mapInPandas(mistaken, "hi long, lo long"), "line-exceptions")
-    m = exceptions.count()
-    if m * 16 > broadcast_bytes:
+    if exceptions.count() * 16 > broadcast_bytes:
         return _drop_by_join(docs, frequent, least, schema)
-    wrong = spark.sparkContext.broadcast({(r["hi"], r["lo"]) for r in exceptions.toLocalIterator()})
+    wrong = spark.sparkContext.broadcast(_sorted_pairs(exceptions.toPandas()))  # two arrays of longs, bounded just above
+    release(exceptions)
 
     def drop(batches):
-        look, excepted = _Lookup(tables.value, shards), wrong.value
+        look = _Lookup(tables.value, shards)
         for batch in batches:
             hashed = [_hashed(t, least) for t in batch["text"]]
             flat = _longs([p or (0, 0) for h in hashed for p in h])
             hit = look.hits(flat[:, 0], flat[:, 1])
+            hit[hit] = ~_among(flat[hit], wrong.value)
             out, at = [], 0
             for doc_id, text, h in zip(batch["doc_id"], batch["text"], hashed, strict=True):
-                gone = [bool(hit[at + i]) and p is not None and (int(flat[at + i, 0]), int(flat[at + i, 1])) not in excepted for i, p in enumerate(h)]
+                gone = [bool(hit[at + i]) and p is not None for i, p in enumerate(h)]
                 at += len(h)
                 kept = _kept(text, gone)
                 out.append((None if doc_id is None else int(doc_id), len(h), sum(gone), kept, hashlib.sha256(kept.encode()).hexdigest()))
@@ -162,6 +195,22 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, cou
     return docs.mapInPandas(drop, schema)
 
 
+def _sorted_pairs(pairs: pd.DataFrame) -> np.ndarray:
+    """Pairs of longs as rows of bytes in sorted order."""
+    both = np.ascontiguousarray(pairs[["hi", "lo"]].to_numpy(np.int64)).view("V16").ravel()
+    return np.sort(both.view([("hi", "i8"), ("lo", "i8")]), order=["hi", "lo"])
+
+
+def _among(pairs: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """Which rows (hi, lo) are among the sorted pairs."""
+    out = np.zeros(len(pairs), bool)
+    if len(wrong):
+        first, last = np.searchsorted(wrong["hi"], pairs[:, 0], "left"), np.searchsorted(wrong["hi"], pairs[:, 0], "right")
+        for i in np.flatnonzero(last > first):
+            out[i] = pairs[i, 1] in wrong["lo"][first[i] : last[i]]
+    return out
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     doc_id, n_lines, n_dropped, kept, sha = zip(*rows, strict=True) if rows else ((),) * 5
     return pd.DataFrame({"doc_id": pd.array(doc_id, dtype="Int64"), "n_lines": n_lines, "n_dropped": n_dropped, "kept_text": kept, "kept_sha256": sha}).astype({"n_lines": "int64", "n_dropped": "int64"})
