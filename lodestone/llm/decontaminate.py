@@ -222,7 +222,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, lea
     An item of n words is in a document if some stretch of its words is within floor(n * ``share``) insertions, deletions and
     substitutions of words; distance is the least. Letter case and all that is not a word are ignored. Items of fewer
     than ``least_words`` words, or null, match nothing; null or empty documents hold nothing. All places of all texts are
-    searched. An item listed twice, or a row repeated, gives its rows each time. The benchmark goes to the tasks in
+    searched. An item listed twice, or a row repeated, gives its rows each time; a null item_id matches nothing, a null doc_id stays null.
+    Empty tables give no rows. The benchmark goes to the tasks in
     groups of at most ``group_bytes`` of text; with several groups the documents are read once for each.
     """
     found = None
@@ -239,11 +240,13 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), SLICE):
                 ids, texts = batch["doc_id"].iloc[lo : lo + SLICE].tolist(), batch["text"].iloc[lo : lo + SLICE].tolist()
-                rows = [(None if ids[t] is None else int(ids[t]), held.value.items[k][0], d, len(held.value.items[k][1]), s) for t, k, d, s in _matches(held.value, texts)]
+                rows = [(ids[t], held.value.items[k][0], d, len(held.value.items[k][1]), s) for t, k, d, s in _matches(held.value, texts)]
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_words", "start_word"])
-                yield out.astype({"doc_id": "Int64", "item_id": "int64", "distance": "int32", "item_words": "int32", "start_word": "int64"})
+                yield out.astype({"doc_id": object, "item_id": "int64", "distance": "int32", "item_words": "int32", "start_word": "int64"})
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(search, FOUND)
+    # doc_id travels as a string: pandas would turn a long column with nulls into doubles
+    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(search, FOUND.replace("doc_id long", "doc_id string"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 5, recall: float = 0.999, seed: int = 11, group_bytes: int = 8 << 20) -> DataFrame:

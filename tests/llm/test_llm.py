@@ -153,7 +153,7 @@ def test_pretokens_are_exact():
 
     e, rng = PretokenEncoder(tokenizer_path(), len, sum, limit=50), random.Random(2)
     for _ in range(3000):
-        s = "".join(rng.choice(" \n\t\x1c\x85\xa0 aAbé1'.,!<|endoftext|>ß日\0") for _ in range(rng.randrange(20)))
+        s = "".join(rng.choice("  \n\n\t\r\x1c\x85\xa0 aAbé1'.,!<|endoftext|>ß日\0") for _ in range(rng.randrange(20)))
         assert e.value(s) == len(e.tok.encode(s, add_special_tokens=False).ids), repr(s)
 
 
@@ -213,9 +213,6 @@ def test_line_dedup_both_ways_and_reversible(spark, docs):
         got = L.drop_frequent_lines(df, broadcast_bytes=most).collect()
         assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got} == want
     assert any(n for _, n, _ in want.values())
-    before, extra = L.reference_counts(df), df.limit(20)
-    after = L.updated_counts(L.updated_counts(before, added=extra), deleted=extra)
-    assert after.exceptAll(before).count() == 0 and before.exceptAll(after).count() == 0
     assert L.drop_frequent_lines(empty(spark)).count() == 0
 
 
