@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import cut, release
+from lodestone.llm.shared import cut, release, small
 
 UNIVERSE_BITS = 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -98,13 +98,16 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int, seed: int) -> Da
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """fp, shingles of texts (fp, text), in no order."""
+    """fp, shingles of each text."""
 
     def make(batches):
+        import xxhash
+
         for batch in batches:
-            yield pd.DataFrame({"fp": batch["fp"], "shingles": [shingle_hashes(words_of(t), size) for t in batch["text"]]})
+            words = [words_of(t) for t in batch["text"]]
+            yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "shingles": [shingle_hashes(w, size) for w in words]})
 
-    return docs.select("fp", "text").mapInPandas(make, "fp binary, shingles array<long>")
+    return docs.select("text").mapInPandas(make, "fp binary, shingles array<long>")
 
 
 def _agreeing(pairs: DataFrame, heads: DataFrame, least: float, share: float) -> DataFrame:
@@ -218,7 +221,7 @@ def _open_buckets(buckets: DataFrame, heads: DataFrame, labels: DataFrame) -> Da
     labelled = cut(buckets.join(of, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "near-labelled")
     still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "label"))["label"].alias("main"))
     still = cut(still.where("n > 2 and low <> high").select("key", "main", "n"), "near-open")
-    rows = cut(labelled.join(still, "key").join(heads, "fp"), "near-residue")
+    rows = cut(labelled.join(small(still), "key").join(heads, "fp"), "near-residue")
     release(labelled, still)
     return rows
 
@@ -253,7 +256,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     gone = cut(out.where("not kept").select(F.col("doc_id").alias("_id"), "_text").distinct(), "near-gone")
     again = cut(base.where("doc_id is not null").groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), "_text"), "near-again")
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
-    kept = keyed.join(gone, ["_id", "_text"], "left_anti")
+    kept = keyed.join(small(gone), ["_id", "_text"], "left_anti")
     if again.limit(1).count():
         once = kept.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
         kept = kept.join(again, ["_id", "_text"], "left_anti").unionByName(once)
@@ -298,8 +301,7 @@ def _components(docs: DataFrame, percent: int = 85, size: int = 5, bands: int =
 
 def _sets(classes: DataFrame, heads: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Shingle sets of the classes named, and of no others, each from the text of its first row."""
-    needed = cut(classes.distinct().join(heads.select("fp", "doc_id", "_text"), "fp"), "near-needed")
-    texts = docs.join(needed, ["doc_id", "_text"]).select("fp", "text")
-    sets = cut(shingle_sets(texts, size).dropDuplicates(["fp"]), "near-sets")
+    needed = cut(classes.distinct().join(heads.select("fp", "doc_id", "_text"), "fp").select("doc_id", "_text"), "near-needed")
+    sets = cut(shingle_sets(docs.join(small(needed), ["doc_id", "_text"], "left_semi"), size).dropDuplicates(["fp"]), "near-sets")
     release(needed)
     return sets

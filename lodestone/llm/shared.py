@@ -43,6 +43,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def small(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few short columns, marked for broadcast if it has ``most_rows`` at most; beyond that joins shuffle."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` wrote, once all that was made from them is written itself."""
     for table in tables:
