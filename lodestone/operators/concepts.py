@@ -77,7 +77,9 @@ def match_columns(columns: DataFrame, concepts: DataFrame, aliases: DataFrame, l
     rest = exact.where("concept_id is null and alias_id is null").select("column_name", "norm")
     pool = names.select("norm", "concept_id", F.lit(0).alias("level")).union(other.select("norm", F.col("alias_id"), F.lit(1))).select(F.col("norm").alias("other"), "concept_id", "level")
     both: Column = F.length("norm") + F.length("other")
-    near = rest.join(pool, (F.abs(F.length("norm") - F.length("other")) * 20 <= both) & (F.levenshtein("norm", "other") * 20 <= both))
+    # a ratio of least % leaves (100 - least) % of both lengths to insertions and deletions, and no distance is larger
+    edits = both * (1 - least / 100) + 1e-9
+    near = rest.join(pool, (F.abs(F.length("norm") - F.length("other")) <= edits) & (F.levenshtein("norm", "other") <= edits))
     scored = near.withColumn("score", indel_ratio(F.col("norm"), F.col("other"))).where(F.col("score") >= least)
     best = Window.partitionBy("column_name").orderBy("level", F.desc("score"), "concept_id")
     fuzzy = scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("column_name", "concept_id", F.lit("fuzzy").alias("method"), "score")

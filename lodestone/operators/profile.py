@@ -51,14 +51,15 @@ def _present(name: str, kind: T.DataType) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
 
 
-def profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """A row for each column: counts, distinct values, moments, quartiles, shape, type and constraints.
 
-    All columns are aggregated in one pass with partial sums. ``exact_distinct=False`` counts distinct values by a sketch
-    and quartiles by a summary, which a table of many columns and rows needs.
+    All columns are aggregated in one pass with partial sums; distinct values by a sketch (1 % off) and quartiles by a summary, both of
+    bounded size. ``exact`` counts the distinct values of each column in a pass of its own, and gets the quartiles from all
+    distinct values, which must then fit in memory.
     """
     fields = df.schema.fields
-    quartiles = (lambda c: F.percentile(c, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))) if exact_distinct else (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10000))
+    quartiles = (lambda c: F.percentile(c, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10000))
     structs = []
     for f in fields:
         kind, c = data_type(f.dataType), _present(f.name, f.dataType)
@@ -68,15 +69,15 @@ def profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
         structs.append(F.struct(
             F.lit(f.name).alias("column_name"), F.lit(kind).alias("data_type"),
             F.count(F.lit(1)).alias("total_count"), (F.count(F.lit(1)) - F.count(c)).alias("null_count"),
-            (F.lit(None).cast("long") if exact_distinct else F.approx_count_distinct(c, 0.01)).alias("unique_count"),
+            (F.lit(None).cast("long") if exact else F.approx_count_distinct(c, 0.01)).alias("unique_count"),
             number(F.avg).alias("mean"), number(F.stddev_samp).alias("std"), number(F.min).alias("min"), number(F.max).alias("max"),
             number(F.skewness).alias("g1"), number(F.kurtosis).alias("g2"), q.alias("q"),
             (F.avg(F.length(c)) if kind == "string" else F.lit(None).cast("double")).alias("avg_length"),
         ))
     rows = df.agg(*[s.alias(f"c{i}") for i, s in enumerate(structs)]).select(F.inline(F.array(*[f"c{i}" for i in range(len(fields))])))
-    if exact_distinct:  # one shuffle of distinct (column, value) instead of a copy of each row for each column
-        present = df.select(*[_present(f.name, f.dataType).alias(f.name) for f in fields])
-        unique = long_form(present, df.columns).where("value is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
+    if exact:  # each pass reads one column and shuffles its distinct values only
+        one = lambda f: df.select(_present(f.name, f.dataType).alias("v")).where("v is not null").distinct().agg(F.lit(f.name).alias("column_name"), F.count(F.lit(1)).alias("n_unique"))
+        unique = reduce(DataFrame.union, [one(f) for f in fields])
         rows = rows.join(unique, "column_name", "left").withColumn("unique_count", F.coalesce("n_unique", F.lit(0)))
     meaning = F.coalesce(*[F.when(F.col("column_name") == f.name, semantic_type(f.name, data_type(f.dataType))) for f in fields])
     n = F.col("total_count") - F.col("null_count")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,42 +14,76 @@ from lodestone.functions.text import search_tokens
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
-    """doc_id, term, tf, dl of documents (doc_id, text) that have text."""
-    split = docs.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id", tokens(F.col("text")).alias("t"))
-    return split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def tokenized(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
+    """doc_id, t (tokens) of documents (doc_id, text) that have text."""
+    return docs.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id", tokens(F.col("text")).alias("t"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
-    """query_id, doc_id, score, rank for all queries (query_id, text) at once; only documents with a score above 0.
+def corpus_figures(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
+    """n, avgdl of documents with tokens: one row."""
+    return tokenized(docs, tokens).where(F.size("t") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
 
-    Postings are joined with the terms of the queries before anything is summed, so what is shuffled by (query, document) is
-    what matches. Corpus figures are a single row. Words that repeat in a query count each time.
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = search_tokens, least: float = 0.0) -> DataFrame:
+    """query_id, doc_id, score, rank for all queries (query_id, text) at once; only documents with a score above ``least``.
+
+    Tokens of documents meet the distinct terms of the queries, which Spark broadcasts if their size allows, before they are grouped, so only
+    what matches is shuffled. Corpus figures are a single row. Words that repeat in a query count each time.
     """
-    p = postings(docs, tokens)
-    stats = p.groupBy("doc_id", "dl").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = p.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    split = tokenized(docs, tokens).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    p = split.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = p.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_figures(docs, tokens)))  # one row
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > least)
     return top(scores, k)
 
 
+def index_statistics(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
+    """documents, avg_doc_length, vocabulary: one row."""
+    terms = tokenized(docs, tokens).select(F.explode("t").alias("term")).distinct().agg(F.count(F.lit(1)).alias("vocabulary"))
+    return corpus_figures(docs, tokens).crossJoin(F.broadcast(terms)).select(F.col("n").alias("documents"), F.col("avgdl").alias("avg_doc_length"), "vocabulary")  # one row each
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank by cosine, for a stated set of queries that is small: (query_id, vector) is broadcast if Spark's size check allows it."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    v = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("v"))
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scores = v.join(q, F.size("v") == F.size("q")).select("query_id", "doc_id", F.try_divide(dot, norm("v") * norm("q")).alias("score")).where("score is not null")
-    return top(scores, k)
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024, chunk: int = 65_536) -> DataFrame:
+    """query_id, doc_id, score, rank by cosine: the ``k`` nearest vectors (doc_id, vector) of each query (query_id, vector), all vectors searched.
+
+    Queries are dealt into blocks and vectors into chunks of bounded size; each meets each once, and the k best of a query in
+    a chunk go on. Null, empty and zero vectors, and vectors of another length than the query's, are not near anything.
+    """
+    v = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("v")).where("size(v) > 0")
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("size(v) > 0")
+    blocks, chunks = (max(1, -(-x.count() // size)) for x, size in ((q, block), (v, chunk)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("query_id", "v", deal("query_id", blocks).alias("block"), every(chunks).alias("chunk"), F.size("v").alias("d"))
+    right = v.select("doc_id", "v", deal("doc_id", chunks).alias("chunk"), every(blocks).alias("block"), F.size("v").alias("d"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema.fields, *v.schema.fields]}
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(held):
+            x, y = np.stack(asked["v"].to_list()), np.stack(held["v"].to_list())
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
+            scores = np.where(np.isfinite(scores), scores, -np.inf)
+            ids, take = held["doc_id"].to_numpy(), min(k, len(held))
+            for query_id, row in zip(asked["query_id"], scores, strict=True):
+                least = np.partition(row, len(row) - take)[len(row) - take]
+                at = np.flatnonzero((row >= least - 1e-8) & (row > -np.inf))
+                best = sorted(zip(-np.round(row[at], 9), ids[at], row[at], strict=True))[:k]
+                found += [(query_id, doc_id, float(score)) for _, doc_id, score in best]
+        return pd.DataFrame(found, columns=["query_id", "doc_id", "score"])
+
+    met = left.groupBy("d", "block", "chunk").cogroup(right.groupBy("d", "block", "chunk")).applyInPandas(nearest, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return top(met, k)
 
 
 def fuse_ranks(runs: list[tuple[DataFrame, float]], k: int = 10, constant: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Patterns of names that need no look-up, abbreviations, generic words and plain words.
@@ -24,6 +24,9 @@ CLARITY = {"datetime": 0.40, "date": 0.40, "time": 0.35, "email": 0.40, "url": 0
 #: Dollars for a million tokens, in and out; other models count 1 and 3.
 PRICES = {"gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60), "gpt-4-turbo": (10.00, 30.00), "gpt-3.5-turbo": (0.50, 1.50), "claude-opus-4": (15.00, 75.00), "claude-sonnet-4": (3.00, 15.00), "claude-haiku-4": (0.25, 1.25)}
 
+#: Models that count as dear.
+EXPENSIVE = ["gpt-4o", "gpt-4-turbo", "claude-opus-4"]
+
 
 def classify_columns(columns: DataFrame) -> DataFrame:
     """column_name, problem, confidence from the name, and where given unique_ratio and code_share (share of entity codes in samples)."""
@@ -69,11 +72,64 @@ def with_cost(calls: DataFrame) -> DataFrame:
 def cost_summary(calls: DataFrame) -> DataFrame:
     """component, model, calls, tokens, cost, hit rate: by component, by model, and over all (nulls), in one pass."""
     c = with_cost(calls)
-    c.createOrReplaceTempView("lodestone_calls")
-    return c.sparkSession.sql("""SELECT component, model, count(*) AS calls, sum(input_tokens + output_tokens) AS tokens, sum(cost_usd) AS cost_usd,
-        avg(CASE WHEN cached THEN 1.0D ELSE 0.0D END) AS hit_rate FROM lodestone_calls GROUP BY GROUPING SETS ((component), (model), ())""")
+    figures = [F.count(F.lit(1)).alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost_usd").alias("cost_usd"), F.avg(F.when(F.col("cached"), 1.0).otherwise(0.0)).alias("hit_rate")]
+    return c.groupingSets([[F.col("component")], [F.col("model")], []], "component", "model").agg(*figures)
+
+
+def recommendations(summary: DataFrame) -> DataFrame:
+    """component, model, advice from a cost summary: few cache hits, dear models, long prompts, and a component with most of the cost."""
+    whole = summary.where("component is null and model is null").select(F.col("calls").alias("all_calls"), F.col("tokens").alias("all_tokens"), F.col("cost_usd").alias("all_cost"), F.col("hit_rate").alias("all_hits"))
+    s = summary.crossJoin(F.broadcast(whole))  # one row
+    total = F.col("component").isNull() & F.col("model").isNull()
+    advice = F.array_compact(F.array(
+        F.when(total & (F.col("all_hits") < 0.3) & (F.col("all_calls") > 10), "low cache hit rate"),
+        F.when(total & (F.col("all_tokens") > 3000 * F.col("all_calls")), "high average tokens per call"),
+        F.when(F.col("model").isin(*EXPENSIVE) & (F.col("calls") > 5), "consider a cheaper model"),
+        F.when((F.col("component") == "semantic_profiler") & (F.col("cost_usd") > F.col("all_cost") * 0.5), "use batch processing"),
+    ))
+    return s.select("component", "model", F.explode(advice).alias("advice"))
 
 
 def unexpired(entries: DataFrame, now: Column, hours: float) -> DataFrame:
     """Cache entries no older than ``hours``."""
     return entries.where(F.col("ts").cast("timestamp").cast("double") >= now.cast("timestamp").cast("double") - hours * 3600)
+
+
+def need_graph(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns to look up in the graph, and columns to skip."""
+    return classified.where("query_kg"), classified.where("not query_kg")
+
+
+def injected(matches: DataFrame, routed: DataFrame) -> DataFrame:
+    """Of the matches (column_name, concept, score) of each column as many of the best as its route allows."""
+    w = Window.partitionBy("column_name").orderBy(F.desc("score"), "concept")
+    ranked = matches.join(routed.select("column_name", "max_concepts"), "column_name").withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= F.col("max_concepts")).drop("max_concepts")
+
+
+def cache_key(*parts: Column) -> Column:
+    """The key of a cache entry: the MD5 of its parts."""
+    return F.md5(F.concat_ws("\x1f", *parts))
+
+
+def put(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries (key, value, ts) with new ones in the place of older ones with their key."""
+    return entries.unionByName(new).groupBy("key").agg(F.max_by(F.struct("value", "ts"), F.struct("ts", "value")).alias("e")).select("key", "e.*")
+
+
+def evicted(entries: DataFrame, most_bytes: int, share: float = 0.2) -> DataFrame:
+    """Entries (key, value, ts) without the oldest if all together are larger than ``most_bytes``: up to the time at which a fifth, one at least, is reached.
+
+    That time comes from a summary of bounded size, so entries are never sorted in one task.
+    """
+    size, n = entries.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)), F.count(F.lit(1))).collect()[0]  # one row
+    if size <= most_bytes:
+        return entries
+    last = entries.agg(F.percentile_approx("ts", max(share, 1 / n), 1_000_000).alias("last"))
+    return entries.crossJoin(F.broadcast(last)).where(F.col("ts") > F.col("last")).drop("last")  # one row
+
+
+def cache_statistics(accesses: DataFrame) -> DataFrame:
+    """cache, hits, misses, hit_rate from accesses (cache, hit)."""
+    a = accesses.groupBy("cache").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return a.withColumn("hit_rate", F.col("hits") / (F.col("hits") + F.col("misses")))

@@ -42,7 +42,7 @@ LINEITEM = {"l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integ
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS data_type, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q25, round(median(CAST({c} AS DOUBLE)), 4) AS median, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q75 FROM lineitem" for c, k in LINEITEM.items()))
 def profile_basic_lineitem(spark, sf_dir):
-    p = profile.profile(t(spark, sf_dir, "lineitem").select(*LINEITEM))
+    p = profile.profile(t(spark, sf_dir, "lineitem").select(*LINEITEM), exact=True)
     return rounded(4, p.select("column_name", "data_type", "total_count", "null_count", "unique_count", "mean", "std", "min", "max", "q25", "median", "q75"), "mean", "std", "q25", "median", "q75")
 
 
@@ -51,9 +51,17 @@ def profile_moments(spark, sf_dir):
     return r6(profile.profile(t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")).select("column_name", "skewness", "kurtosis"), "skewness", "kurtosis")
 
 
-@query()
+_MOMENTS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS kind, CAST(count({c}) AS DOUBLE) AS n, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, skewness({c}) AS s1, kurtosis({c}) AS s2, kurtosis_pop({c}) AS g2, skewness({c}) * (count({c}) - 2) / sqrt(CAST(count({c}) AS DOUBLE) * (count({c}) - 1)) AS g1 FROM {tb}" for c, k, tb in (("value", "float", "events"), ("p_retailprice", "float", "part"), ("p_size", "integer", "part")))
+
+
+@query(f"""WITH m AS ({_MOMENTS}), a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y0, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2, 3 * (n - 1) / (n + 1) AS e, 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)) AS v,
+6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM m), b AS (SELECT *, asinh((CASE WHEN y0 = 0 THEN 1 ELSE y0 END) / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS aa, (g2 + 3 - e) / sqrt(v) AS x FROM a),
+c AS (SELECT *, 1 + x * sqrt(2 / (aa - 4)) AS d FROM b), k AS (SELECT *, z1 * z1 + power(((1 - 2 / (9 * aa)) - sign(d) * cbrt((1 - 2 / aa) / abs(d))) / sqrt(2 / (9 * aa)), 2) AS k2 FROM c)
+SELECT column_name, CASE WHEN n < 8 THEN 'insufficient_data' WHEN k2 < -2 * ln(0.05) THEN 'gaussian' WHEN abs(s1) < 0.5 AND s2 < -1 THEN 'uniform' WHEN abs(s1) > 2 THEN 'zipf_like' WHEN s2 < -0.5 AND abs(s1) < 1 THEN 'bimodal' WHEN s1 > 1 THEN 'skewed_right' WHEN s1 < -1 THEN 'skewed_left' ELSE 'non_gaussian' END AS distribution_type,
+CASE WHEN lo >= 0 AND hi <= 1 THEN 'ratio_or_probability' WHEN lo >= 0 AND hi <= 100 THEN 'possible_percentage' WHEN lo < 0 THEN 'signed_value_profit_loss_or_delta' WHEN kind = 'integer' AND hi > 1000000 THEN 'large_positive_possibly_monetary' WHEN kind = 'integer' AND hi > 100 THEN 'positive_integer_possibly_count' WHEN hi > 10000 THEN 'large_positive_possibly_monetary' END AS value_range_semantics,
+CASE column_name WHEN 'p_retailprice' THEN 'metric' ELSE 'numerical' END AS semantic_type FROM k""")
 def profile_distribution(spark, sf_dir):
-    p = profile.profile(t(spark, sf_dir, "events").select("value")).union(profile.profile(t(spark, sf_dir, "part").select("p_retailprice", "p_size")).select("*"))
+    p = profile.profile(t(spark, sf_dir, "events").select("value")).union(profile.profile(t(spark, sf_dir, "part").select("p_retailprice", "p_size")))
     return p.select("column_name", "distribution_type", "value_range_semantics", "semantic_type")
 
 
@@ -70,7 +78,7 @@ SELECT 'c_custkey' AS column_name, count(*) AS total, count(DISTINCT c_custkey)
 UNION ALL SELECT 'c_nationkey', count(*), count(DISTINCT c_nationkey), min(c_nationkey) FROM customer
 UNION ALL SELECT 'c_acctbal', count(*), count(DISTINCT c_acctbal), min(c_acctbal) FROM customer) GROUP BY column_name""")
 def profile_constraints(spark, sf_dir):
-    return profile.profile(t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")).select("column_name", "unique_values", "non_negative", "positive")
+    return profile.profile(t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), exact=True).select("column_name", "unique_values", "non_negative", "positive")
 
 
 def _fd(table: str, a: str, b: str) -> str:
@@ -121,19 +129,12 @@ def kg_keyword_search(spark, sf_dir):
     return concepts.keyword_search(parts, "an")
 
 
-@query("SELECT c_custkey AS id, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("""WITH n AS (SELECT o_custkey AS id, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1),
+o AS (SELECT o_custkey AS id, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS priority FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1) SELECT coalesce(n.id, o.id) AS id, coalesce(n.priority, o.priority) AS priority FROM n FULL JOIN o ON n.id = o.id""")
 def kg_upsert(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = o.select(F.col("c_custkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
-    return concepts.upsert(rows.limit(0), rows, ["id"])
-
-
-@query()
-def match_cascade(spark, sf_dir):
-    columns = spark.createDataFrame([(c,) for c in ("United States", "CHINA", "the united kingdom of great britain isles", "nothing like it")], "column_name string")
-    known = t(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.col("n_name").alias("display_name"))
-    known = known.union(spark.createDataFrame([("uk", "the united kingdom of great britain isle")], "id string, display_name string"))
-    return concepts.match_columns(columns, known, spark.createDataFrame([("usa", "us"), ("united states", "us")], "alias_text string, concept_id string"))
+    rows = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.struct("o_orderdate", "o_orderkey").alias("seq"), "o_orderdate")
+    old, new = (rows.where(c).drop("o_orderdate") for c in ("o_orderdate < timestamp'1998-01-01 00:00:00'", "o_orderdate >= timestamp'1998-01-01 00:00:00'"))
+    return concepts.upsert(concepts.upsert(old.limit(0), old, ["id"]).withColumn("seq", F.lit(None).cast(rows.schema["seq"].dataType)), new, ["id"])
 
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
@@ -189,11 +190,6 @@ def eval_binary(spark, sf_dir):
     return r6(evaluation.ranking_metrics(_bm25(spark, sf_dir, 100), _qrels(spark, sf_dir), 10), "ndcg", "precision", "recall", "rr", "ap")
 
 
-@query()
-def eval_graded(spark, sf_dir):
-    return r6(evaluation.ranking_metrics(_bm25(spark, sf_dir, 100), _qrels(spark, sf_dir), 10, graded=True), "ndcg", "precision", "recall", "rr", "ap")
-
-
 @query("SELECT count(*) AS n, round(avg(d), 6) AS mean_difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM (SELECT l_discount - l_tax AS d FROM lineitem)")
 def eval_ttest(spark, sf_dir):
     return r6(evaluation.paired_t(t(spark, sf_dir, "lineitem"), "l_discount", "l_tax"), "mean_difference", "t")
@@ -204,7 +200,7 @@ s AS (SELECT size, count(*) AS ties, count(*) FILTER (plus) AS p FROM d GROUP BY
 r AS (SELECT *, coalesce(sum(ties) OVER (ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (ties + 1) / 2 AS mean_rank FROM s)
 SELECT CAST(sum(ties) AS BIGINT) AS n, CAST(least(sum(mean_rank * p), sum(mean_rank * (ties - p))) AS DOUBLE) AS statistic FROM r""")
 def eval_wilcoxon(spark, sf_dir):
-    return evaluation.wilcoxon(t(spark, sf_dir, "lineitem"), "l_discount", "l_tax")
+    return evaluation.wilcoxon(t(spark, sf_dir, "lineitem"), "l_discount", "l_tax").drop("tie_term")
 
 
 @query("SELECT query_id, doc_id, relevance FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (relevance >= 1) OVER w AS r FROM (SELECT i.item_id AS query_id, l.doc_id, l.quality AS relevance FROM labels l JOIN benchmark i ON l.doc_id % 40 = i.item_id) WINDOW w AS (PARTITION BY query_id)) WHERE n >= 10 AND r >= 5")
@@ -221,19 +217,7 @@ m AS (SELECT doc_id, s, w, list_sum(list_transform(s, lambda x: len(list_filter(
 SELECT doc_id, round(CASE WHEN len(w) > 0 AND len(s) > 0 THEN greatest(0.0, least(1.0, (206.835 - 1.015 * (len(w) / len(s)) - 84.6 * (floor(len(w) * 1.5) / len(w))) / 100)) ELSE 0 END, 6) AS readability,
 round(CASE WHEN len(w) > 0 AND len(s) > 0 THEN least(1.0, (CASE WHEN mean BETWEEN 15 AND 25 THEN 1.0 ELSE 0.8 END + len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w)) / 2) ELSE 0 END, 6) AS fluency FROM m""")
 def quality_text(spark, sf_dir):
-    d = t(spark, sf_dir, "documents")
-    return r6(d.select("doc_id", text.readability(F.col("text")).alias("readability"), text.fluency(F.col("text")).alias("fluency")), "readability", "fluency")
-
-
-@query()
-def rule_classify(spark, sf_dir):
-    names = [f.name for table in ("lineitem", "orders", "part", "events") for f in t(spark, sf_dir, table).schema.fields]
-    return rules.classify_columns(spark.createDataFrame([(n,) for n in names], "column_name string"))
-
-
-@query()
-def rule_route(spark, sf_dir):
-    return rules.route(profile.profile(t(spark, sf_dir, "part")))
+    return r6(text.with_quality(t(spark, sf_dir, "documents")).select("doc_id", "readability", "fluency"), "readability", "fluency")
 
 
 @query("""WITH c AS (SELECT event_type AS component, CASE user_id % 3 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-mini' ELSE 'other' END AS model, event_id % 1000 AS i, user_id % 500 AS o, event_id % 4 = 0 AS cached FROM events),
@@ -246,15 +230,8 @@ def cost_summary(spark, sf_dir):
     return r6(rules.cost_summary(calls), "cost_usd", "hit_rate")
 
 
-@query()
-def rrf_hybrid(spark, sf_dir):
-    sparse = _bm25(spark, sf_dir, 50)
-    other = r6(retrieval.dense(*_vectors(spark, sf_dir), 50), "score")
-    return r6(retrieval.fuse_ranks([(sparse, 1.0), (other, 1.0)]), "score")
-
-
 _TOPIC_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
-_WORD_ROWS = ", ".join(f"('{w}', '{d}', {i})" for i, (d, words) in enumerate(topics.DOMAINS.items()) for w in words.split())
+_WORD_ROWS = ", ".join(f"('{w}', '{d}', {i})" for i, (d, words) in enumerate(topics.DOMAINS.items()) for w in words)
 
 
 @query(f"""WITH c AS (SELECT table_name AS dataset, lower(column_name) AS name FROM information_schema.columns WHERE table_name IN {_TOPIC_TABLES}),

@@ -118,3 +118,53 @@ def test_topics(spark):
     assert got == [("s", "real_estate", 1.0), ("s", "finance", 0.75)]
     assert rows(topics.topics(c), "dataset") == [("n", "general", []), ("o", "general", []), ("s", "real_estate", ["Real Estate Data", "Finance Data"])]
     assert topics.topics(c.limit(0)).count() == 0
+
+
+def test_benchmark_folders(spark, tmp_path):
+    import bz2
+    import json
+
+    f = tmp_path / "binary"
+    (f / "datasets").mkdir(parents=True)
+    (f / "queries.json").write_text(json.dumps([{"query_id": 1, "query_text": "one"}, {"id": "2", "query": "two"}, {"id": "3"}]))
+    (f / "qrels.csv").write_text("topic,relevance,document\n1,relevant,d1\n1,0,d2\n2,3,d1\n")
+    (f / "datasets" / "my_table.csv").write_text("a,b\n1,2\n")
+    (f / "datasets" / "x.json").write_text('{"name": "X", "notes": "n"}')
+    b = benchmarks.load_benchmark(spark, "ecir", str(f))
+    assert rows(b.queries, "query_id") == [("1", "one"), ("2", "two")] and rows(b.qrels, "query_id", "doc_id") == [("1", "d1", 1), ("1", "d2", 0), ("2", "d1", 3)]
+    assert rows(b.datasets.select("id", "title", "description"), "id") == [("my_table", "My Table", None), ("x", "X", "n")]
+    assert b.relevant().count() == 2 and b.statistics().collect()[0]["relevance_type"] == "binary"
+    assert benchmarks.load_benchmark(spark, "ecir", str(tmp_path)) is None
+    (f / "queries2.json").write_text('{"7": "seven"}')
+    assert rows(benchmarks.read_json_queries(spark, str(f / "queries2.json")), "query_id") == [("7", "seven")]
+    g = tmp_path / "graded"
+    g.mkdir()
+    (g / "topics.tsv").write_text("q1\tfirst\nq2\tsecond\n")
+    (g / "qrels.txt").write_text("".join(f"q1 d{i} L{1 + i % 2}\n" for i in range(10)) + "q2 d1 L2\n")
+    (g / "collection.jsonl.bz2").write_bytes(bz2.compress(b'{"id": "", "doc_id": "d1"}\nbroken\n{"_id": "d2"}\n'))
+    n = benchmarks.load_benchmark(spark, "ntcir", str(g))
+    assert rows(n.queries, "query_id") == [("q1", "first")] and n.qrels.count() == 10 and sorted(r["id"] for r in n.datasets.collect()) == ["d1", "d2"]
+    with pytest.raises(ValueError, match="no benchmark"):
+        benchmarks.load_benchmark(spark, "other", "x")
+
+
+def test_tables_and_settings(spark, tmp_path):
+    from lodestone.sources import tables
+
+    (tmp_path / "t.csv").write_text('a,b\n1,"x, y"\n2,\n')
+    assert rows(tables.read_table(spark, str(tmp_path / "t.csv")), "a") == [(1, "x, y"), (2, None)]
+    assert tables.settings({"fuzzy_least": 90.0}).fuzzy_least == 90.0
+    tables.write_json(spark.range(2), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    with pytest.raises(TypeError):
+        tables.settings({"unknown": 1})
+
+
+def test_profile_stream(spark, tmp_path):
+    spark.sql("SELECT timestamp'2026-01-01 00:10:00' AS ts, CAST(id AS DOUBLE) AS v FROM range(4)").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, v double").parquet(str(tmp_path / "in"))
+    q = usage.profile_by_window(stream, "v").writeStream.outputMode("complete").format("memory").queryName("profiles").start()
+    q.processAllAvailable()
+    q.stop()
+    r = spark.table("profiles").collect()[0]
+    assert (r["n"], r["nulls"], r["min"], r["max"], r["mean"]) == (4, 0, 0.0, 3.0, 1.5)
