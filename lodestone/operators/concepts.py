@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import indel_ratio, normalized_name
+from lodestone.operators.retrieval import dense
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,11 +64,12 @@ def expanded_keywords(edges: DataFrame, aliases: DataFrame, ids: DataFrame) -> D
     return merged.groupBy("id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
 
 
-def match_columns(columns: DataFrame, concepts: DataFrame, aliases: DataFrame, least: float = 95.0) -> DataFrame:
-    """column_name, concept_id, method, score: exact name, else alias, else fuzzy name, else fuzzy alias; null where none.
+def match_columns(columns: DataFrame, concepts: DataFrame, aliases: DataFrame, least: float = 95.0, vectors: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
+    """column_name, concept_id, method, score: exact name, else alias, else fuzzy name, else fuzzy alias, else nearest vector; null where none.
 
     Concepts and aliases are of a dictionary. The fuzzy step sees only the columns that are left, keeps candidates by length
-    and by a thresholded edit distance, which no true match fails, and decides on the exact ratio.
+    and by a thresholded edit distance, which no true match fails, and decides on the exact ratio. With ``vectors`` (id, vector) of concepts
+    and a vector for each column, columns still left take the concept with the nearest one, of cosine ``threshold`` or more.
     """
     c = columns.select("column_name", normalized_name(F.col("column_name")).alias("norm"))
     names = concepts.select(F.col("id").alias("concept_id"), normalized_name(F.col("display_name")).alias("norm")).groupBy("norm").agg(F.max("concept_id").alias("concept_id"))
@@ -83,5 +85,9 @@ def match_columns(columns: DataFrame, concepts: DataFrame, aliases: DataFrame, l
     scored = near.withColumn("score", indel_ratio(F.col("norm"), F.col("other"))).where(F.col("score") >= least)
     best = Window.partitionBy("column_name").orderBy("level", F.desc("score"), "concept_id")
     fuzzy = scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("column_name", "concept_id", F.lit("fuzzy").alias("method"), "score")
+    if vectors is not None:
+        left = rest.join(fuzzy, "column_name", "left_anti").join(columns.select("column_name", "vector"), "column_name")
+        near = dense(vectors.select(F.col("id").alias("doc_id"), "vector"), left.select(F.col("column_name").alias("query_id"), "vector"), 1).where(F.col("score") >= threshold)
+        fuzzy = fuzzy.union(near.select(F.col("query_id").alias("column_name"), F.col("doc_id").cast("string").alias("concept_id"), F.lit("semantic").alias("method"), "score"))
     none = rest.join(fuzzy, "column_name", "left_anti").select("column_name", F.lit(None).cast("string").alias("concept_id"), F.lit("no_match").alias("method"), F.lit(0.0).alias("score"))
     return hit.union(fuzzy).union(none)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import case_chain, matches_any
-from lodestone.operators.profile import data_type
+from lodestone.operators.profile import data_type, profile
 
 #: Patterns that tell a unit, in the order in which they are tried; letter case is ignored.
 UNITS = [
@@ -171,6 +171,40 @@ def fingerprints(df: DataFrame, columns: list[str], order: list[str]) -> DataFra
     return rows.join(first, "column_name", "left").withColumn("is_id_like", mixed.cast("int")).drop("mixed")
 
 
+def code_shares(samples: DataFrame) -> DataFrame:
+    """column_name, code_share: how many of a column's first ten sample values look like codes, over all its samples.
+
+    A code has 2 to 6 characters, no space, and is upper case, lower case or digits throughout.
+    """
+    v = F.col("value")
+    code = F.length(v).between(2, 6) & ~F.contains(v, F.lit(" ")) & ((v.rlike(r"\p{Lu}") & (F.upper(v) == v)) | (v.rlike(r"\p{Ll}") & (F.lower(v) == v)) | v.rlike(r"^\d+$"))
+    return samples.groupBy("column_name").agg((F.count_if(code & (F.col("place") <= 10)) / F.count(F.lit(1))).alias("code_share"))
+
+
+def full_profile(df: DataFrame, order: list[str], exact: bool = False) -> DataFrame:
+    """A row for each column with all that is known of it: figures, types, unit, format, resolution, samples, and its constraints as a struct.
+
+    ``order``: columns that put the rows in the order in which first values are taken.
+    """
+    p = profile(df, exact)
+    types = column_types(df)
+    names = df.columns
+    first = heads(df, names, 20, order)
+    texts = types.where("data_type = 'string'").select("column_name")
+    of_texts = first.join(F.broadcast(texts), "column_name", "left_semi")
+    times = first.join(F.broadcast(types.where("data_type in ('string', 'datetime')").select("column_name")), "column_name", "left_semi")
+    checks = constraints(p)
+    samples = sample_values(df, names).groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("samples"))
+    parts = [
+        types.select("column_name", "place", "structural_type"), units(types.select("column_name"), of_texts.where("place <= 5")), value_formats(of_texts),
+        temporal_resolutions(p, times), samples, checks.select("column_name", F.struct(*[c for c in checks.columns if c != "column_name"]).alias("constraints")),
+    ]
+    out = p
+    for part in parts:
+        out = out.join(part, "column_name", "left")
+    return out.withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+
+
 def nearest_cases(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
     """column_name, label, case_name, distance, rank: the ``k`` labelled cases of the same data type that are nearest to each fingerprint.
 

@@ -161,3 +161,8 @@ def schema_structure(dataset: str, of_levels: DataFrame, keys: DataFrame, derive
     for part in parts:
         out = out.crossJoin(F.broadcast(part))
     return out
+
+
+def detect(df: DataFrame, profiles: DataFrame, numeric: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hierarchies, foreign keys and dependencies of a table, from its profile (with place) and its data."""
+    return hierarchies(df, profiles), foreign_keys(profiles), dependencies(df, numeric)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import concepts, details, evaluation, generation, graph, injection, profile, prompts, reasoning, retrieval, rules, topics
+from lodestone.operators import concepts, describe, details, evaluation, generation, graph, injection, profile, prompts, reasoning, retrieval, rules, topics
 from lodestone.plans.columns import ALL, _COLUMNS, all_columns, case, heads_sql, match, quoted
 from lodestone.plans.queries import _bm25, _qrels, _REL, query, r6, t
 
@@ -461,3 +461,29 @@ def cache_stats(spark, sf_dir):
 def profile_default(spark, sf_dir):
     o = t(spark, sf_dir, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, "x").otherwise("y").alias("flag"))
     return r6(profile.default_values(o, ["o_orderstatus", "flag"]), "share")
+
+
+@query(f"""WITH s AS (SELECT 'p_brand' AS column_name, row_number() OVER (ORDER BY k) AS place, v AS value FROM (SELECT DISTINCT p_brand AS v, md5('7:' || p_brand) AS k FROM part WHERE p_brand IS NOT NULL ORDER BY k LIMIT 10)
+UNION ALL SELECT 'o_orderstatus', row_number() OVER (ORDER BY k), v FROM (SELECT DISTINCT o_orderstatus || 'X' AS v, md5('7:' || o_orderstatus || 'X') AS k FROM orders WHERE o_orderstatus IS NOT NULL ORDER BY k LIMIT 10))
+SELECT column_name, round(avg(CASE WHEN length(value) BETWEEN 2 AND 6 AND NOT contains(value, ' ') AND ((regexp_matches(value, '[A-Z]') AND upper(value) = value) OR (regexp_matches(value, '[a-z]') AND lower(value) = value) OR regexp_matches(value, '^[0-9]+$')) AND place <= 10 THEN 1.0 ELSE 0.0 END), 6) AS code_share FROM s GROUP BY column_name""")
+def rule_code_share(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(F.concat("o_orderstatus", F.lit("X")).alias("o_orderstatus"))
+    return r6(details.code_shares(details.sample_values(t(spark, sf_dir, "part"), ["p_brand"]).union(details.sample_values(o, ["o_orderstatus"]))), "code_share")
+
+
+@query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT 'column ' || q.vec_id AS column_name, CAST(e.vec_id AS VARCHAR) AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS s, e.vec_id AS k FROM q, embeddings e WHERE e.vec_id % 50 <> 0),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY round(s, 9) DESC, k) AS r FROM n) WHERE r = 1) SELECT column_name, CASE WHEN s >= 0.5 THEN id END AS concept_id, CASE WHEN s >= 0.5 THEN 'semantic' ELSE 'no_match' END AS method, round(CASE WHEN s >= 0.5 THEN s ELSE 0.0 END, 6) AS score FROM b""")
+def match_semantic(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings")
+    columns = e.where("vec_id % 50 = 0").select(F.concat(F.lit("column "), F.col("vec_id").cast("string")).alias("column_name"), F.col("embedding").alias("vector"))
+    names = spark.createDataFrame([], "id string, display_name string")
+    found = concepts.match_columns(columns, names, spark.createDataFrame([], "alias_text string, concept_id string"), vectors=e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), threshold=0.5)
+    return r6(found, "score")
+
+
+@query("""SELECT * FROM (VALUES ('o_orderkey', 'no_match', NULL), ('o_custkey', 'no_match', NULL), ('o_orderstatus', 'matched', 'Order status'), ('o_totalprice', 'matched', 'O Totalprice'), ('o_orderdate', 'no_match', NULL), ('o_orderpriority', 'no_match', NULL)) v(column_name, status, concept)""")
+def describe_table(spark, sf_dir):
+    known = spark.createDataFrame([("status", "Order status", "State of an order"), ("total", "O Totalprice", "Sum of an order")], "id string, display_name string, definition string")
+    aliases = spark.createDataFrame([("o_orderstatus", "status"), ("o_totalprice", "total")], "alias_text string, concept_id string")
+    found = describe.describe(t(spark, sf_dir, "orders"), "orders", ["o_orderkey"], known, aliases)
+    return found.matches.select("column_name", "status", F.col("display_name").alias("concept"))

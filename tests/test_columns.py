@@ -225,3 +225,48 @@ def test_caches_and_costs(spark):
     assert [r["concept"] for r in rules.injected(m, routed).collect()] == ["y"]
     need, skip = rules.need_graph(rules.classify_columns(spark.createDataFrame([("id",), ("mood",)], "column_name string")))
     assert [r["column_name"] for r in need.collect()] == ["mood"] and [r["column_name"] for r in skip.collect()] == ["id"]
+
+
+def test_describe(spark, tmp_path):
+    from lodestone.operators import describe
+
+    df = spark.createDataFrame([(i, 10.0 + i, "AB" if i % 2 else "CD") for i in range(6)], "row_no int, revenue double, tag string")
+    known = spark.createDataFrame([("rev", "revenue", "Money that came in"), ("t", "Label", "A label")], "id string, display_name string, definition string")
+    aliases = spark.createDataFrame([("tag", "t"), ("income", "rev")], "alias_text string, concept_id string")
+    good = '{"semantic_profiles": {"a": 1, "b": 1, "c": 1}, "ufd": {"title": "t", "core_description": {"text": "x"}}, "sfd": {"summary": "s", "schema_metadata": [1]}}'
+    d = describe.describe(df, "my_set", ["row_no"], known, aliases, model=lambda p: [good for _ in p])
+    m = by(d.matches, "column_name")
+    assert (m["revenue"]["status"], m["revenue"]["tier"], m["revenue"]["aliases"]) == ("matched", "tier_1", ["income"]) and m["tag"]["display_name"] == "Label"
+    p = one(d.prompts)["prompt"]
+    assert p.count('"column"') == 3 and '"concept":"revenue"' in p and '"concept":"Label"' not in p  # common words are not told
+    assert one(d.answers)["valid"] and "income" in one(d.search)["text"] and one(d.users)["title"] == "My Set"
+    c = by(d.columns, "column_name")
+    assert c["tag"]["samples"] == sorted(["AB", "CD"], key=lambda v: __import__("hashlib").md5(f"7:{v}".encode()).hexdigest()) and c["revenue"]["constraints"]["not_null"]
+    concepts_found, aliases_found, evidence = describe.extract(df, "my_set", ["row_no"])
+    assert (concepts_found.count(), aliases_found.count(), evidence.count()) == (3, 3, 3)
+    assert describe.relations(df, details.full_profile(df, ["row_no"], exact=True)).count() == 3
+
+
+def test_table_cache(spark, tmp_path):
+    from lodestone.sources.cache import TableCache
+
+    c = TableCache(spark, str(tmp_path / "cache"), hours=24)
+    assert c.entries().count() == 0
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    c.put(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), at(1))
+    c.put(spark.createDataFrame([("a", "3")], "key string, value string"), at(3))
+    assert {r["key"]: r["value"] for r in c.entries(at(3)).collect()} == {"a": "3"}
+    hits, misses = c.lookup(spark.createDataFrame([("a",), ("z",)], "key string"), at(2))
+    assert [r["value"] for r in hits.collect()] == ["3"] and [r["key"] for r in misses.collect()] == ["z"]
+    c.clear()
+    assert c.entries().count() == 0
+
+
+def test_code_shares_and_semantic_step(spark):
+    s = spark.createDataFrame([("a", i + 1, v) for i, v in enumerate(["AB1", "XY", "12", "long text", "x"])], "column_name string, place int, value string")
+    assert one(details.code_shares(s))["code_share"] == 0.6
+    c = spark.createDataFrame([("q", [1.0, 0.0]), ("r", [0.0, -1.0])], "column_name string, vector array<double>")
+    k = spark.createDataFrame([("c1", "x"), ("c2", "y")], "id string, display_name string")
+    v = spark.createDataFrame([("c1", [2.0, 0.1]), ("c2", [0.0, 1.0])], "id string, vector array<double>")
+    got = by(concepts.match_columns(c, k, spark.createDataFrame([], "alias_text string, concept_id string"), vectors=v), "column_name")
+    assert (got["q"]["concept_id"], got["q"]["method"], got["r"]["method"]) == ("c1", "semantic", "no_match")
