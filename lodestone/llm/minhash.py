@@ -100,12 +100,16 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int, seed: int) -> Da
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """fp, shingles of each text."""
 
-    def make(batches):
+    def made(text: str | None) -> tuple[bytes, np.ndarray]:
         import xxhash
 
+        words = words_of(text)
+        return xxhash.xxh3_128_digest(b" ".join(words)), shingle_hashes(words, size)
+
+    def make(batches):
         for batch in batches:
-            words = [words_of(t) for t in batch["text"]]
-            yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "shingles": [shingle_hashes(w, size) for w in words]})
+            fp, shingles = zip(*map(made, batch["text"]), strict=True) if len(batch) else ((), ())
+            yield pd.DataFrame({"fp": pd.Series(fp, dtype=object), "shingles": pd.Series(shingles, dtype=object)})
 
     return docs.select("text").mapInPandas(make, "fp binary, shingles array<long>")
 
