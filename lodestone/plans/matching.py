@@ -487,3 +487,35 @@ def describe_table(spark, sf_dir):
     aliases = spark.createDataFrame([("o_orderstatus", "status"), ("o_totalprice", "total")], "alias_text string, concept_id string")
     found = describe.describe(t(spark, sf_dir, "orders"), "orders", ["o_orderkey"], known, aliases)
     return found.matches.select("column_name", "status", F.col("display_name").alias("concept"))
+
+
+_CONCEPT_TOKENS = "regexp_extract_all(lower(translate(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_-', '  ')), '\\w+')"
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS doc_id, replace(p_name, ' ', '_') || ' ' || p_brand || 'Type' || p_type AS text FROM part), d AS (SELECT doc_id, {_CONCEPT_TOKENS} AS t FROM c), q AS (SELECT s_suppkey AS query_id, unnest(['small', 'Type', 'ring', 'ring']) AS term FROM supplier WHERE s_suppkey % 10 = 0),
+k AS (SELECT query_id, lower(term) AS term, count(*) AS qtf FROM q GROUP BY ALL), p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf) AS score FROM tf JOIN k USING (term) JOIN df USING (term) CROSS JOIN s GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc WHERE score > 0.01) WHERE rank <= 5""")
+def bm25_concepts(spark, sf_dir):
+    """Names in snake and camel case, with the tokens of concepts."""
+    docs = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.translate("p_name", " ", "_"), F.lit(" "), "p_brand", F.lit("Type"), "p_type").alias("text"))
+    asked = t(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("query_id"), F.lit("small Type ring_ring").alias("text"))
+    return r6(retrieval.bm25(docs, asked, 5, tokens=text.concept_tokens, least=0.01), "score")
+
+
+@query("""SELECT event_id AS id, event_id % 4 < 2 AS valid, CASE event_id % 4 WHEN 2 THEN 'UFD missing title' WHEN 3 THEN 'semantic_profiles count mismatch' ELSE '' END AS problems FROM events""")
+def json_validate(spark, sf_dir):
+    k = F.col("event_id")
+    title = F.when(k % 4 == 2, "").otherwise("t")
+    body = F.concat(F.lit('{"semantic_profiles": {"c": '), "props", F.lit('}, "ufd": {"title": "'), title, F.lit('", "core_description": {"text": "x"}}, "sfd": {"summary": "s", "schema_metadata": [1]}'))
+    answer = F.when(k % 4 == 1, F.concat(F.lit("Here it is: "), body)).otherwise(F.concat(F.lit("```json\n"), body, F.lit("}\n```")))  # the former lacks its last brace
+    a = t(spark, sf_dir, "events").select(k.alias("id"), answer.alias("answer"), F.when(k % 4 == 3, 2).otherwise(1).alias("expected_columns"))
+    return prompts.validated(a).select("id", "valid", F.array_join("problems", "; ").alias("problems"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_type, CAST(p_size AS VARCHAR) AS s FROM part) SELECT p_partkey AS id, '### Summary' || chr(10) || p_name || chr(10) || chr(10) || '### Domain Tags' || chr(10) || '`' || p_type || '`' || chr(10) || chr(10) || '### Keywords' || chr(10) || '**Core**: ' || p_name || chr(10) || chr(10) || '**Synonyms**: ' || chr(10) || chr(10) || '**Related**: a, b' || chr(10) || chr(10) ||
+'### Schema Metadata' || chr(10) || '| Column | Concept | Type | Conf. | Description |' || chr(10) || '|--------|---------|------|-------|-------------|' || chr(10) || '| p_size | Size | count | 0.8 | ' || s || ' |' || chr(10) AS markdown FROM p""")
+def sfd_markdown(spark, sf_dir):
+    column = F.struct(F.lit("p_size").alias("column_name"), F.lit("Size").alias("concept_name"), F.lit("count").alias("semantic_type"), F.lit(0.8).alias("confidence"), F.col("p_size").cast("string").alias("description"))
+    d = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("summary"), F.array("p_type").alias("tags"), F.array("p_name").alias("core"), F.array().cast("array<string>").alias("synonyms"), F.array(F.lit("a"), F.lit("b")).alias("related"), F.array(column).alias("columns"))
+    return prompts.markdown(d)
