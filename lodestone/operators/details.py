@@ -71,6 +71,13 @@ def sample_values(df: DataFrame, columns: list[str], n: int = 10, seed: int = 7)
     return reduce(DataFrame.union, [one(c) for c in columns])
 
 
+def inferred_types(types: DataFrame, first_values: DataFrame) -> DataFrame:
+    """column_name, inferred_type: the data type, or date_string for a text column whose first value is a time."""
+    first = first_values.where("place = 1").select("column_name", F.try_to_timestamp("value").alias("t"))
+    dated = (F.col("data_type") == "string") & F.col("t").isNotNull()
+    return types.join(first, "column_name", "left").select("column_name", F.when(dated, "date_string").otherwise(F.col("data_type")).alias("inferred_type"))
+
+
 def unit_of(c: Column) -> Column:
     return case_chain([(matches_any(c, [f"(?i){p}" for p in patterns]), unit) for unit, patterns in UNITS])
 
@@ -196,7 +203,7 @@ def full_profile(df: DataFrame, order: list[str], exact: bool = False) -> DataFr
     checks = constraints(p)
     samples = sample_values(df, names).groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("samples"))
     parts = [
-        types.select("column_name", "place", "structural_type"), units(types.select("column_name"), of_texts.where("place <= 5")), value_formats(of_texts),
+        types.select("column_name", "place", "structural_type"), inferred_types(types, first), units(types.select("column_name"), of_texts.where("place <= 5")), value_formats(of_texts),
         temporal_resolutions(p, times), samples, checks.select("column_name", F.struct(*[c for c in checks.columns if c != "column_name"]).alias("constraints")),
     ]
     out = p

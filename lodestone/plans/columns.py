@@ -39,6 +39,13 @@ def profile_types(spark, sf_dir):
     return all_columns(spark, sf_dir)
 
 
+@query("""SELECT 'o_orderkey' AS column_name, 'integer' AS inferred_type UNION ALL SELECT 'day', (SELECT CASE WHEN try_cast(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP) IS NOT NULL THEN 'date_string' ELSE 'string' END FROM orders ORDER BY o_orderkey LIMIT 1)
+UNION ALL SELECT 'o_orderpriority', (SELECT CASE WHEN try_cast(o_orderpriority AS TIMESTAMP) IS NOT NULL THEN 'date_string' ELSE 'string' END FROM orders ORDER BY o_orderkey LIMIT 1)""")
+def profile_inferred_types(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority")
+    return details.inferred_types(details.column_types(o), details.heads(o, ["day", "o_orderpriority"], 1, ["o_orderkey"]))
+
+
 _HEADS = "(SELECT '{c}' AS column_name, row_number() OVER (ORDER BY {o}) AS place, CAST({c} AS VARCHAR) AS value FROM (SELECT {c}, {o} FROM {t} WHERE {c} IS NOT NULL ORDER BY {o} LIMIT {n}))"
 
 
