@@ -13,6 +13,7 @@ import re
 from functools import cache
 
 _RUN = re.compile(r"[ \n\t\r]{2,}|[\t\r]|^[ \n]|[ \n]\Z")
+_MARKS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")  # a text without these, and without white space at its ends, has no run
 _LAST_SAFE = "ɏ"  # up to here all Unicode versions agree on what is a letter
 _CLOSING = ".,;:!?"
 
@@ -85,15 +86,14 @@ class PretokenEncoder:
     def __init__(self, path: str, of_ids, total, pinned: dict | None = None, limit: int = 250_000):
         self.tok, self.of_ids, self.total = tokenizer(path), of_ids, total
         self.model = self.tok.model
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pretokens = _Bounded(self._of_pretoken, limit, pinned)
         self.pieces = _Bounded(self._of_piece, limit)
         self.cuttable = splits_into_pretokens(path)
 
     def _of_pretoken(self, text: str):
-        symbols = self.symbols
-        return self.of_ids([t.id for t in self.model.tokenize("".join([symbols[b] for b in text.encode()]))])
+        return self.of_ids([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.symbols))])
 
     def whole(self, text: str):
         return self.of_ids(self.tok.encode(text, add_special_tokens=False).ids)
@@ -131,7 +131,7 @@ class PretokenEncoder:
     @staticmethod
     def _pieces(text: str) -> list[str]:
         """What followed spaces, newlines (marked) and the start (marked); runs of white space are marked as pre-tokens of their own."""
-        if _RUN.search(text) is None:
+        if not (text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _MARKS)):
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = "\0" + pieces[0]
             return pieces
