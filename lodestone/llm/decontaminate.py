@@ -73,7 +73,7 @@ class Items:
         self.index = {n: self._index(n) for n in self.by_length}
         self.own_words = {}
         for n, of in self.by_length.items():
-            self.own_words[n] = np.zeros(len(self.vocabulary) + 2, np.int32)
+            self.own_words[n] = np.zeros(len(self.vocabulary) + 2, np.uint8)
             self.own_words[n][np.concatenate([self.items[k][1] for k in of])] = 1
 
     def _tables_for(self, recall: float, sampled: int) -> int:
@@ -125,7 +125,9 @@ class Items:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for n, tables in self.index.items():
             need = n - most_edits(n, self.share)
-            known = np.concatenate([[0], np.cumsum(self.own_words[n][symbols], dtype=np.int32)])
+            # sums may wrap around: their differences over n words are right in any type that holds n
+            kind = np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.int64
+            known = np.concatenate([np.zeros(1, kind), np.cumsum(self.own_words[n][symbols], dtype=kind)])
             ends = np.minimum(np.arange(n, len(symbols) + n, dtype=np.int64), len(symbols)) if len(symbols) < n else None
             held = known[ends] - known[:-1] if ends is not None else np.concatenate([known[n:] - known[:-n], known[-1] - known[len(symbols) - n + 1 : -1]])
             starts = np.flatnonzero(held >= need)
@@ -146,13 +148,18 @@ class Items:
         keep = np.zeros(len(starts), bool)
         for k in np.unique(of).tolist():  # the same filter once more, by the item's own words
             at, item = np.flatnonzero(of == k), self.items[k][1]
+            need = len(item) - most_edits(len(item), self.share)
+            mine = np.zeros(len(self.vocabulary) + 2, np.uint8)
+            mine[item] = 1
             for lo in range(0, len(at), 1 << 14):
                 some = at[lo : lo + (1 << 14)]
                 window = symbols[np.minimum(starts[some][:, None] + np.arange(len(item)), len(symbols) - 1)]
+                enough = mine[window].sum(axis=1, dtype=np.int64) >= need  # words of the item, however often: few windows pass
+                some, window = some[enough], window[enough]
                 shared = np.zeros(len(some), np.int64)
                 for w, times in zip(*np.unique(item, return_counts=True), strict=True):
                     shared += np.minimum((window == w).sum(axis=1), times)
-                keep[some] = shared >= len(item) - most_edits(len(item), self.share)
+                keep[some] = shared >= need
         return starts[keep], of[keep]
 
 
