@@ -149,13 +149,9 @@ class Items:
         for k in np.unique(of).tolist():  # the same filter once more, by the item's own words
             at, item = np.flatnonzero(of == k), self.items[k][1]
             need = len(item) - most_edits(len(item), self.share)
-            mine = np.zeros(len(self.vocabulary) + 2, np.uint8)
-            mine[item] = 1
             for lo in range(0, len(at), 1 << 14):
                 some = at[lo : lo + (1 << 14)]
                 window = symbols[np.minimum(starts[some][:, None] + np.arange(len(item)), len(symbols) - 1)]
-                enough = mine[window].sum(axis=1, dtype=np.int64) >= need  # words of the item, however often: few windows pass
-                some, window = some[enough], window[enough]
                 shared = np.zeros(len(some), np.int64)
                 for w, times in zip(*np.unique(item, return_counts=True), strict=True):
                     shared += np.minimum((window == w).sum(axis=1), times)
