@@ -84,6 +84,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.main_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least_docs=3, most_terms=200)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.conversations import damage, repair, repair_report
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(repair(damage(conversations)), conversations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -96,6 +115,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_token_files": op9_token_files,
         "op10_decontamination": op10_decontamination,
+        "op11_main_text": op11_main_text,
+        "op12_divergence": op12_divergence,
+        "op13_conversations": op13_conversations,
     }
 
 
@@ -143,6 +165,29 @@ k AS (SELECT key FROM (SELECT DISTINCT r, key FROM l WHERE length(key) >= 1) GRO
 g AS (SELECT r, count(*) AS n_lines, count(k.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k.key IS NULL), '') AS kept
   FROM l LEFT JOIN k ON l.key = k.key GROUP BY r)
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM g JOIN d USING (r)""",
+    # Of the given pages, each of which has one article element of headings and paragraphs.
+    "op11_main_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+  replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(b, lambda x: x <> ''), chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
+    "op12_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, count(o.term) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term GROUP BY ALL),
+p AS (SELECT *, 1 + (1000000000 * (n + 1)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM c),
+l AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 1)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM l),
+x AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum(((s.p - t.p) * (s.p - t.p)) // t.p), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p s ON s.lang = a.lang AND s.source = a.source LEFT JOIN p t ON t.lang = b.lang AND t.source = b.source AND t.term = s.term GROUP BY ALL),
+y AS (SELECT lang, source, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+z AS (SELECT lang, source, 'pair' AS part, item, value FROM x UNION ALL SELECT lang, source, 'term' AS part, item, value FROM y),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM z)
+SELECT lang, source, part, item, value, rank FROM f WHERE part = 'pair' OR rank <= 200""",
 }
 
 
