@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import indel_ratio, normalized_name
+from lodestone.functions.text import normalized_name
 from lodestone.operators.retrieval import dense
+from lodestone.operators.similarity import similar_pairs
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,27 +65,36 @@ def expanded_keywords(edges: DataFrame, aliases: DataFrame, ids: DataFrame) -> D
     return merged.groupBy("id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
 
 
+def _by_name(rows: DataFrame, name: Column, concept: str, out: str) -> DataFrame:
+    """norm, ``out``, first: of each normalised name the concept of its last row by ``seq`` (else by id), and when the name came first."""
+    seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
+    named = rows.select(normalized_name(name).alias("norm"), F.col(concept).alias(out), seq.cast("long").alias("seq"))
+    return named.where("norm is not null").groupBy("norm").agg(F.max(F.struct("seq", out))[out].alias(out), F.min("seq").alias("first"))
+
+
 def match_columns(columns: DataFrame, concepts: DataFrame, aliases: DataFrame, least: float = 95.0, vectors: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
     """column_name, concept_id, method, score: exact name, else alias, else fuzzy name, else fuzzy alias, else nearest vector; null where none.
 
-    Concepts and aliases are of a dictionary. The fuzzy step sees only the columns that are left, keeps candidates by length
-    and by a thresholded edit distance, which no true match fails, and decides on the exact ratio. With ``vectors`` (id, vector) of concepts
+    A concept's name is its canonical_name, else its display_name, else its id. Where several rows have one name or alias the last by ``seq`` counts, a
+    column that both tables may have; without it the one with the largest id. The fuzzy step sees only the columns that are left and finds
+    similar names by a join on segments (``similar_pairs``); of equal scores the name that came first wins, then the smaller id; a name under half or over twice as
+    long is no match, and the aliases are tried then. With ``vectors`` (id, vector) of concepts
     and a vector for each column, columns still left take the concept with the nearest one, of cosine ``threshold`` or more.
     """
     c = columns.select("column_name", normalized_name(F.col("column_name")).alias("norm"))
-    names = concepts.select(F.col("id").alias("concept_id"), normalized_name(F.col("display_name")).alias("norm")).groupBy("norm").agg(F.max("concept_id").alias("concept_id"))
-    other = aliases.select("concept_id", normalized_name(F.col("alias_text")).alias("norm")).groupBy("norm").agg(F.max("concept_id").alias("alias_id"))
-    exact = c.join(names, "norm", "left").join(other, "norm", "left")
+    given = [F.nullif(F.col(n), F.lit("")) for n in ("canonical_name", "display_name") if n in concepts.columns]
+    names = _by_name(concepts, F.coalesce(*given, F.col("id").cast("string")), "id", "concept_id")
+    other = _by_name(aliases, F.col("alias_text"), "concept_id", "alias_id")
+    exact = c.join(names.drop("first"), "norm", "left").join(other.drop("first"), "norm", "left")
     hit = exact.where("concept_id is not null or alias_id is not null").select("column_name", F.coalesce("concept_id", "alias_id").alias("concept_id"), F.when(F.col("concept_id").isNotNull(), "exact").otherwise("alias").alias("method"), F.lit(100.0).alias("score"))
     rest = exact.where("concept_id is null and alias_id is null").select("column_name", "norm")
-    pool = names.select("norm", "concept_id", F.lit(0).alias("level")).union(other.select("norm", F.col("alias_id"), F.lit(1))).select(F.col("norm").alias("other"), "concept_id", "level")
-    both: Column = F.length("norm") + F.length("other")
-    # a ratio of least % leaves (100 - least) % of both lengths to insertions and deletions, and no distance is larger
-    edits = both * (1 - least / 100) + 1e-9
-    near = rest.join(pool, (F.abs(F.length("norm") - F.length("other")) <= edits) & (F.levenshtein("norm", "other") <= edits))
-    scored = near.withColumn("score", indel_ratio(F.col("norm"), F.col("other"))).where(F.col("score") >= least)
-    best = Window.partitionBy("column_name").orderBy("level", F.desc("score"), "concept_id")
-    fuzzy = scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("column_name", "concept_id", F.lit("fuzzy").alias("method"), "score")
+    pool = names.select("norm", "concept_id", "first", F.lit(0).alias("level")).union(other.select("norm", "alias_id", "first", F.lit(1))).withColumnRenamed("norm", "b")
+    near = similar_pairs(rest.select(F.col("norm").alias("a")), pool.select("b"), least).join(pool, "b")
+    best = Window.partitionBy("a", "level").orderBy(F.desc("score"), "first", "concept_id")
+    lengths = [F.length("a"), F.length("b")]
+    near = near.withColumn("rn", F.row_number().over(best)).where((F.col("rn") == 1) & (F.least(*lengths) * 2 >= F.greatest(*lengths)))
+    found = near.groupBy("a").agg(F.min(F.struct("level", "concept_id", "score")).alias("m"))
+    fuzzy = rest.join(found, F.col("norm") == F.col("a")).select("column_name", "m.concept_id", F.lit("fuzzy").alias("method"), "m.score")
     if vectors is not None:
         left = rest.join(fuzzy, "column_name", "left_anti").join(columns.select("column_name", "vector"), "column_name")
         near = dense(vectors.select(F.col("id").alias("doc_id"), "vector"), left.select(F.col("column_name").alias("query_id"), "vector"), 1).where(F.col("score") >= threshold)

@@ -294,23 +294,24 @@ def fuse_signals(spark, sf_dir):
     return r6(reasoning.match_signals(first, profiles, kg, problems, "ESG report"), "score").select("column_name", "concept", "score", "signals", "strength")
 
 
-_PARTS = "k AS (SELECT lower(p_name) AS norm, max(CAST(p_partkey AS VARCHAR)) AS id FROM part GROUP BY 1)"
+_PARTS = "k AS (SELECT lower(p_name) AS norm, CAST(max(p_partkey) AS VARCHAR) AS id, min(p_partkey) AS seq FROM part GROUP BY 1)"
 
 
-@query(f"""WITH {_PARTS}, x AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name AS column_name FROM x UNION ALL SELECT 'alias of ' || p_name FROM x UNION ALL SELECT 'the very long descriptive concept name of ' || p_name || 's' FROM x UNION ALL SELECT 'zzz' || p_name FROM x),
-n AS (SELECT norm, id FROM k UNION ALL SELECT 'the very long descriptive concept name of ' || norm, id FROM k), a AS (SELECT 'alias of ' || norm AS norm, id FROM k), l AS (SELECT column_name, lower(column_name) AS norm FROM c),
-e AS (SELECT column_name, l.norm, n.id AS nid, a.id AS aid FROM l LEFT JOIN n USING (norm) LEFT JOIN a ON a.norm = l.norm), p AS (SELECT norm, id, 0 AS level FROM n UNION ALL SELECT norm, id, 1 FROM a),
-f AS (SELECT column_name, p.id, p.level, 100.0 * (1 - levenshtein(e.norm, p.norm) / (length(e.norm) + length(p.norm))) AS score FROM e JOIN p ON nid IS NULL AND aid IS NULL AND abs(length(e.norm) - length(p.norm)) = 1 AND levenshtein(e.norm, p.norm) = 1),
-b AS (SELECT column_name, id, score FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY level, score DESC, id) AS r FROM f WHERE score >= 95) WHERE r = 1)
+@query(f"""WITH {_PARTS}, x AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name AS column_name FROM x UNION ALL SELECT 'alias of ' || p_name FROM x UNION ALL SELECT 'the very long descriptive concept name of ' || p_name || 's' FROM x UNION ALL SELECT 'zzz' || p_name FROM x UNION ALL SELECT 'shown as ' || p_name FROM x),
+n AS (SELECT norm, id, seq FROM k UNION ALL SELECT 'the very long descriptive concept name of ' || norm, id, seq FROM k), a AS (SELECT 'alias of ' || norm AS norm, id, seq FROM k), l AS (SELECT column_name, lower(column_name) AS norm FROM c),
+e AS (SELECT column_name, l.norm, n.id AS nid, a.id AS aid FROM l LEFT JOIN n USING (norm) LEFT JOIN a ON a.norm = l.norm), p AS (SELECT norm, id, seq, 0 AS level FROM n UNION ALL SELECT norm, id, seq, 1 FROM a),
+f AS (SELECT column_name, p.id, p.level, p.seq, 100.0 * (1 - levenshtein(e.norm, p.norm) / (length(e.norm) + length(p.norm))) AS score FROM e JOIN p ON nid IS NULL AND aid IS NULL AND abs(length(e.norm) - length(p.norm)) = 1 AND levenshtein(e.norm, p.norm) = 1),
+b AS (SELECT column_name, id, score FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY level, score DESC, seq, id) AS r FROM f WHERE score >= 95) WHERE r = 1)
 SELECT e.column_name, coalesce(nid, aid, b.id) AS concept_id, CASE WHEN nid IS NOT NULL THEN 'exact' WHEN aid IS NOT NULL THEN 'alias' WHEN b.id IS NOT NULL THEN 'fuzzy' ELSE 'no_match' END AS method, CAST(round(CASE WHEN coalesce(nid, aid) IS NOT NULL THEN 100.0 ELSE coalesce(b.score, 0.0) END, 6) AS DOUBLE) AS score FROM e LEFT JOIN b USING (column_name)""")
 def match_cascade(spark, sf_dir):
     names = t(spark, sf_dir, "part").select("p_name").distinct()
     long = "the very long descriptive concept name of "
-    made = [F.col("p_name"), F.concat(F.lit("alias of "), "p_name"), F.concat(F.lit(long), "p_name", F.lit("s")), F.concat(F.lit("zzz"), "p_name")]
+    made = [F.col("p_name"), F.concat(F.lit("alias of "), "p_name"), F.concat(F.lit(long), "p_name", F.lit("s")), F.concat(F.lit("zzz"), "p_name"), F.concat(F.lit("shown as "), "p_name")]
     columns = names.select(F.explode(F.array(*made)).alias("column_name"))
-    ids = t(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("norm")).agg(F.max(F.col("p_partkey").cast("string")).alias("id"))
-    known = ids.select("id", F.col("norm").alias("display_name")).union(ids.select("id", F.concat(F.lit(long), "norm")))
-    return r6(concepts.match_columns(columns, known, ids.select(F.concat(F.lit("alias of "), "norm").alias("alias_text"), F.col("id").alias("concept_id"))), "score")
+    rows = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_partkey").cast("string").alias("id"), "p_name")
+    known = rows.select("seq", "id", F.lit("").alias("canonical_name"), F.col("p_name").alias("display_name")).union(rows.select("seq", "id", F.concat(F.lit(long), "p_name"), F.concat(F.lit("shown as "), "p_name")))
+    aliases = rows.select("seq", F.concat(F.lit("alias of "), "p_name").alias("alias_text"), F.col("id").alias("concept_id"))
+    return r6(concepts.match_columns(columns, known, aliases), "score")
 
 
 # retrieval and evaluation

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import concepts, evaluation, profile, retrieval, rules, topics
+from lodestone.operators import concepts, evaluation, profile, retrieval, rules, sketches, textindex, topics, vectorindex
+from lodestone.sources.profiles import ProfileStore
+from lodestone.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +53,49 @@ def profile_moments(spark, sf_dir):
     return r6(profile.profile(t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")).select("column_name", "skewness", "kurtosis"), "skewness", "kurtosis")
 
 
+_LINES = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+_LINE_NUMBERS = _LINES[:-1]
+_NEAR = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, "
+    + (f"round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(skewness(CAST({c} AS DOUBLE)), 4) AS skewness, round(kurtosis(CAST({c} AS DOUBLE)), 4) AS kurtosis" if c in _LINE_NUMBERS else "NULL AS mean, NULL AS std, NULL AS min, NULL AS max, NULL AS skewness, NULL AS kurtosis")
+    + f", TRUE AS unique_near, {'TRUE' if c in _LINE_NUMBERS else 'NULL'} AS median_near, TRUE AS top_near FROM lineitem" for c in _LINES
+)
+
+
+def _near(found, df):
+    """Figures from states, and whether those from sketches are within their error of exact ones, counted here."""
+    exact = profile.profile(df, exact=True).select(F.col("column_name").alias("c"), F.col("unique_count").alias("u"))
+    rows = profile.long_form(df, list(_LINES)).where("value is not null")
+    most = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("m")).groupBy(F.col("column_name").alias("k")).agg(F.max("m").alias("most"))
+    ranks = [F.struct(F.lit(c).alias("name"), F.avg((F.col(c) < F.col(f"_{c}")).cast("double")).alias("under"), F.avg((F.col(c) <= F.col(f"_{c}")).cast("double")).alias("upto")) for c in _LINE_NUMBERS]
+    medians = found.where("median is not null").groupBy().agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(f"_{c}") for c in _LINE_NUMBERS])
+    placed = df.crossJoin(F.broadcast(medians)).agg(*ranks).select(F.inline(F.array(*[F.col(x) for x in df.crossJoin(medians).agg(*ranks).columns])))  # medians: one row
+    met = found.join(exact, F.col("column_name") == F.col("c")).join(most, F.col("column_name") == F.col("k")).join(placed, F.col("column_name") == F.col("name"), "left")
+    near = {"unique_near": F.abs(F.col("unique_count") - F.col("u")) <= 0.03 * F.col("u"), "median_near": F.when(F.col("median").isNotNull(), (F.col("under") <= 0.54) & (F.col("upto") >= 0.46)), "top_near": F.col("top_count").between(F.col("most") - F.col("off"), F.col("most"))}
+    out = met.withColumns(near).select("column_name", "total_count", "null_count", "mean", "std", "min", "max", "skewness", "kurtosis", *near)
+    return rounded(4, out, "mean", "std", "skewness", "kurtosis")
+
+
+@query(_NEAR)
+def profile_merged_states(spark, sf_dir):
+    """States of two halves of a table, merged."""
+    df = t(spark, sf_dir, "lineitem").select(*_LINES)
+    halves = df.withColumn("half", F.col("l_orderkey") % 2)
+    states = sketches.column_states(halves, _LINES, by=["half"]).drop("half")
+    return _near(sketches.profile_of_states(sketches.merge_states(states)), df)
+
+
+@query(_NEAR)
+def profile_files(spark, sf_dir):
+    """States of the files of a table, of which one comes later and alone is read then."""
+    where = scratch_path(spark, "profile-files")
+    df, store = t(spark, sf_dir, "lineitem").select(*_LINES), ProfileStore(spark, where + "/states")
+    df.where("l_orderkey % 3 <> 0").write.parquet(where + "/table")
+    store.refresh(where + "/table")
+    df.where("l_orderkey % 3 = 0").write.mode("append").parquet(where + "/table")
+    return _near(store.profile(where + "/table"), df)
+
+
 _MOMENTS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS kind, CAST(count({c}) AS DOUBLE) AS n, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, skewness({c}) AS s1, kurtosis({c}) AS s2, kurtosis_pop({c}) AS g2, skewness({c}) * (count({c}) - 2) / sqrt(CAST(count({c}) AS DOUBLE) * (count({c}) - 1)) AS g1 FROM {tb}" for c, k, tb in (("value", "float", "events"), ("p_retailprice", "float", "part"), ("p_size", "integer", "part")))
 
 
@@ -91,11 +136,23 @@ def rel_functional_dependency(spark, sf_dir):
     return r6(profile.functional_dependencies(t(spark, sf_dir, "nation"), pairs), "mean_distinct", "single_share")
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))))
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CAST(regr_count({a}, {b}) AS BIGINT) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))))
 def rel_correlation(spark, sf_dir):
     return r6(profile.correlations(t(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), "r")
 
 
+_PART = {"p_partkey": True, "p_name": False, "p_brand": False, "p_type": False, "p_size": True, "p_retailprice": True}
+_PART_PAIRS = [(a, b) for i, a in enumerate(_PART) for b in list(_PART)[i + 1 :]]
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{a}' AS source, '{b}' AS target, 'correlation' AS type, round_even(r, 3) AS weight FROM (SELECT corr({a}, {b}) AS r, regr_count({a}, {b}) AS n FROM part) WHERE n > 5 AND abs(r) > 0.5" for a, b in _PART_PAIRS if _PART[a] and _PART[b])
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT '{a}', '{b}', 'functional_dependency', 1.0 FROM (SELECT count(DISTINCT {b}) AS n FROM part WHERE {a} IS NOT NULL GROUP BY {a}) HAVING avg(n) < 1.05 AND count(*) > 2" for a, b in _PART_PAIRS)
+)
+def rel_related_columns(spark, sf_dir):
+    return profile.related_columns(t(spark, sf_dir, "part").select(*_PART))
+
+
 @query("""SELECT round(avg(abs(y - (p + q))) / (avg(abs(y)) + 1e-10), 6) AS sum_error, round(avg(abs(y - (p - q))) / (avg(abs(y)) + 1e-10), 6) AS difference_error,
 round(avg(abs(y - p * q)) / (avg(abs(y)) + 1e-10), 6) AS product_error, least(avg(abs(y - (p + q))), avg(abs(y - (p - q))), avg(abs(y - p * q))) / (avg(abs(y)) + 1e-10) < 0.1 AS derived
 FROM (SELECT l_extendedprice AS y, l_quantity AS p, l_tax AS q FROM lineitem)""")
@@ -156,6 +213,14 @@ def bm25_topk(spark, sf_dir):
     return r6(_bm25(spark, sf_dir), "score")
 
 
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def bm25_index(spark, sf_dir):
+    """The same from an index that is built first; the search reads no documents."""
+    index = textindex.TextIndex(spark, scratch_path(spark, "bm25"))
+    index.build(t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r6(index.search(t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10), "score")
+
+
 _DENSE = "v AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
 
 
@@ -172,6 +237,27 @@ def vector_topk(spark, sf_dir):
 _REL = "qr AS (SELECT i.item_id AS query_id, l.doc_id, l.quality + 0 AS relevance FROM labels l JOIN benchmark i ON l.doc_id % 40 = i.item_id)"
 
 
+@query(f"WITH {_DENSE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM v) WHERE rank <= 10")
+def vector_index(spark, sf_dir):
+    """The nearest vectors from an index of inverted lists in its exact mode."""
+    index = vectorindex.VectorIndex(spark, scratch_path(spark, "vectors"))
+    vectors, queries = _vectors(spark, sf_dir)
+    index.build(vectors)
+    return r6(index.search(queries, 10, exact=True), "score")
+
+
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Whether nine tenths of what comparing all vectors finds is in the lists probed, as many as a sample of vectors asks for."""
+    index = vectorindex.VectorIndex(spark, scratch_path(spark, "vectors"))
+    vectors, queries = _vectors(spark, sf_dir)
+    index.build(vectors, lists=16)
+    found, wanted = index.search(queries, 10, probes=index.probes_for(10)).select("query_id", "doc_id"), retrieval.dense(vectors, queries, 10).select("query_id", "doc_id")
+    met = wanted.join(found.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    return met.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+
 def _qrels(spark, sf_dir):
     labels, items = t(spark, sf_dir, "labels"), t(spark, sf_dir, "benchmark")
     return labels.join(items, F.col("doc_id") % 40 == F.col("item_id")).select(F.col("item_id").alias("query_id"), "doc_id", F.col("quality").alias("relevance"))
