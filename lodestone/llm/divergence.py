@@ -7,6 +7,8 @@ ranking. Partial matrices are summed and the heads merged over the blocks. Many
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,34 +25,30 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 
 def _count_terms(batches):
     """Occurrences and documents of each term of a task's texts by (lang, source); passed on whenever ``TASK_TERMS`` terms are held."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
     def rows():
-        columns: list[list] = [[], [], [], [], []]
-        for (lang, source), terms in held.items():
-            for term, (n, docs) in terms.items():
-                for column, value in zip(columns, (lang, source, term, n, docs), strict=True):
-                    column.append(value)
-        arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary()).cast(pa.string())]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["lang", "source", "term", "n", "docs"])
+        columns = [[], [], [], [], []]
+        for group, (counts, docs) in held.items():
+            n = len(counts) + 1
+            columns[0].append(pa.repeat(pa.scalar(group[0], pa.string()), n))
+            columns[1].append(pa.repeat(pa.scalar(group[1], pa.string()), n))
+            columns[2].append(pa.array([*counts, b""], pa.binary()))
+            columns[3].append(pa.array([*counts.values(), 0], pa.int64()))
+            columns[4].append(pa.array([*map(docs.__getitem__, counts), 0], pa.int64()))
+        arrays = [pa.concat_arrays(c) for c in columns]
+        return pa.RecordBatch.from_arrays([*arrays[:2], arrays[2].cast(pa.string()), *arrays[3:]], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         texts, langs, sources = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "lang", "source"))
         for text, lang, source in zip(texts.cast(pa.binary()), langs.to_pylist(), sources.to_pylist(), strict=True):
-            terms = held.setdefault((lang or "", source or ""), {b"": [0, 0]})
-            before = len(terms)
-            found: dict[bytes, int] = {}
-            for term in (text.as_py() or b"").translate(_LETTERS).split(b" "):
-                found[term] = found.get(term, 0) + 1
-            found.pop(b"", None)
-            for term, n in found.items():
-                if (seen := terms.get(term)) is None:
-                    terms[term] = [n, 1]
-                else:
-                    seen[0] += n
-                    seen[1] += 1
-            size += len(terms) - before
+            counts, docs = held.setdefault((lang or "", source or ""), (Counter(), Counter()))
+            before = len(counts)
+            terms = (text.as_py() or b"").translate(_LETTERS).split()
+            counts.update(terms)
+            docs.update(set(terms))
+            size += len(counts) - before
             if size >= TASK_TERMS:
                 yield rows()
                 held, size = {}, 0
