@@ -80,11 +80,25 @@ def plain(rows, parts, own):
     return {(r[0], r[1], r[2]): score(r[1], (r[2] or "") if (r[2] or "") in own else Q.POOLED) for r in rows}, held
 
 
-def at_quantile(scores, q=0.9):
+def step_at(scores, q):
     steps = sorted(round(x * 1000) for x in scores)
     at = q * (len(steps) - 1)
     low = steps[int(at)]
-    return math.exp((low + (steps[min(int(at) + 1, len(steps) - 1)] - low) * (at - int(at))) / 1000 + 0.0005)
+    return low + (steps[min(int(at) + 1, len(steps) - 1)] - low) * (at - int(at))
+
+
+def at_quantile(scores, q=0.9, held=False):
+    """The quantile; of held-out documents, not farther out than their median and upper quartile allow."""
+    step, middle, upper = (step_at(scores, x) for x in (q, 0.5, 0.75))
+    return math.exp((min(step, upper + Q.SPREAD * max(upper - middle, 10)) if held else step) / 1000 + 0.0005)
+
+
+def test_one_odd_document_does_not_set_the_limit(spark):
+    """75 held-out documents, of which one has a word that no other text has."""
+    rows = [("x", -1.5 * 100 - i % 10, 100, 2.0 + (i % 20) / 20) for i in range(74)] + [("x", -900.0, 100, 7.0)]
+    for n in (75, 30):
+        limit = Q.limits_of(spark.createDataFrame(rows[-n:], "lang string, logp double, n_symbols int, worst_word double"), 0.985).collect()[0]
+        assert math.log(limit["word_high"]) < 5.5 and math.log(limit["high"]) < 2.1
 
 
 @pytest.mark.parametrize("hot_grams", [100_000, 7])
@@ -109,7 +123,7 @@ def test_against_plain(spark, monkeypatch, hot_grams):
         model = r["lang"] if r["lang"] in own else Q.POOLED
         limits = []
         for which in (1, 2):
-            limit = at_quantile([h[which] for h in held[model]])
+            limit = at_quantile([h[which] for h in held[model]], held=True)
             if model == Q.POOLED:  # these languages have no held-out document here
                 limit = max(limit, at_quantile([v[which] for (_, _, lang), v in want.items() if lang == r["lang"] and v[0]] or [0.0]))
             limits.append(limit)
@@ -166,6 +180,25 @@ def test_kept_rows_have_all_columns(spark):
     assert found == kept and found[4, found and next(n for i, n in found if i == 4)] >= 1
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns with the names that the operators use inside come out as they went in."""
+    from lodestone.llm.minhash import drop_near_duplicates
+    from lodestone.llm.mixing import mixed_rows
+
+    names = ["id", "_id", "hash", "_h", "h", "row", "_row", "_r", "mark", "copy", "_copy", "times", "_text", "key", "rows", "size", "taken", "range", "fp", "part", "model", "kept", "Hash"]
+    rows = [(*r[:4], *[f"{c}{i}" for c in names]) for i, r in enumerate(corpus(n=40)) if r[0] is not None]
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+        for out in (Q.keep_quality(df, labels), drop_near_duplicates(df, percent=80, size=5), mixed_rows(df)):
+            assert out.columns == df.columns
+            found = out.collect()
+            assert found and {tuple(r) for r in found} <= set(rows)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+
+
 def test_rare_languages_keep_clean_documents(spark):
     rng = random.Random(7)
     clean = lambda lang: " ".join(rng.choice(WORDS[lang]) for _ in range(100)) + "."
