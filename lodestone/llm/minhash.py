@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import cut, release, small
+from lodestone.llm.shared import cut, free_names, release, small
 
 UNIVERSE_BITS = 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -255,15 +255,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps, and of rows that repeat doc_id and words one only."""
+    """The rows of ``docs``, with all their columns whatever their names, that ``near_duplicates`` keeps, and of rows that repeat doc_id and words one only."""
     out, base = _components(docs, **options)
-    gone = cut(out.where("not kept").select(F.col("doc_id").alias("_id"), "_text").distinct(), "near-gone")
-    again = cut(base.where("doc_id is not null").groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), "_text"), "near-again")
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
-    kept = keyed.join(small(gone), ["_id", "_text"], "left_anti")
+    key, mark = free_names(docs, "id", "hash")
+    gone = cut(out.where("not kept").select(F.col("doc_id").alias(key), F.col("_text").alias(mark)).distinct(), "near-gone")
+    again = cut(base.where("doc_id is not null").groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(key), F.col("_text").alias(mark)), "near-again")
+    keyed = docs.withColumns({key: F.col("doc_id").cast("long"), mark: F.xxhash64("text")})
+    kept = keyed.join(small(gone), [key, mark], "left_anti")
     if again.limit(1).count():
-        once = kept.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
-        kept = kept.join(again, ["_id", "_text"], "left_anti").unionByName(once)
+        once = kept.join(again, [key, mark], "left_semi").dropDuplicates([key, mark])
+        kept = kept.join(again, [key, mark], "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
