@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import buckets_for, cut, hash_bucket, ordered_hash, word_count
+from lodestone.llm.shared import buckets_for, cut, free_names, hash_bucket, ordered_hash, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, size: Column | None = None, whole_documents: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """What a mix takes of each document: doc_id, source, size, source_size, target, taken, and the columns named in ``carry``.
 
-    Documents of a source are in the order of a seeded hash of doc_id (ties: doc_id, size). With a budget B, its
+    Documents of a source are in the order of a seeded hash of doc_id (ties: doc_id, size, then the carried columns). With a budget B, its
     target rounded, and S its size, each is taken B div S times whole; then the order is walked and the first B mod S
     words are taken again, so the sums are exact. The document at the cut gives part of its words; with
     ``whole_documents`` it is taken whole if at least half of it lies before the cut.
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     sums = cut(sums.withColumn("before", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))), "mix-sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most).withColumnRenamed("source", "t")
     starts = sums.join(targets, F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias("s"), F.col("range").alias("r"), "before", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     budget = F.floor(F.col("target") + 0.5).cast("long")
@@ -72,18 +72,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as often as a mix of whole documents takes them.
+    """The rows of ``docs``, with all their columns whatever their names, as often as a mix of whole documents takes them.
 
-    A row is known by a hash of all its columns, so rows without doc_id, or that repeat one, keep their own counts.
+    A row is known by a hash of all its columns, so rows without doc_id, or that repeat one, keep their own counts, and rows of one
+    doc_id and size have an order.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    taken = mix(keyed, weights, share, most, seed, whole_documents=True, carry=["_row"])
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    counts = taken.select("_row", F.col("doc_id").alias("_id"), times.alias("times")).groupBy("_row", "_id").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
-    counts = cut(counts.where("times > 0").withColumnRenamed("_row", "_r"), "mix-times")
-    same = (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = keyed.join(counts.where("rows = 1"), same)
+    row, key, mark, copy, times = free_names(docs, "row", "id", "mark", "copy", "times")
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    taken = mix(keyed.select("doc_id", "source", "text", F.col(row).alias("_row")), weights, share, most, seed, whole_documents=True, carry=["_row"])
+    often = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    counts = taken.select(F.col("_row").alias(mark), F.col("doc_id").alias(key), often.alias(times)).groupBy(mark, key).agg(F.sum(times).alias(times), F.count(F.lit(1)).alias("rows"))
+    counts = cut(counts.where(F.col(times) > 0), "mix-times")
+    same = (F.col(row) == F.col(mark)) & docs["doc_id"].eqNullSafe(F.col(key))
+    once = keyed.join(counts.where("rows = 1").drop("rows"), same)
     if counts.where("rows > 1").limit(1).count():  # rows alike in all columns: one stands for all
-        again = keyed.join(counts.where("rows > 1"), same)
-        once = once.unionByName(again.dropDuplicates(["_row", "_id"]))
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+        again = keyed.join(counts.where("rows > 1").drop("rows"), same)
+        once = once.unionByName(again.dropDuplicates([row, key]))
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
