@@ -223,7 +223,7 @@ def _groups(benchmark: DataFrame, share: float, least_words: int, recall: float,
     yield Items(group, share, least_words, recall, seed)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 5, recall: float = 0.999, seed: int = 11, group_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 1, recall: float = 0.999, seed: int = 11, group_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, distance, item_words, start_word: a row for each row of ``docs`` and item found in it.
 
     An item of n words is in a document if some stretch of its words is within floor(n * ``share``) insertions, deletions and
@@ -256,7 +256,7 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 5, recall: float = 0.999, seed: int = 11, group_bytes: int = 8 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, least_words: int = 1, recall: float = 0.999, seed: int = 11, group_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item of the benchmark."""
     for items in _groups(benchmark, share, least_words, recall, seed, group_bytes):
         held = docs.sparkSession.sparkContext.broadcast(items)

@@ -218,6 +218,7 @@ def test_decontamination_of_odd_tables(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
     items = [(i, " ".join(rng.choices(words, k=rng.choice([6, 15, 40, 120])))) for i in range(12)]
+    items += [(20 + n, " ".join(f"short{n}of{i}" for i in range(n))) for n in (1, 2, 3, 4)]  # these match exactly only
     docs = [(None, "x " + items[0][1]), (BIG, items[1][1].upper()), (3, None), (4, ""), (5, "y " * 20_000 + items[2][1])]
     for i, (_, text) in enumerate(items):
         w = text.split()
@@ -226,6 +227,7 @@ def test_decontamination_of_odd_tables(spark):
             kind = rng.randrange(3)
             w[at : at + (kind != 1)] = [] if kind == 0 else ["new"]
         docs.append((100 + i, "z " * 9 + " ".join(w) + " z"))
+        docs.append((200 + i, "z " * 3 + text + " z"))
     want = {}
     for doc_id, text in docs:
         for item_id, item in items:
