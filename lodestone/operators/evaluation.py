@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -10,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import bm25
+from lodestone.functions.text import search_tokens
+from lodestone.operators.retrieval import K1, B, bm25
 
 CUTOFFS = (1, 5, 10, 20)
 METRICS = ("ndcg", "precision", "recall", "rr", "ap")
@@ -47,13 +49,89 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = 10, graded: bool
     )
 
 
-def metrics_at(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, graded: bool = False) -> DataFrame:
-    """k, queries, ndcg, precision, recall, mrr, map: means over all judged queries for each cut-off."""
-    def one(k: int) -> DataFrame:
-        m = ranking_metrics(run, qrels, k, graded)
-        return m.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("queries"), F.avg("ndcg").alias("ndcg"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.avg("ap").alias("map"))
+def metrics_at(run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, graded: bool = False, experiments: Sequence[str] | None = None) -> DataFrame:
+    """[experiment,] k, queries, ndcg, precision, recall, mrr, map: means over all judged queries for each cut-off, of ``experiments`` side by side if the run has that column.
 
-    return reduce(DataFrame.union, [one(k) for k in cutoffs])
+    All cut-offs and experiments come from one pass over the run: each query's sums for every cut-off are columns of one aggregate. Metrics are those of ``ranking_metrics``.
+    """
+    by = [] if experiments is None else ["experiment"]
+    judged = run.join(qrels, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("relevance", F.lit(0)))
+    judged = judged.withColumn("rel", F.when(F.col("rel") > 0, F.col("rel") if graded else F.lit(1)).otherwise(0))
+    by_rel = lambda *c: Window.partitionBy(*c, "query_id").orderBy(F.desc("rel"))
+    j = judged.withColumns({"hits": F.sum((F.col("rel") > 0).cast("int")).over(Window.partitionBy(*by, "query_id").orderBy("rank")), "ideal": F.row_number().over(by_rel(*by))})
+    gain = lambda place, k: F.sum(F.when(F.col(place) <= k, (F.pow(F.lit(2.0), "rel") - 1) / F.log2(F.col(place) + 1.0)).otherwise(0.0))
+    per = j.groupBy(*by, "query_id").agg(
+        *[x for k in cutoffs for x in (gain("rank", k).alias(f"dcg{k}"), gain("ideal", k).alias(f"own{k}"), F.count_if((F.col("rel") > 0) & (F.col("rank") <= k)).alias(f"found{k}"))],
+        F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first"), F.sum(F.when(F.col("rel") > 0, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("precisions"),
+    )
+    of = qrels.withColumn("rel", F.greatest("relevance", F.lit(0))).withColumn("ideal", F.row_number().over(by_rel()))
+    of = of.groupBy("query_id").agg(F.count_if(F.col("rel") > 0).alias("relevant"), *[gain("ideal", k).alias(f"full{k}") for k in cutoffs])
+    if by:
+        of = of.withColumn("experiment", F.explode(F.array(*map(F.lit, experiments))))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    some = F.col("relevant") > 0
+    at = []
+    for k in cutoffs:
+        ideal = F.col(f"full{k}" if graded else f"own{k}")
+        at.append(F.struct(F.lit(k).alias("k"), zero(F.when(ideal > 0, F.col(f"dcg{k}") / ideal)).alias("ndcg"), zero(F.col(f"found{k}") / k).alias("precision"), zero(F.when(some, F.col(f"found{k}") / F.col("relevant"))).alias("recall")))
+    rows = of.join(per, [*by, "query_id"], "left").select(*by, zero(1 / F.col("first")).alias("rr"), zero(F.when(some, F.col("precisions") / F.col("relevant"))).alias("ap"), F.explode(F.array(*at)).alias("x")).select(*by, "x.*", "rr", "ap")
+    return rows.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("queries"), *[F.avg(c).alias(n) for c, n in (("ndcg", "ndcg"), ("precision", "precision"), ("recall", "recall"), ("rr", "mrr"), ("ap", "map"))])
+
+
+def experiment_documents(datasets: DataFrame, methods: dict[str, tuple[list[str], str | None]], descriptions: DataFrame | None = None) -> DataFrame:
+    """experiment, doc_id, text: what each method indexes of each dataset, from one pass.
+
+    datasets: id and any of title, description, columns (array); descriptions: id, method, ufd, sfd. A method names its fields in order (title, description, columns, ufd, sfd)
+    and whose descriptions it takes; the fields that a dataset has are joined by spaces. Datasets known from descriptions only
+    are indexed too; those without text are not.
+    """
+    d = datasets.withColumnRenamed("id", "doc_id")
+    if descriptions is not None:
+        told = descriptions.groupBy(F.col("id").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct("method", F.struct("ufd", "sfd")))).alias("told"))
+        d = d.join(told, "doc_id", "full")
+    own = {"title": F.col("title"), "description": F.col("description"), "columns": F.array_join("columns", " ") if "columns" in datasets.columns else F.lit(None)}
+
+    def part(field: str, source: str | None):
+        if field in ("ufd", "sfd"):
+            return F.try_element_at("told", F.lit(source))[field]
+        return own[field]
+
+    texts = [F.struct(F.lit(name).alias("experiment"), F.concat_ws(" ", *[F.nullif(part(f, source), F.lit("")) for f in fields]).alias("text")) for name, (fields, source) in methods.items()]
+    return d.select("doc_id", F.explode(F.array(*texts)).alias("x")).select("x.experiment", "doc_id", "x.text").where(F.trim("text") != "")
+
+
+def run_matrix(documents: DataFrame, queries: DataFrame, qrels: DataFrame, experiments: Sequence[str], path: str, cutoffs: tuple[int, ...] = CUTOFFS, graded: bool = False, tokens=search_tokens) -> DataFrame:
+    """experiment, k, queries, documents and metrics of BM25 for all experiments (experiment, doc_id, text) and cut-offs at once.
+
+    Texts are cut once, into an index below ``path``; lengths, frequencies and scores of all experiments come from it in one plan with
+    the experiment as a column. Five times as many documents as the largest cut-off are retrieved; only queries with judgments count.
+    """
+    asked = queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    judged = qrels.join(queries.select("query_id"), "query_id", "left_semi")
+    documents.select("experiment", "doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0).write.mode("overwrite").parquet(path)
+    index = documents.sparkSession.read.parquet(path)
+    figures = F.broadcast(index.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")))  # a row for each experiment
+    terms = asked.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    split = index.select("experiment", "doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    p = split.join(terms.select("term").distinct(), "term", "left_semi").groupBy("experiment", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = p.groupBy("experiment", "term").agg(F.count(F.lit(1)).alias("df"))
+    hits = p.join(df, ["experiment", "term"]).join(terms, "term").join(figures, "experiment")
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
+    scores = hits.groupBy("experiment", "query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    order = Window.partitionBy("experiment", "query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    run = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5 * max(cutoffs))
+    return metrics_at(run, judged, cutoffs, graded, experiments).join(figures.select("experiment", F.col("n").alias("documents")), "experiment", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+
+
+def comparison_table(results: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, references: DataFrame | None = None) -> DataFrame:
+    """method, num_queries, ndcg_<k> for each cut-off, map, mrr, is_reference: a row for each experiment, rounded half to even at 4 digits.
+
+    references: rows of values cited from elsewhere (method, num_queries and some of the figures), put in as they are.
+    """
+    figure = lambda k: F.bround(F.max(F.when(F.col("k") == k, F.col("ndcg"))), 4).alias(f"ndcg_{k}")
+    rows = results.groupBy(F.col("experiment").alias("method")).agg(F.max("queries").alias("num_queries"), *[figure(k) for k in cutoffs], F.bround(F.max("map"), 4).alias("map"), F.bround(F.max("mrr"), 4).alias("mrr")).withColumn("is_reference", F.lit(False))
+    return rows if references is None else rows.unionByName(references.withColumn("is_reference", F.lit(True)), allowMissingColumns=True)
 
 
 def run_experiment(docs: DataFrame, queries: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, graded: bool = False) -> DataFrame:
@@ -64,8 +142,8 @@ def run_experiment(docs: DataFrame, queries: DataFrame, qrels: DataFrame, cutoff
 
 
 def comparison(experiments: dict[str, DataFrame]) -> DataFrame:
-    """experiment, k, queries and metrics of several experiments, rounded to 4 digits."""
-    parts = [m.select(F.lit(name).alias("experiment"), "k", "queries", *[F.round(c, 4).alias(c) for c in ("ndcg", "precision", "recall", "mrr", "map")]) for name, m in experiments.items()]
+    """experiment, k, queries and metrics of several experiments, rounded half to even at 4 digits."""
+    parts = [m.select(F.lit(name).alias("experiment"), "k", "queries", *[F.bround(c, 4).alias(c) for c in ("ndcg", "precision", "recall", "mrr", "map")]) for name, m in experiments.items()]
     return reduce(DataFrame.union, parts)
 
 

@@ -125,12 +125,49 @@ def context_domains(neighbours: DataFrame) -> DataFrame:
     return whole.select("dataset", F.when(best >= 2, case_chain([(n == best, d) for n, d in zip(counts, CONTEXTS, strict=True)])).alias("domain"))
 
 
-def inferred_concepts(columns: DataFrame, domains: DataFrame) -> DataFrame:
-    """dataset, column_name, id, display_name, definition, domain, confidence for columns (dataset, column_name, data_type, samples) without a match."""
+def running_domains(columns: DataFrame, texts: DataFrame) -> DataFrame:
+    """``columns`` (dataset, place, column_name, ...) with domain: the context of the matched columns before each, in the order of place.
+
+    texts: dataset, column_name, text of matched columns. A window over the rows up to the one before gathers, as bits, the words of each domain that were met so far; the
+    domain with the most, two at least, counts, the first of equal ones; null before that. A dataset's columns are one window, so it is bounded by the widest table.
+    """
+    met = texts.groupBy("dataset", "column_name").agg(F.concat_ws(" ", F.collect_list(F.lower("text"))).alias("_text"))
+    rows = columns.join(met, ["dataset", "column_name"], "left")
+    before = Window.partitionBy("dataset").orderBy("place", "column_name").rowsBetween(Window.unboundedPreceding, -1)
+    counts = []
+    for words in CONTEXTS.values():
+        bits = reduce(Column.bitwiseOR, [F.when(F.contains("_text", F.lit(w)), 1 << i).otherwise(0).cast("long") for i, w in enumerate(words)])
+        counts.append(F.coalesce(F.bit_count(F.bit_or(bits).over(before)), F.lit(0)))
+    names = [f"_c{i}" for i in range(len(counts))]
+    rows = rows.withColumns(dict(zip(names, counts, strict=True)))
+    best = F.greatest(*names)
+    return rows.withColumn("domain", F.when(best >= 2, case_chain([(F.col(n) == best, d) for n, d in zip(names, CONTEXTS, strict=True)]))).drop("_text", *names)
+
+
+def with_running_context(matched: DataFrame, columns: DataFrame, texts: DataFrame) -> DataFrame:
+    """dataset, place, column_name, concept_id, score, source, domain: matches as they are, and the other columns inferred in order.
+
+    A column (dataset, place, column_name, data_type, samples) without a match is inferred (context_inference) if the matches before it tell a
+    domain, and else has no_match; matches that come later don't count.
+    """
+    placed = running_domains(columns, texts)
+    known = matched.where("concept_id is not null").select("dataset", "column_name", "concept_id", "score")
+    rest = placed.join(known, ["dataset", "column_name"], "left_anti")
+    inferred = inferred_concepts(rest.where("domain is not null")).select("dataset", "column_name", F.col("id").alias("concept_id"), F.col("confidence").alias("score"), F.lit("context_inference").alias("source"))
+    found = known.withColumn("source", F.lit("matched")).unionByName(inferred)
+    out = placed.select("dataset", "place", "column_name", "domain").join(found, ["dataset", "column_name"], "left")
+    return out.select("dataset", "place", "column_name", "concept_id", "score", F.coalesce("source", F.lit("no_match")).alias("source"), "domain")
+
+
+def inferred_concepts(columns: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """dataset, column_name, id, display_name, definition, domain, confidence for columns (dataset, column_name, data_type, samples) without a match.
+
+    ``domains``: dataset, domain; else the columns have a domain each.
+    """
     known = [(d, name, text) for d, texts in MEANINGS.items() for name, text in texts.items()]
     meanings = F.broadcast(columns.sparkSession.createDataFrame(known, "domain string, name string, meaning string"))  # the fixed meanings above
     name = F.lower(F.trim("column_name"))
-    c = columns.join(domains, "dataset", "left").withColumn("name", name).join(meanings, ["domain", "name"], "left")
+    c = (columns if domains is None else columns.join(domains, "dataset", "left")).withColumn("name", name).join(meanings, ["domain", "name"], "left")
     readable = F.initcap(F.trim(F.regexp_replace(F.lower("column_name"), r"[_\s]+", " ")))
     numbers = F.transform("samples", lambda x: x.try_cast("double"))
     whole = (F.size("samples") > 0) & ~F.exists(numbers, lambda x: x.isNull())
@@ -211,3 +248,46 @@ def rerank(candidates: DataFrame, scorer=None, first: int = 10, second: int = 3,
     scored = kept.withColumn("rerank_score", score)
     order = Window.partitionBy("column_name").orderBy(F.desc("rerank_score"), "_n")
     return scored.withColumn("rank", F.row_number().over(order)).drop("_s", "_n")
+
+
+def listwise_prompts(columns: DataFrame, candidates: DataFrame) -> DataFrame:
+    """id (column_name), prompt: one question a column about all its candidates (column_name, place, id, display_name, definition, aliases).
+
+    columns: column_name, data_type, samples. The answer asked for is a JSON list of concept_id, match_score and justification, best first.
+    """
+    listed = F.when(F.size("aliases") > 0, F.concat(F.lit(" (also: "), F.array_join(F.slice("aliases", 1, 5), ", "), F.lit(")"))).otherwise("")
+    line = F.concat(F.col("place").cast("string"), F.lit(". ID: `"), F.coalesce("id", F.lit("unknown")), F.lit("` | Name: `"), F.coalesce("display_name", F.lit("")), F.lit("` | Definition: "), F.coalesce("definition", F.lit("N/A")), listed)
+    lines = candidates.groupBy("column_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    about = F.concat(F.lit("Column: `"), "column_name", F.lit("`\nData type: `"), F.coalesce("data_type", F.lit("unknown")), F.lit("`\nSample values: `"), F.array_join(F.slice("samples", 1, 5), ", "), F.lit("`\n"))
+    task = 'Order these concepts from the best match for the column to the worst and answer with nothing but a JSON list of {"concept_id": ..., "match_score": 0 to 1, "justification": ...}.\n'
+    return columns.join(lines, "column_name").select(F.col("column_name").alias("id"), F.concat(F.lit(task), about, F.lit("Concepts:\n"), "lines").alias("prompt"))
+
+
+def rerank_listwise(columns: DataFrame, candidates: DataFrame, model, scorer=None, first: int = 10, second: int = 3) -> DataFrame:
+    """Candidates (column_name, id, display_name, definition, aliases, score) with rerank_score, justification and rank, best first.
+
+    columns: column_name, data_type, samples. ``scorer``, a pandas UDF over (query, text), puts the ``first`` best on; without it they stay in
+    the order of score. The ``second`` best of each column go to the ``model`` in one question a column (prompts to answers, in the tasks), whose scores are joined back by column and id: the last of an id counts, a
+    missing score is 0. Candidates that an answer leaves out, or all if it holds no list, keep their own score: that of the scorer through a sigmoid, else the vector
+    score; if the list is broken, the scorer's as it is. Of equal scores the order of the answer, then the earlier one stays.
+    """
+    from lodestone.operators.generation import generate
+    from lodestone.operators.prompts import extracted_array
+
+    about = columns.select("column_name", F.concat_ws(" ", "column_name", F.concat(F.lit("["), F.array_join(F.slice("samples", 1, 5), ", "), F.lit("]"))).alias("_query"))
+    text = F.concat(F.coalesce("display_name", F.lit("")), F.lit(". "), F.coalesce("definition", F.lit("")))
+    base = candidates.join(about, "column_name").withColumn("_s", scorer(F.col("_query"), text) if scorer is not None else F.col("score").cast("double"))
+    best = Window.partitionBy("column_name").orderBy(F.desc("_s"), "id")
+    base = base.withColumn("place", F.row_number().over(best)).where(F.col("place") <= (first if scorer is not None else 1 << 30)).drop("_query")
+    asked = generate(listwise_prompts(columns, base.where(F.col("place") <= second)), model)
+    kind = "array<struct<concept_id: string, match_score: double, justification: string>>"
+    read = asked.select(F.col("id").alias("column_name"), extracted_array(F.col("answer")).alias("_list"))
+    read = read.select("column_name", (F.col("_list").isNotNull() & F.try_parse_json("_list").isNull()).alias("_broken"), F.when(F.try_parse_json("_list").isNotNull(), F.from_json("_list", kind)).alias("_r"))
+    given = read.select("column_name", F.posexplode("_r").alias("_at", "_x")).groupBy("column_name", F.col("_x.concept_id").alias("id")).agg(F.max(F.struct("_at", F.coalesce("_x.match_score", F.lit(0.0)).alias("m"), "_x.justification")).alias("_g"))
+    scored = base.join(read.select("column_name", "_broken"), "column_name", "left").join(given, ["column_name", "id"], "left")
+    told = F.when(F.col("place") <= second, F.col("_g.m"))
+    own = F.when(F.col("_broken") & (F.col("place") <= second), F.col("_s")).otherwise(sigmoid(F.col("_s"))) if scorer is not None else F.col("_s")
+    inner = Window.partitionBy("column_name").orderBy((F.col("place") > second).cast("int"), F.when(F.col("place") <= second, -F.coalesce(told, F.lit(0.0))), "place")
+    ordered = scored.withColumns({"_order": F.row_number().over(inner), "rerank_score": F.coalesce(told, own), "justification": F.when(F.col("place") <= second, F.col("_g.justification"))})
+    final = Window.partitionBy("column_name").orderBy(F.desc("rerank_score"), "_order")
+    return ordered.withColumn("rank", F.row_number().over(final)).select(*candidates.columns, "rerank_score", "justification", "rank")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import concepts, describe, details, evaluation, generation, graph, injection, profile, prompts, reasoning, retrieval, rules, topics
 from lodestone.plans.columns import ALL, _COLUMNS, all_columns, case, heads_sql, match, quoted
-from lodestone.plans.queries import _bm25, _qrels, _REL, query, r6, t
+from lodestone.plans.queries import _BM25, _bm25, _qrels, _REL, _TOKENS as _SPLIT, query, r6, t
+from lodestone.sources.scratch import scratch_path
 
 
 def words_sql(words) -> str:
@@ -314,6 +315,58 @@ def match_cascade(spark, sf_dir):
     return r6(concepts.match_columns(columns, known, aliases), "score")
 
 
+_CONTEXT_TABLES = ("orders", "lineitem", "customer", "part")
+_CONTEXT_KEYS = ("price", "cust", "disc", "order")
+_CONTEXT_TEXT = "the {} of a customer order"
+
+
+@query(f"""WITH {_COLUMNS}, x AS (SELECT dataset, place, column_name, data_type, {' OR '.join(f"contains(column_name, '{k}')" for k in _CONTEXT_KEYS)} AS hit FROM c WHERE dataset IN {_CONTEXT_TABLES}),
+k(domain, i, word) AS (VALUES {', '.join(f"({quoted(d)}, {i}, {quoted(w)})" for i, (d, ws) in enumerate(reasoning.CONTEXTS.items()) for w in ws)}),
+w AS (SELECT a.dataset, a.column_name, k.domain, k.i, count(DISTINCT word) AS n FROM x a JOIN x b ON a.dataset = b.dataset AND b.place < a.place AND b.hit JOIN k ON contains('the ' || b.column_name || ' of a customer order', word) GROUP BY ALL),
+d AS (SELECT dataset, column_name, domain FROM (SELECT *, row_number() OVER (PARTITION BY dataset, column_name ORDER BY n DESC, i) AS r FROM w WHERE n >= 2) WHERE r = 1)
+SELECT x.dataset, CAST(place AS INT) AS place, x.column_name, CASE WHEN hit THEN 'concept_' || x.column_name WHEN domain IS NOT NULL THEN 'inferred_' || x.column_name END AS concept_id,
+CAST(CASE WHEN hit THEN 0.9 WHEN domain IS NOT NULL THEN 0.6 END AS DOUBLE) AS score, CASE WHEN hit THEN 'matched' WHEN domain IS NOT NULL THEN 'context_inference' ELSE 'no_match' END AS source, domain FROM x LEFT JOIN d USING (dataset, column_name)""")
+def match_running_context(spark, sf_dir):
+    """Columns of four tables in order; those with certain names are matched, the others inferred from the matches before them."""
+    found = []
+    for name in _CONTEXT_TABLES:
+        df = t(spark, sf_dir, name)
+        samples = details.sample_values(df, df.columns).groupBy("column_name").agg(F.array_sort(F.collect_set("value")).alias("samples"))
+        found.append(details.column_types(df).select(F.lit(name).alias("dataset"), "place", "column_name", "data_type").join(samples, "column_name", "left"))
+    columns = found[0]
+    for other in found[1:]:
+        columns = columns.unionByName(other)
+    hit = text.contains_any(F.col("column_name"), list(_CONTEXT_KEYS))
+    matched = columns.where(hit).select("dataset", "column_name", F.concat(F.lit("concept_"), "column_name").alias("concept_id"), F.lit(0.9).alias("score"))
+    told = matched.select("dataset", "column_name", F.concat(F.lit("the "), "column_name", F.lit(" of a customer order")).alias("text"))
+    return reasoning.with_running_context(matched, columns, told)
+
+
+def _by_size(prompts: list[str]) -> list[str]:
+    """A model that can be computed: it scores a concept by the last digits of its id, and leaves out the second one of each list."""
+    import json
+    import re
+
+    answers = []
+    for prompt in prompts:
+        ids = [x for i, x in enumerate(re.findall(r"ID: `(\d+)`", prompt)) if i != 1]
+        answers.append("```json\n" + json.dumps([{"concept_id": x, "match_score": int(x) % 100 / 100, "justification": f"for {x}"} for x in ids]) + "\n```")
+    return answers
+
+
+@query("""WITH p AS (SELECT p_brand AS column_name, CAST(p_partkey AS VARCHAR) AS id, p_retailprice / 10000 AS score FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY score DESC, id) AS place FROM p),
+s AS (SELECT *, CASE WHEN place IN (1, 3) THEN CAST(id AS BIGINT) % 100 / 100.0 END AS told FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY CAST(place > 3 AS INT), CASE WHEN place <= 3 THEN -coalesce(told, 0) END, place) AS o, coalesce(told, score) AS r FROM s)
+SELECT column_name, id, round(r, 6) AS rerank_score, CASE WHEN told IS NOT NULL THEN 'for ' || id END AS justification, CAST(row_number() OVER (PARTITION BY column_name ORDER BY r DESC, o) AS INT) AS rank FROM o""")
+def rerank_listwise(spark, sf_dir):
+    """Parts as candidates of their brands; the three best of each brand are judged in one question."""
+    parts = t(spark, sf_dir, "part")
+    columns = parts.groupBy(F.col("p_brand").alias("column_name")).agg(F.lit("string").alias("data_type"), F.array(F.min("p_type")).alias("samples"))
+    candidates = parts.select(F.col("p_brand").alias("column_name"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("display_name"), F.col("p_type").alias("definition"), F.array("p_name").alias("aliases"), (F.col("p_retailprice") / 10000).alias("score"))
+    return r6(reasoning.rerank_listwise(columns, candidates, _by_size).select("column_name", "id", "rerank_score", "justification", "rank"), "rerank_score")
+
+
 # retrieval and evaluation
 
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS t FROM documents WHERE trim(coalesce(text, '')) <> '')
@@ -342,6 +395,47 @@ def eval_experiment(spark, sf_dir):
     return evaluation.comparison({"bm25": evaluation.run_experiment(t(spark, sf_dir, "documents").select("doc_id", "text"), asked, _qrels(spark, sf_dir), (10,), graded=True)})
 
 
+_METHODS = {"original": (["title", "description"], None), "title_only": (["title"], None), "described": (["title", "ufd"], "short")}
+_AT = (1, 5, 10, 20)
+_MATRIX = f"""{_REL}, x AS (SELECT doc_id, source || ' ' || lang AS title, text, 'a text in ' || lang || ' from ' || source AS ufd FROM documents),
+e AS (SELECT 'original' AS experiment, doc_id, concat_ws(' ', nullif(title, ''), nullif(text, '')) AS text FROM x UNION ALL SELECT 'title_only', doc_id, title FROM x UNION ALL SELECT 'described', doc_id, concat_ws(' ', title, ufd) FROM x),
+d AS (SELECT experiment, doc_id, {_SPLIT} AS toks FROM e WHERE trim(text) <> ''), p AS (SELECT experiment, doc_id, len(toks) AS dl, unnest(toks) AS term FROM d), tf AS (SELECT experiment, doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
+s AS (SELECT experiment, count(*) AS n, avg(len(toks)) AS avgdl FROM d WHERE len(toks) > 0 GROUP BY experiment), df AS (SELECT experiment, term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_SPLIT}) AS term FROM benchmark WHERE item_id IN (SELECT query_id FROM qr)) GROUP BY ALL),
+sc AS (SELECT experiment, query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf) AS score FROM tf JOIN q USING (term) JOIN df USING (experiment, term) JOIN s USING (experiment) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY experiment, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc WHERE score > 0),
+j AS (SELECT experiment, r.query_id, rank, CASE WHEN coalesce(relevance, 0) > 0 THEN 1 ELSE 0 END AS rel FROM r LEFT JOIN qr USING (query_id, doc_id) WHERE rank <= 100),
+h AS (SELECT *, sum(rel) OVER (PARTITION BY experiment, query_id ORDER BY rank) AS hits, row_number() OVER (PARTITION BY experiment, query_id ORDER BY rel DESC) AS ideal FROM j),
+ks AS (SELECT unnest([1, 5, 10, 20]) AS k),
+m AS (SELECT experiment, query_id, k, sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= k THEN rel / log2(ideal + 1) ELSE 0 END) AS idcg, sum(CASE WHEN rank <= k THEN rel ELSE 0 END) AS found, min(CASE WHEN rel > 0 THEN rank END) AS first, sum(CASE WHEN rel > 0 THEN hits / rank ELSE 0 END) AS precisions FROM h, ks GROUP BY ALL),
+n AS (SELECT query_id, sum(CASE WHEN relevance > 0 THEN 1 ELSE 0 END) AS relevant FROM qr GROUP BY query_id),
+g AS (SELECT s.experiment, ks.k, s.n AS documents, coalesce(CASE WHEN idcg > 0 THEN dcg / idcg END, 0) AS ndcg, coalesce(found / ks.k, 0) AS precision, coalesce(CASE WHEN relevant > 0 THEN found / relevant END, 0) AS recall, coalesce(1 / first, 0) AS rr, coalesce(CASE WHEN relevant > 0 THEN precisions / relevant END, 0) AS ap
+  FROM n CROSS JOIN s CROSS JOIN ks LEFT JOIN m ON m.query_id = n.query_id AND m.experiment = s.experiment AND m.k = ks.k),
+x2 AS (SELECT experiment, k, count(*) AS queries, max(documents) AS documents, avg(ndcg) AS ndcg, avg(precision) AS precision, avg(recall) AS recall, avg(rr) AS mrr, avg(ap) AS map FROM g GROUP BY experiment, k)"""
+
+
+def _matrix(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    datasets = d.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("description"))
+    short = d.select(F.col("doc_id").alias("id"), F.lit("short").alias("method"), F.concat(F.lit("a text in "), "lang", F.lit(" from "), "source").alias("ufd"), F.lit("").alias("sfd"))
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    documents = evaluation.experiment_documents(datasets, _METHODS, short)
+    return evaluation.run_matrix(documents, asked, _qrels(spark, sf_dir), list(_METHODS), scratch_path(spark, "experiments"), _AT)
+
+
+@query(f"WITH {_MATRIX} SELECT experiment, k, queries, documents, round(ndcg, 6) AS ndcg, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(map, 6) AS map FROM x2")
+def eval_matrix(spark, sf_dir):
+    """Three methods at four cut-offs over one index."""
+    return r6(_matrix(spark, sf_dir), "ndcg", "precision", "recall", "mrr", "map")
+
+
+@query(f"WITH {_MATRIX} SELECT experiment AS method, max(queries) AS num_queries, {', '.join(f'round_even(max(CASE WHEN k = {k} THEN ndcg END), 4) AS ndcg_{k}' for k in (1, 5, 10, 20))}, round_even(max(map), 4) AS map, round_even(max(mrr), 4) AS mrr, FALSE AS is_reference FROM x2 GROUP BY experiment UNION ALL SELECT 'cited', 32, NULL, NULL, NULL, 0.725, NULL, NULL, TRUE")
+def eval_comparison(spark, sf_dir):
+    """The matrix as a table of methods, beside a value cited from elsewhere."""
+    cited = spark.createDataFrame([("cited", 32, 0.725)], "method string, num_queries long, ndcg_20 double")
+    return evaluation.comparison_table(_matrix(spark, sf_dir), _AT, cited)
+
+
 @query(f"WITH {_REL}, c AS (SELECT relevance, count(*) AS n FROM qr GROUP BY 1) SELECT CAST(l AS INT) AS relevance, coalesce(n, 0) AS n FROM (SELECT unnest([0, 1, 2]) AS l) LEFT JOIN c ON relevance = l")
 def bench_relevance_distribution(spark, sf_dir):
     return evaluation.relevance_distribution(_qrels(spark, sf_dir))
@@ -361,11 +455,11 @@ def bench_csv_only(spark, sf_dir):
     return kept.select("doc_id", "title")
 
 
-@query("SELECT page_id AS id, concat_ws(' ', nullif(trim(url), ''), nullif(trim(substr(html, 1, 40)), '')) AS text FROM pages")
+@query("SELECT page_id AS id, concat_ws(' ', nullif(trim(url), ''), nullif(trim(html), '')) AS text FROM pages")
 def bench_index_text(spark, sf_dir):
     from lodestone.sources.benchmarks import index_text
 
-    d = t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("").alias("title"), F.col("url").alias("name"), F.substring("html", 1, 40).alias("description"))
+    d = t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("").alias("title"), F.col("url").alias("name"), F.col("html").alias("description"))
     return index_text(d, [["title", "name"], ["description", "notes"]])
 
 
@@ -390,6 +484,18 @@ def rrf_hybrid(spark, sf_dir):
     return r6(retrieval.fuse_ranks([(runs[0], 1.0), (runs[1], 0.5)]), "score")
 
 
+@query(f"""WITH {_BM25}, v AS (SELECT i.item_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM benchmark i JOIN embeddings a ON a.vec_id = i.item_id, embeddings b),
+w AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM v),
+u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM ranked WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 0.5 / (60 + rank) FROM w WHERE rank <= 50), g AS (SELECT query_id, doc_id, CAST(sum(s) AS DOUBLE) AS score FROM u GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM g) WHERE rank <= 10""")
+def hybrid_search(spark, sf_dir):
+    """BM25 over the documents' texts and dense search over the vectors of the same ids, fused by rank; an item's vector is the one of its id."""
+    e, items = t(spark, sf_dir, "embeddings"), t(spark, sf_dir, "benchmark")
+    asked = items.join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = retrieval.dense(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), asked, 50)
+    return r6(retrieval.fuse_ranks([(_bm25(spark, sf_dir, 50), 1.0), (near, 0.5)]), "score")
+
+
 # text, prompts, generation, caches
 
 _COMPLETE = "(CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT)) / 2"
