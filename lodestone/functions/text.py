@@ -46,6 +46,12 @@ def identifier(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)[^\w\s]", "")), r"\s+", "_"))
 
 
+def title_case(c: Column) -> Column:
+    """Each run of letters with a capital first and small letters after, whatever separates the runs."""
+    cut = F.split(F.lower(c), r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(F.transform(cut, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))), "")
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import title_case
+
 #: A model: takes a list of prompts and gives their answers. It is pickled to the tasks, so it must make its connections there.
 Model = Callable[[list[str]], list[str]]
 
@@ -81,7 +83,7 @@ def user_descriptions(datasets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("domain")).alias("tags"),
         F.transform(F.array_sort(F.collect_list(F.struct("place", "column_name"))), lambda x: x["column_name"]).alias("names"),
     )
-    title = F.initcap(F.regexp_replace("dataset", r"[_\-\s]+", " "))
+    title = title_case(F.regexp_replace("dataset", r"[_\-\s]+", " "))
     told = F.concat(title, F.lit(" holds "), "n", F.lit(" columns: "), F.array_join("names", ", "), F.lit("."))
     return d.select("dataset", title.alias("title"), told.alias("description"), "tags")
 

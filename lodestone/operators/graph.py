@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import concepts as c
 from lodestone.operators.retrieval import dense
+from lodestone.sources.buckets import BucketTable
 
 RECORD = """seq long, id string, concept_id string, display_name string, canonical_name string, definition string, domain string, metadata string, aliases array<string>,
     relations array<struct<target: string, type: string, confidence: double, evidence: string>>, parent string"""
@@ -47,10 +48,11 @@ def upsert_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class ConceptGraph:
-    """Tables of concepts, aliases, edges and vectors below a folder; each change writes a new version of what it changes."""
+    """Tables of concepts, aliases, edges and vectors below a folder, each in hash buckets of its keys: a change rewrites the buckets it touches."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path = spark, path.rstrip("/")
+        self.stores = {name: BucketTable(spark, f"{self.path}/{name}", schema, self.KEYS[name], buckets) for name, schema in self.SCHEMAS.items()}
 
     SCHEMAS = {
         "concepts": "id string, display_name string, canonical_name string, definition string, domain string, metadata string",
@@ -58,50 +60,48 @@ class ConceptGraph:
         "edges": "source_concept_id string, relationship_type string, target_concept_id string, confidence double, evidence string",
         "vectors": "id string, vector array<double>",
     }
-
-    def _folder(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs, root
-
-    def _version(self, name: str) -> int:
-        """The last version that was written whole."""
-        fs, root = self._folder(name)
-        if not fs.exists(root):
-            return -1
-        found = [s.getPath() for s in fs.listStatus(root)]
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return max((int(p.getName()[1:]) for p in found if fs.exists(path(p, "_SUCCESS"))), default=-1)
+    KEYS = {"concepts": ["id"], "aliases": ["alias_text", "concept_id"], "edges": ["source_concept_id", "relationship_type", "target_concept_id"], "vectors": ["id"]}
 
     def table(self, name: str) -> DataFrame:
-        n = self._version(name)
-        return self.spark.createDataFrame([], self.SCHEMAS[name]) if n < 0 else self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.path}/{name}/v{n}")
+        """The last version of a table."""
+        return self.stores[name].read()
+
+    def concept(self, ids: DataFrame) -> DataFrame:
+        """The concepts of ids (id): a join of keys."""
+        return self.table("concepts").join(ids.select("id").distinct(), "id", "left_semi")
+
+    def vector(self, ids: DataFrame) -> DataFrame:
+        """The vectors of ids (id)."""
+        return self.table("vectors").join(ids.select("id").distinct(), "id", "left_semi")
 
-    def _put(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{self._version(name) + 1}")
+    def add(self, records: DataFrame) -> dict[str, set[int]]:
+        """Add or update concepts with their aliases and edges from records. Gives the buckets rewritten of each table.
 
-    def add(self, records: DataFrame) -> None:
-        """Add or update concepts with their aliases and edges from records."""
+        Of concepts with one id, and then with one canonical name, the last stays; one held before gives way to a new one of its canonical name.
+        """
         found, aliases, edges = rows_of(records)
-        self._put("concepts", upsert_concepts(self.table("concepts"), found).select(*CONCEPT))
-        self._put("aliases", c.add_aliases(self.table("aliases"), aliases))
-        self._put("edges", upsert_edges(self.table("edges"), edges))
+        store = self.stores["concepts"]
+        new = upsert_concepts(store.read().limit(0), found).select(*CONCEPT)
+        named = new.where("canonical_name is not null").select("canonical_name", F.col("id").alias("_id"))
+        touched = store.upsert(new)
+        displaced = store.read().join(named, "canonical_name").where("id <> _id").select("id")
+        return {"concepts": touched | store.delete(displaced), "aliases": self.stores["aliases"].upsert(aliases.distinct()), "edges": self.stores["edges"].upsert(edges)}
 
     def add_vectors(self, vectors: DataFrame) -> None:
         """Add vectors (id, vector) at length 1; an id that is there already is replaced."""
         from lodestone.operators.generation import unit_vector
 
-        new = vectors.select("id", unit_vector(F.col("vector").cast("array<double>")).alias("vector"), F.lit(1).cast("long").alias("seq"))
-        self._put("vectors", c.upsert(self.table("vectors").withColumn("seq", F.lit(0).cast("long")), new, ["id"]))
+        self.stores["vectors"].upsert(vectors.select("id", unit_vector(F.col("vector").cast("array<double>")).alias("vector")))
 
     def index(self, encoder, rebuild: bool = False) -> None:
         """Vectors of "name. definition" of each concept; nothing is done if there are vectors, unless ``rebuild``."""
         from lodestone.operators.generation import encode
 
-        if self._version("vectors") < 0 or rebuild:
+        store = self.stores["vectors"]
+        if not store.versions() or rebuild:
             texts = self.table("concepts").select("id", F.concat_ws(". ", "display_name", "definition").alias("text"))
-            self._put("vectors", encode(texts, encoder).select("id", "vector"))
+            store.delete(store.read().join(texts, "id", "left_anti").select("id"))
+            store.upsert(encode(texts, encoder).select("id", "vector"))
 
     def search(self, queries: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
         """query_id, id, score, method: concepts that have the query's text as alias (score 1), then the nearest vectors; each concept once."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import case_chain, contains_any
@@ -70,16 +72,16 @@ def bare_name(c: Column) -> Column:
     return F.translate(c, "_", "")
 
 
-def tier(c: Column) -> Column:
-    """tier_0: common sense, tier_2: entities, tier_1: domain terms, else unknown."""
+def tier(c: Column, common: Sequence[str] = COMMON, entities: Sequence[str] = ENTITIES, terms: Sequence[str] = TERMS) -> Column:
+    """tier_0: common sense, tier_2: entities, tier_1: domain terms, else unknown; the lists may be replaced."""
     name = F.lower(F.trim(c))
-    return case_chain([(name.isin(COMMON) | bare_name(name).isin(COMMON), "tier_0"), (contains_any(name, ENTITIES), "tier_2"), (contains_any(name, TERMS), "tier_1")], "unknown")
+    return case_chain([(name.isin(list(common)) | bare_name(name).isin(list(common)), "tier_0"), (contains_any(name, list(entities)), "tier_2"), (contains_any(name, list(terms)), "tier_1")], "unknown")
 
 
-def tier_filter(matches: DataFrame) -> DataFrame:
-    """matches (display_name, score, ...) with tier, should_inject, injection_weight and filter_reason."""
+def tier_filter(matches: DataFrame, **lists: Sequence[str]) -> DataFrame:
+    """matches (display_name, score, ...) with tier, should_inject, injection_weight and filter_reason; ``lists`` as ``tier`` takes them."""
     score = F.coalesce("score", F.lit(0.0))
-    known = matches.withColumn("tier", tier(F.col("display_name")))
+    known = matches.withColumn("tier", tier(F.col("display_name"), **lists))
     weight = F.when(F.col("tier") == "tier_0", 0.0).when(F.col("tier") == "tier_1", 0.8).when(F.col("tier") == "tier_2", 1.0).when(score > 0.7, F.least(F.lit(1.0), score)).otherwise(0.5)
     keep = F.when(F.col("tier") == "tier_0", False).when(F.col("tier") == "unknown", score > 0.5).otherwise(True)
     reason = case_chain([
@@ -109,10 +111,10 @@ def novelty(definition: Column, aliases: Column) -> Column:
     return (by_name + by_text + by_alias + F.when(has_domain_attributes(), 20).otherwise(0)) / 100
 
 
-def prune(matches: DataFrame, least_novelty: float = 0.3, generic_score: float = 0.9) -> DataFrame:
+def prune(matches: DataFrame, least_novelty: float = 0.3, generic_score: float = 0.9, generic_words: Sequence[str] = GENERIC) -> DataFrame:
     """matches (id, display_name, definition, aliases, metadata, score) with generic, novelty and keep."""
     definition, aliases = F.coalesce("definition", F.lit("")), F.coalesce("aliases", F.array().cast("array<string>"))
-    words = F.array(*map(F.lit, GENERIC))
+    words = F.array(*map(F.lit, generic_words))
     only = lambda c: (F.size(name_tokens(F.col(c))) > 0) & (F.size(F.array_except(name_tokens(F.col(c)), words)) == 0)
     generic = only("display_name") | only("id")
     obvious = (F.coalesce("score", F.lit(0.0)) >= generic_score) & ~has_domain_attributes()
@@ -125,17 +127,17 @@ def domains_of(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c.rlike(r"(?i)\b(" + "|".join(words) + r")\b"), d) for d, words in DOMAINS.items()]))
 
 
-def expectation(concept: Column) -> Column:
+def expectation(concept: Column, expected: Sequence[tuple] = EXPECTED) -> Column:
     """What the concept lets expect: word, types, kind, low, high; of an equal word, else of the first that it contains; else null."""
-    made = [F.struct(F.lit(w).alias("word"), F.array(*map(F.lit, types)).alias("types"), F.lit(kind).alias("kind"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high")) for w, types, kind, low, high in EXPECTED]
-    return case_chain([(concept == e[0], m) for e, m in zip(EXPECTED, made, strict=True)] + [(F.contains(concept, F.lit(e[0])), m) for e, m in zip(EXPECTED, made, strict=True)])
+    made = [F.struct(F.lit(w).alias("word"), F.array(*map(F.lit, types)).alias("types"), F.lit(kind).alias("kind"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high")) for w, types, kind, low, high in expected]
+    return case_chain([(concept == e[0], m) for e, m in zip(expected, made, strict=True)] + [(F.contains(concept, F.lit(e[0])), m) for e, m in zip(expected, made, strict=True)])
 
 
 def _conflict(condition: Column, kind: str, penalty: int, reason: str) -> Column:
     return F.when(condition, F.struct(F.lit(penalty).alias("percent"), F.lit(kind).alias("type"), F.lit(reason).alias("reason")))
 
 
-def conflicts(matches: DataFrame, strict: bool = False) -> DataFrame:
+def conflicts(matches: DataFrame, strict: bool = False, expected: Sequence[tuple] = EXPECTED) -> DataFrame:
     """matches with has_conflict, conflict_type, resolution, penalty, reason and adjusted_score.
 
     Input: display_name, score, and of the column's profile column_name, data_type, min, max, unique_count, unique_ratio, skewness.
@@ -143,7 +145,7 @@ def conflicts(matches: DataFrame, strict: bool = False) -> DataFrame:
     rejected, above 0.2 its score is lowered.
     """
     concept, column = F.lower("display_name"), F.lower("column_name")
-    m = matches.withColumns({"_hint": expectation(concept), "_type": F.coalesce(case_chain([(F.col("data_type") == k, v) for k, v in NUMPY.items()]), "data_type", F.lit("unknown"))})
+    m = matches.withColumns({"_hint": expectation(concept, expected), "_type": F.coalesce(case_chain([(F.col("data_type") == k, v) for k, v in NUMPY.items()]), "data_type", F.lit("unknown"))})
     hint, lo, hi = F.col("_hint"), F.col("min"), F.col("max")
     fits = F.exists(hint["types"], lambda t: F.contains(F.col("_type"), t))
     outside = (lo < hint["low"] * 0.5) | (hi > hint["high"] * 2)
@@ -175,6 +177,12 @@ def conflicts(matches: DataFrame, strict: bool = False) -> DataFrame:
     return m.withColumn("adjusted_score", adjusted).drop("_hint", "_type", "_found", "_total")
 
 
+def ranked_matches(matches: DataFrame, strict: bool = False) -> DataFrame:
+    """matches with conflicts, filtered (rejected ones) and rank: within each column the best adjusted score first, of equal ones the better score before, then the name."""
+    order = Window.partitionBy("column_name").orderBy(F.desc("adjusted_score"), F.desc("score"), "display_name")
+    return conflicts(matches, strict).withColumns({"filtered": F.col("resolution") == "reject", "rank": F.row_number().over(order)})
+
+
 def strengths(matches: DataFrame, exact: float = 0.9, related: float = 0.7, contextual: float = 0.5) -> DataFrame:
     """matches with conflicts, and semantic_strength from the score less the penalty; rejected ones are uncertain."""
     m = conflicts(matches).withColumn("lowered_score", F.col("score") * (1 - F.col("penalty")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import case_chain, contains_any
+from lodestone.functions.text import case_chain, contains_any, title_case
 from lodestone.operators.retrieval import fuse_signals
 
 #: Column names by which patterns of datasets are known.
@@ -168,7 +168,7 @@ def inferred_concepts(columns: DataFrame, domains: DataFrame | None = None) -> D
     meanings = F.broadcast(columns.sparkSession.createDataFrame(known, "domain string, name string, meaning string"))  # the fixed meanings above
     name = F.lower(F.trim("column_name"))
     c = (columns if domains is None else columns.join(domains, "dataset", "left")).withColumn("name", name).join(meanings, ["domain", "name"], "left")
-    readable = F.initcap(F.trim(F.regexp_replace(F.lower("column_name"), r"[_\s]+", " ")))
+    readable = title_case(F.trim(F.regexp_replace(F.lower("column_name"), r"[_\s]+", " ")))
     numbers = F.transform("samples", lambda x: x.try_cast("double"))
     whole = (F.size("samples") > 0) & ~F.exists(numbers, lambda x: x.isNull())
     span = F.when(whole & F.col("data_type").isin("integer", "float"), F.format_string(" (typical range: %.2f to %.2f)", F.array_min(numbers), F.array_max(numbers)))
@@ -204,11 +204,11 @@ def context_signals(columns: DataFrame, dataset: str) -> DataFrame:
     return columns.select("column_name", F.lit("dataset_context").alias("signal"), F.explode(found).alias("concept"), F.lit(0.6).alias("score"), F.lit(0.6).alias("confidence"))
 
 
-def weighted(signals: DataFrame, problems: DataFrame) -> DataFrame:
-    """Signals with the weight that their kind has for the problem of their column (column_name, problem)."""
-    known = [(p, s, w) for p, ws in WEIGHTS.items() for s, w in zip(SIGNALS, ws, strict=True)]
+def weighted(signals: DataFrame, problems: DataFrame, weights: dict[str, list[float]] = WEIGHTS) -> DataFrame:
+    """Signals with the weight that their kind has for the problem of their column (column_name, problem); ``weights`` has those of ``default`` too."""
+    known = [(p, s, w) for p, ws in weights.items() for s, w in zip(SIGNALS, ws, strict=True)]
     table = F.broadcast(signals.sparkSession.createDataFrame(known, "problem string, signal string, weight double"))  # the fixed weights above
-    problem = F.when(F.col("problem").isin([p for p in WEIGHTS if p != "default"]), F.col("problem")).otherwise("default")
+    problem = F.when(F.col("problem").isin([p for p in weights if p != "default"]), F.col("problem")).otherwise("default")
     return signals.join(problems.select("column_name", problem.alias("problem")), "column_name").join(table, ["problem", "signal"])
 
 

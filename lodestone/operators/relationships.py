@@ -80,7 +80,7 @@ def foreign_keys(profiles: DataFrame, least: float = 0.6) -> DataFrame:
     ]
     tenths = sum((F.when(c, w).otherwise(0) for c, w, _ in checks), F.lit(0))
     reasons = F.array_compact(F.array(*[F.when(c, r) for c, _, r in checks]))
-    scored = profiles.crossJoin(F.broadcast(others)).select("column_name", tenths.alias("tenths"), reasons.alias("reasons"), "data_type", F.round("unique_ratio", 3).alias("unique_ratio"), F.round("null_rate", 3).alias("null_rate"))
+    scored = profiles.crossJoin(F.broadcast(others)).select("column_name", tenths.alias("tenths"), reasons.alias("reasons"), "data_type", F.bround("unique_ratio", 3).alias("unique_ratio"), F.bround("null_rate", 3).alias("null_rate"))
     return scored.where(F.col("tenths") >= round(least * 10)).select("column_name", (F.col("tenths") / 10).alias("confidence"), "reasons", "data_type", "unique_ratio", "null_rate")
 
 
@@ -115,7 +115,7 @@ def correlation_dependencies(df: DataFrame, numeric: list[str], least: float = 0
     if len(numeric) < 2:
         return df.sparkSession.createDataFrame([], DEPENDENCY)
     r = correlations(df, numeric).where(F.abs("r") >= least)
-    return r.select(F.array("a").alias("from_columns"), F.col("b").alias("to_column"), F.lit("correlation").alias("relation_type"), F.round("r", 3).alias("correlation"), F.least(F.lit(0.95), F.abs("r")).alias("confidence"), F.lit("correlation_based").alias("method"), F.lit(True).alias("verified"))
+    return r.select(F.array("a").alias("from_columns"), F.col("b").alias("to_column"), F.lit("correlation").alias("relation_type"), F.bround("r", 3).alias("correlation"), F.least(F.lit(0.95), F.abs("r")).alias("confidence"), F.lit("correlation_based").alias("method"), F.lit(True).alias("verified"))
 
 
 def dependencies(df: DataFrame, numeric: list[str]) -> DataFrame:

@@ -96,7 +96,10 @@ def fuse_ranks(runs: list[tuple[DataFrame, float]], k: int = 10, constant: int =
 
 
 def fuse_signals(signals: DataFrame) -> DataFrame:
-    """Signals (column_name, concept, score, weight, confidence) as one score a concept, and how strong the match is."""
-    fused = signals.groupBy("column_name", "concept").agg((F.sum(F.col("score") * F.col("weight") * F.col("confidence")) / F.sum("weight")).alias("score"), F.count(F.lit(1)).alias("signals"))
+    """Signals (column_name, signal, concept, score, weight, confidence) as one score a concept, how strong the match is, and a reason that names its kinds of signals."""
+    fused = signals.groupBy("column_name", "concept").agg((F.sum(F.col("score") * F.col("weight") * F.col("confidence")) / F.sum("weight")).alias("score"), F.count(F.lit(1)).alias("signals"), F.array_sort(F.collect_set("signal")).alias("_kinds"))
     strength = F.when((F.col("score") >= 0.85) & (F.col("signals") >= 2), "EXACT").when(F.col("score") >= 0.6, "RELATED").otherwise("CONTEXTUAL")
-    return fused.withColumn("strength", strength)
+    listed = lambda mark: F.array_join("_kinds", mark)
+    n = F.size("_kinds")
+    reason = F.when(n >= 3, F.concat(F.lit("Multi-signal match: "), listed(", "))).when(n == 2, F.concat(F.lit("Cross-validated: "), listed(" + "))).when(n == 1, F.concat(F.lit("Single signal: "), listed(""))).otherwise("No signal")
+    return fused.withColumns({"strength": strength, "reason": reason}).drop("_kinds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,16 +29,19 @@ PRICES = {"gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60), "gpt-4-turbo": (
 EXPENSIVE = ["gpt-4o", "gpt-4-turbo", "claude-opus-4"]
 
 
-def classify_columns(columns: DataFrame) -> DataFrame:
-    """column_name, problem, confidence from the name, and where given unique_ratio and code_share (share of entity codes in samples)."""
+def classify_columns(columns: DataFrame, skipped: Sequence[str] = SKIPPED, abbreviations: Sequence[str] = ABBREVIATIONS, anchors: Sequence[str] = ANCHORS, plain: Sequence[str] = PLAIN) -> DataFrame:
+    """column_name, problem, confidence from the name, and where given unique_ratio and code_share (share of entity codes in samples).
+
+    The patterns of names that are skipped, abbreviations, anchors and plain names may be replaced or added to.
+    """
     name = F.lower(F.trim("column_name"))
     ratio = F.col("unique_ratio") if "unique_ratio" in columns.columns else F.lit(0.0)
     codes = F.col("code_share") if "code_share" in columns.columns else F.lit(0.0)
-    skip = reduce(Column.__or__, [name.rlike(p if p.startswith("^") else "^" + p) for p in SKIPPED])
-    holds = reduce(Column.__or__, [F.contains(name, F.lit(w)) for w in ANCHORS])
+    skip = reduce(Column.__or__, [name.rlike(p if p.startswith("^") else "^" + p) for p in skipped])
+    holds = reduce(Column.__or__, [F.contains(name, F.lit(w)) for w in anchors])
     rules = [
-        (skip, "skip_kg", 0.95), (name.isin(ABBREVIATIONS), "abbreviation", 0.85), ((F.length(name) <= 4) & ~name.isin(PLAIN), "abbreviation", 0.70),
-        ((ratio > 0.8) & (codes >= 0.5), "entity_linking", 0.80), (name.isin(ANCHORS), "domain_anchoring", 0.75), (holds, "domain_anchoring", 0.65),
+        (skip, "skip_kg", 0.95), (name.isin(list(abbreviations)), "abbreviation", 0.85), ((F.length(name) <= 4) & ~name.isin(list(plain)), "abbreviation", 0.70),
+        ((ratio > 0.8) & (codes >= 0.5), "entity_linking", 0.80), (name.isin(list(anchors)), "domain_anchoring", 0.75), (holds, "domain_anchoring", 0.65),
     ]
     out = F.when(*_case(rules[0]))
     for r in rules[1:]:

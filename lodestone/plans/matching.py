@@ -251,6 +251,63 @@ def rule_strength(spark, sf_dir):
     return r6(injection.strengths(_pairs(spark, sf_dir)).select("display_name", "column_name", "lowered_score", "semantic_strength"), "lowered_score")
 
 
+_PAIR_COLUMNS = [("lineitem", "l_quantity", "float"), ("lineitem", "l_extendedprice", "float"), ("lineitem", "l_discount", "float"), ("lineitem", "l_returnflag", "string"), ("part", "p_retailprice", "float"), ("part", "p_size", "integer"), ("part", "p_brand", "string"), ("customer", "c_acctbal", "float"), ("orders", "o_orderdate", "datetime"), ("events", "value", "float")]
+_PAIR_CONCEPTS = [("Price", 0.95), ("Percentage", 0.8), ("Count", 0.75), ("Active flag", 0.7), ("Product code", 0.6), ("age", 0.9), ("Average", 0.5)]
+
+
+def _pair_sql() -> str:
+    rows = []
+    for table, c, kind in _PAIR_COLUMNS:
+        number = f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max" if kind in ("float", "integer") else "NULL::DOUBLE AS min, NULL::DOUBLE AS max"
+        shape = f"skewness(CAST({c} AS DOUBLE))" if kind in ("float", "integer") else "NULL::DOUBLE"
+        rows.append(f"SELECT '{c}' AS column_name, '{kind}' AS data_type, {number}, count(DISTINCT {c}) AS unique_count, count(DISTINCT {c}) / count(*) AS unique_ratio, {shape} AS skewness FROM {table}")
+    concepts_ = ", ".join(f"({quoted(n)}, {s})" for n, s in _PAIR_CONCEPTS)
+    return f"m AS (SELECT k.display_name, p.*, CAST(k.score AS DOUBLE) AS score FROM ({' UNION ALL '.join(rows)}) p, (VALUES {concepts_}) k(display_name, score))"
+
+
+_REAL_CONFLICTS = _CONFLICTS.replace(_PAIRED, _pair_sql())
+
+
+def _table_pairs(spark, sf_dir):
+    """Profiles of columns of the tables, each with a few concepts that it may be taken for."""
+    found = None
+    for table in dict.fromkeys(x for x, _, _ in _PAIR_COLUMNS):
+        p = profile.profile(t(spark, sf_dir, table).select(*[c for x, c, _ in _PAIR_COLUMNS if x == table]), exact=True)
+        p = p.select("column_name", "data_type", "min", "max", "unique_count", "unique_ratio", "skewness")
+        found = p if found is None else found.union(p)
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("display_name"), F.lit(s).alias("score")) for n, s in _PAIR_CONCEPTS]))
+    return found.withColumn("x", named).select("x.display_name", *found.columns, "x.score")
+
+
+@query(f"""WITH {_REAL_CONFLICTS}, a AS (SELECT *, CAST(CASE resolution WHEN 'reject' THEN 0.0 WHEN 'downweight' THEN score * (1 - penalty) ELSE score END AS DOUBLE) AS adjusted FROM k)
+SELECT display_name, column_name, total > 0 AS has_conflict, conflict_type, resolution, CAST(penalty AS DOUBLE) AS penalty, round(adjusted, 6) AS adjusted_score, resolution = 'reject' AS filtered, CAST(row_number() OVER (PARTITION BY column_name ORDER BY adjusted DESC, score DESC, display_name) AS INT) AS rank FROM a""")
+def rule_conflict_tables(spark, sf_dir):
+    """Conflicts between concepts and the profiles of columns of the given tables, and the order that is left."""
+    return r6(injection.ranked_matches(_table_pairs(spark, sf_dir)).select("display_name", "column_name", "has_conflict", "conflict_type", "resolution", "penalty", "adjusted_score", "filtered", "rank"), "adjusted_score")
+
+
+@query(f"WITH {_REAL_CONFLICTS}, l AS (SELECT *, score * (1 - penalty) AS s FROM k) SELECT display_name, column_name, CAST(round(s, 6) AS DOUBLE) AS lowered_score, CASE WHEN resolution = 'reject' THEN 'UNCERTAIN' WHEN s >= 0.9 THEN 'EXACT' WHEN s >= 0.7 THEN 'RELATED' WHEN s >= 0.5 THEN 'CONTEXTUAL' ELSE 'UNCERTAIN' END AS semantic_strength FROM l")
+def rule_strength_tables(spark, sf_dir):
+    return r6(injection.strengths(_table_pairs(spark, sf_dir)).select("display_name", "column_name", "lowered_score", "semantic_strength"), "lowered_score")
+
+
+@query("""WITH v AS (SELECT 'orders' AS dataset, 'o_orderstatus' AS column_name, 'string' AS data_type, list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS s, NULL AS lo, NULL AS hi FROM orders
+UNION ALL SELECT 'orders', 'order_id', 'integer', NULL, min(o_orderkey), max(o_orderkey) FROM orders UNION ALL SELECT 'part', 'p_size', 'integer', NULL, min(p_size), max(p_size) FROM part
+UNION ALL SELECT 'customer', 'c_acctbal', 'float', NULL, min(c_acctbal), max(c_acctbal) FROM customer),
+d(dataset, domain) AS (VALUES ('orders', 'E-commerce'), ('customer', 'E-commerce')),
+n AS (SELECT v.*, coalesce(domain, 'General') AS domain, array_to_string(list_transform(string_split(lower(translate(column_name, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS readable FROM v LEFT JOIN d USING (dataset))
+SELECT dataset, column_name, 'inferred_' || column_name AS id, CASE WHEN column_name = 'order_id' AND domain = 'E-commerce' THEN 'Unique identifier for a purchase order' ELSE readable || ' - a ' || data_type || ' field' || CASE WHEN data_type = 'string' THEN ' (possible values: ' || array_to_string(s, ', ') || ')' ELSE printf(' (typical range: %.2f to %.2f)', CAST(lo AS DOUBLE), CAST(hi AS DOUBLE)) END END AS definition,
+domain, CAST(CASE WHEN column_name = 'order_id' AND domain = 'E-commerce' THEN 0.75 ELSE 0.6 END AS DOUBLE) AS confidence FROM n""")
+def match_inferred_tables(spark, sf_dir):
+    """Definitions of columns without a match from their values in the given tables."""
+    orders, part, customer = (t(spark, sf_dir, n) for n in ("orders", "part", "customer"))
+    values = lambda df, dataset, name, kind, c: df.agg((F.array_sort(F.collect_set(c)) if kind == "string" else F.array(F.min(c).cast("string"), F.max(c).cast("string"))).alias("samples")).select(F.lit(dataset).alias("dataset"), F.lit(name).alias("column_name"), F.lit(kind).alias("data_type"), "samples")
+    columns = values(orders, "orders", "o_orderstatus", "string", "o_orderstatus").union(values(orders, "orders", "order_id", "integer", "o_orderkey")).union(values(part, "part", "p_size", "integer", "p_size")).union(values(customer, "customer", "c_acctbal", "float", "c_acctbal"))
+    told = all_columns(spark, sf_dir).where("dataset in ('orders', 'part', 'customer')").select("dataset", F.when(F.col("dataset") == "part", F.col("column_name")).otherwise(F.concat("column_name", F.lit(" of a customer order"))).alias("text"))
+    found = reasoning.inferred_concepts(columns, reasoning.context_domains(told))
+    return found.select("dataset", "column_name", "id", "definition", "domain", "confidence")
+
+
 _SETS = {"prices": ["Open", "High", "low", " close", "x"], "health": ["charges", "bmi", "smoker"], "shop": ["order_id", "customer_id", "price"], "series": ["date", "a", "b"], "bare": ["date", "a"]}
 
 

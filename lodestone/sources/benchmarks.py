@@ -113,14 +113,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def load_graded(spark: SparkSession, folder: str, name: str = "graded", min_relevant: int = 5, min_total: int = 10) -> Benchmark:
-    """topics.tsv, qrels.txt and collection.jsonl (or .jsonl.bz2) of a folder, with queries that have judgments enough."""
+def restricted(benchmark: Benchmark, kind: str = "csv", min_relevant: int = 5, min_total: int = 10) -> Benchmark:
+    """Datasets with a resource of the format, judgments of these, and queries that still have judgments enough."""
+    from lodestone.operators.evaluation import judged_enough, with_format
+
+    docs, qrels = with_format(benchmark.datasets.withColumnRenamed("id", "doc_id"), benchmark.qrels, kind)
+    qrels = judged_enough(qrels, min_relevant, min_total)
+    return benchmark._replace(datasets=docs.withColumnRenamed("doc_id", "id"), qrels=qrels, queries=benchmark.queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"))
+
+
+def load_graded(spark: SparkSession, folder: str, name: str = "graded", min_relevant: int = 5, min_total: int = 10, csv_only: bool = False, judged_only: bool = False) -> Benchmark:
+    """topics.tsv, qrels.txt and collection.jsonl (or .jsonl.bz2) of a folder, with queries that have judgments enough.
+
+    ``csv_only`` keeps datasets with a CSV resource and filters queries again by what is left of their judgments; ``judged_only`` keeps datasets that
+    some judgment names.
+    """
     from lodestone.operators.evaluation import judged_enough
 
     qrels = judged_enough(read_qrels(spark, f"{folder}/qrels.txt"), min_relevant, min_total)
     queries = read_topics(spark, f"{folder}/topics.tsv").join(qrels.select("query_id").distinct(), "query_id", "left_semi")
     found = [p for p in (f"{folder}/collection.jsonl", f"{folder}/collection.jsonl.bz2") if _exists(spark, p)]
-    return Benchmark(name, queries, qrels, read_collection(spark, found[0]) if found else None, True)
+    benchmark = Benchmark(name, queries, qrels, read_collection(spark, found[0]) if found else None, True)
+    if csv_only and found:
+        benchmark = restricted(benchmark, "csv", min_relevant, min_total)
+    if judged_only and found:
+        named = benchmark.qrels.select(F.col("doc_id").alias("id")).distinct()
+        benchmark = benchmark._replace(datasets=benchmark.datasets.join(named, "id", "left_semi"))
+    return benchmark
 
 
 def load_binary(spark: SparkSession, folder: str, name: str = "binary") -> Benchmark | None:
@@ -130,7 +149,8 @@ def load_binary(spark: SparkSession, folder: str, name: str = "binary") -> Bench
     if queries is None or qrels is None:
         return None
     asked = read_json_queries(spark, queries) if queries.endswith(".json") else read_topics(spark, queries)
-    commas = "," in "".join(r["value"] for r in spark.read.text(qrels).limit(10).collect())  # ten lines
+    head = "\n".join(r["value"] for r in spark.read.text(qrels).limit(1024).collect())[:1024]  # the first 1,024 characters
+    commas = "," in head
     judged = read_csv_qrels(spark, qrels) if commas else read_qrels(spark, qrels)
     datasets = first(["datasets", "collection", "documents"])
     return Benchmark(name, asked, judged, read_datasets(spark, datasets) if datasets else None, False)
