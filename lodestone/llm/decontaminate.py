@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import keep_rows
+from lodestone.llm.shared import keep_rows, tidy
 
 _WORD = re.compile(r"\w+")
 UNKNOWN, END = 0, 1
@@ -252,7 +252,7 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                 yield out.astype({"doc_id": object, "item_id": "int64", "distance": "int32", "item_words": "int32", "start_word": "int64"})
 
     # doc_id travels as a string: pandas would turn a long column with nulls into doubles
-    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(search, FOUND.replace("doc_id long", "doc_id string"))
+    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(tidy(search), FOUND.replace("doc_id long", "doc_id string"))
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import cut, free_names, release, small
+from lodestone.llm.shared import cut, free_names, release, small, tidy
 
 UNIVERSE_BITS = 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +93,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int, seed: int) -> Da
 
     # doc_id travels as a string: pandas would turn a long column with nulls into doubles
     keyed = docs.select(F.col("doc_id").cast("string"), "_text", "text")
-    made = keyed.mapInPandas(make, "doc_id string, _text long, n_shingles long, fp binary, bands array<long>, sketch binary")
+    made = keyed.mapInPandas(tidy(make), "doc_id string, _text long, n_shingles long, fp binary, bands array<long>, sketch binary")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -111,7 +111,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             fp, shingles = zip(*map(made, batch["text"]), strict=True) if len(batch) else ((), ())
             yield pd.DataFrame({"fp": pd.Series(fp, dtype=object), "shingles": pd.Series(shingles, dtype=object)})
 
-    return docs.select("text").mapInPandas(make, "fp binary, shingles array<long>")
+    return docs.select("text").mapInPandas(tidy(make), "fp binary, shingles array<long>")
 
 
 def _agreeing(pairs: DataFrame, heads: DataFrame, least: float, share: float) -> DataFrame:

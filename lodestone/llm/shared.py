@@ -103,6 +103,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(run):
+    """A function on a task's batches that, when it has put out its last one, gives the memory it freed back to the system.
+
+    Workers are used again by later tasks and stages; without this, each keeps the most it ever held.
+    """
+
+    def wrapped(batches):
+        import ctypes
+        import sys
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def keep_rows(docs: DataFrame, decider) -> DataFrame:
     """The rows of ``docs``, with all columns as they are, for which ``decider()(record batch)`` gives true."""
 
@@ -113,4 +133,4 @@ def keep_rows(docs: DataFrame, decider) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(decide(batch), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
