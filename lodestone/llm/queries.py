@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import repair_sql
 from lodestone.llm.shared import new_path, table
 
 SHARDS = 16
@@ -188,6 +189,7 @@ y AS (SELECT lang, source, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT
 z AS (SELECT lang, source, 'pair' AS part, item, value FROM x UNION ALL SELECT lang, source, 'term' AS part, item, value FROM y),
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM z)
 SELECT lang, source, part, item, value, rank FROM f WHERE part = 'pair' OR rank <= 200""",
+    "op13_conversations": repair_sql.SQL,
 }
 
 
