@@ -20,7 +20,7 @@ from lodestone.llm.shared import keep_rows, tidy
 
 _WORD = re.compile(r"\w+")
 UNKNOWN, END = 0, 1
-SLICE = 5000  # texts searched together
+SLICE = 1000  # texts searched together; what a task holds grows with their words
 FOUND = "doc_id long, item_id long, distance int, item_words int, start_word long"
 
 
