@@ -24,21 +24,32 @@ def corpus_figures(docs: DataFrame, tokens: Callable[[Column], Column] = search_
     return tokenized(docs, tokens).where(F.size("t") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
 
 
+def terms_asked(queries: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> tuple[DataFrame, DataFrame]:
+    """Members (query_id, asks) and terms (asks, term, qtf): queries with the same words, each as often, ask the same and are searched once."""
+    counted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    bags = counted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("bag"))
+    spelled = F.transform("bag", lambda x: F.concat_ws(":", F.length(x["term"]).cast("string"), x["term"], x["qtf"].cast("string")))
+    bags = bags.withColumn("asks", F.sha2(F.array_join(spelled, ","), 256))
+    terms = bags.groupBy("asks").agg(F.first("bag").alias("bag")).select("asks", F.explode("bag").alias("x")).select("asks", "x.term", "x.qtf")
+    return bags.select("query_id", "asks"), terms
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = search_tokens, least: float = 0.0) -> DataFrame:
     """query_id, doc_id, score, rank for all queries (query_id, text) at once; only documents with a score above ``least``.
 
     Tokens of documents meet the distinct terms of the queries, which Spark broadcasts if their size allows, before they are grouped, so only
-    what matches is shuffled. Corpus figures are a single row. Words that repeat in a query count each time.
+    what matches is shuffled. Corpus figures are a single row. Words that repeat in a query count each time. Queries that ask the same are scored once.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    members, asked = terms_asked(queries, tokens)
     split = tokenized(docs, tokens).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     p = split.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = p.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_figures(docs, tokens)))  # one row
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > least)
-    return top(scores, k)
+    scores = hits.groupBy(F.col("asks").alias("query_id"), "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > least)
+    best = top(scores, k).withColumnRenamed("query_id", "asks")
+    return members.join(best, "asks").select("query_id", "doc_id", "score", "rank")
 
 
 def index_statistics(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
