@@ -17,3 +17,18 @@ def test_equal_queries_are_scored_once(spark):
     alone = retrieval.bm25(docs, queries.where("query_id < 3"), 3).orderBy("rank").collect()
     for q, rows in found.items():
         assert sorted(rows) == [(r["rank"], r["doc_id"], round(r["score"], 9)) for r in alone if r["query_id"] == (q % 4 if q % 4 != 1 else 1)]
+
+
+def test_eviction_is_exact_among_close_times(spark):
+    from lodestone.operators import quantiles, rules
+
+    micros = F.expr("case when id < 299990 then 1704067200000000 + (id * 7919) % 299993 else 253402300799000000 - id end")
+    entries = spark.range(300_000).select(F.col("id").alias("key"), F.lit("x" * 9).alias("value"), F.timestamp_micros(micros).alias("ts"))
+    times = sorted(r[0] for r in entries.select(F.unix_micros("ts")).collect())
+    for share in (0.2, 0.37, 0.999991):
+        last = times[max(1, -int(-share * 300_000 // 1)) - 1]
+        assert quantiles.value_at_rank(entries, F.unix_micros("ts"), -int(-share * 300_000 // 1)) == last
+        assert rules.evicted(entries, 1000, share).count() == sum(x > last for x in times)
+    ntz = entries.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert rules.evicted(ntz, 1000).count() == rules.evicted(entries, 1000).count() == 240_000
+    assert quantiles.value_at_rank(spark.createDataFrame([(-(2**63),), (2**63 - 1,), (None,), (5,)], "v long"), F.col("v"), 2) == 5
