@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lodestone.functions.text import search_tokens
 
 K1, B = 1.5, 0.75
+#: Queries whose scores with a chunk of vectors are held together.
+AT_ONCE = 128
 
 
 def tokenized(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
@@ -63,14 +66,16 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024, chunk: int = 65_536) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, chunk: int = 8192) -> DataFrame:
     """query_id, doc_id, score, rank by cosine: the ``k`` nearest vectors (doc_id, vector) of each query (query_id, vector), all vectors searched.
 
-    Queries are dealt into blocks and vectors into chunks of bounded size; each meets each once, and the k best of a query in
+    Queries are dealt into blocks and vectors into chunks of bounded size; each meets each once, ``AT_ONCE`` queries at a time, and the k best of a query in
     a chunk go on. Null, empty and zero vectors, and vectors of another length than the query's, are not near anything.
     """
-    v = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("v")).where("size(v) > 0")
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("size(v) > 0")
+    # floats are dealt as they are and widened, exactly, where they meet
+    plain = lambda x: F.col("vector") if x.schema["vector"].dataType == ArrayType(FloatType()) else F.col("vector").cast("array<double>")
+    v = vectors.select("doc_id", plain(vectors).alias("v")).where("size(v) > 0")
+    q = queries.select("query_id", plain(queries).alias("v")).where("size(v) > 0")
     blocks, chunks = (max(1, -(-x.count() // size)) for x, size in ((q, block), (v, chunk)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -81,16 +86,19 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024
     def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asked) and len(held):
-            x, y = np.stack(asked["v"].to_list()), np.stack(held["v"].to_list())
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
-            scores = np.where(np.isfinite(scores), scores, -np.inf)
-            ids, take = held["doc_id"].to_numpy(), min(k, len(held))
-            for query_id, row in zip(asked["query_id"], scores, strict=True):
-                least = np.partition(row, len(row) - take)[len(row) - take]
-                at = np.flatnonzero((row >= least - 1e-8) & (row > -np.inf))
-                best = sorted(zip(-np.round(row[at], 9), ids[at], row[at], strict=True))[:k]
-                found += [(query_id, doc_id, float(score)) for _, doc_id, score in best]
+            x, y = (np.stack(side["v"].to_list()).astype(np.float64) for side in (asked, held))
+            lengths, ids, take = np.linalg.norm(y, axis=1), held["doc_id"].to_numpy(), min(k, len(held))
+            for at in range(0, len(x), AT_ONCE):
+                some = x[at : at + AT_ONCE]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = some @ y.T
+                    scores /= np.linalg.norm(some, axis=1)[:, None] * lengths
+                scores[~np.isfinite(scores)] = -np.inf
+                for query_id, row in zip(asked["query_id"].iloc[at : at + AT_ONCE], scores, strict=True):
+                    least = np.partition(row, len(row) - take)[len(row) - take]
+                    near = np.flatnonzero((row >= least - 1e-8) & (row > -np.inf))
+                    best = sorted(zip(-np.round(row[near], 9), ids[near], row[near], strict=True))[:k]
+                    found += [(query_id, doc_id, float(score)) for _, doc_id, score in best]
         return pd.DataFrame(found, columns=["query_id", "doc_id", "score"])
 
     met = left.groupBy("d", "block", "chunk").cogroup(right.groupBy("d", "block", "chunk")).applyInPandas(nearest, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")

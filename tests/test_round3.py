@@ -19,6 +19,22 @@ def test_equal_queries_are_scored_once(spark):
         assert sorted(rows) == [(r["rank"], r["doc_id"], round(r["score"], 9)) for r in alone if r["query_id"] == (q % 4 if q % 4 != 1 else 1)]
 
 
+def test_dense_search_holds_few_scores_at_once(spark):
+    import inspect
+
+    from lodestone.operators.retrieval import AT_ONCE, dense
+
+    sizes = {n: p.default for n, p in inspect.signature(dense).parameters.items()}
+    assert AT_ONCE * sizes["chunk"] <= 1 << 21  # scores; a worker held a block's, 2^26
+    vectors = spark.range(700).select(F.col("id").alias("doc_id"), F.array(*[F.sin(F.col("id") * i + i).cast("float") for i in range(1, 9)]).alias("vector"))
+    queries = vectors.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "query_id")
+    key = lambda df: {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 9)) for r in df.collect()}
+    doubles = queries.withColumn("vector", F.col("vector").cast("array<double>"))
+    want = key(dense(vectors, doubles, 3))
+    assert len(want) == 1050 and want == key(dense(vectors, queries, 3, block=50, chunk=90))
+    assert all(want[q, 1][1] == 1.0 for q, _ in want)  # the query itself, or its equal
+
+
 def test_eviction_is_exact_among_close_times(spark):
     from lodestone.operators import quantiles, rules
 
