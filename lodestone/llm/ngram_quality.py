@@ -151,17 +151,16 @@ def _slices(texts: list[str], most_chars: int = 4 << 20) -> Iterator[slice]:
 def with_parts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """row input columns doc_id, lang, text (nulls as ''), and part: 1 trains, 2 is held out, 0 is neither.
 
-    Trusted are ids whose labels all have quality 1 and are not toxic; of more than ``most`` a share, by a hash, of about ``most``.
-    A quarter, by another hash, is held out. The table of trusted ids has about ``most`` rows at most, so it is broadcast.
+    Trusted are all ids whose labels all have quality 1 and are not toxic. A quarter, by a hash, is held out. Up to ``most`` trusted ids are
+    broadcast; more are joined by a shuffle, after which the rows are written once, as they are read several times.
     """
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good")
-    good = cut(good.select("_id"), "kn-good")
-    share = min(1.0, 0.99 * most / max(1, good.count()))
-    spot = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 20))
-    chosen = good if share == 1.0 else good.where(spot(5) < int(share * (1 << 20)))
-    chosen = F.broadcast(chosen.select("_id", F.when(spot(6) < (1 << 18), 2).otherwise(1).alias("part")))
+    good = cut(good.select("_id", F.when(F.pmod(F.xxhash64(F.lit(6), "_id"), F.lit(1 << 20)) < (1 << 18), 2).otherwise(1).alias("part")), "kn-good")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return plain.join(chosen, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "lang", "text", F.coalesce("part", F.lit(0)).alias("part"))
+    few = good.count() <= most
+    chosen = F.broadcast(good) if few else good.hint("shuffle_merge")
+    parted = plain.join(chosen, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "lang", "text", F.coalesce("part", F.lit(0)).alias("part"))
+    return parted if few else cut(parted, "kn-parted")
 
 
 def gram_counts(parted: DataFrame, most_grams: int = 400_000) -> DataFrame:
@@ -412,7 +411,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, most_trusted: i
         calm = scored(held, grams, set(), hot_grams).withColumn("lang", F.lit(POOLED))
         limits = limits.unionByName(limits_of_rare(of_docs.where(F.col("model") == POOLED), limits_of(calm, quantile), quantile))
     limits = F.broadcast(cut(limits.withColumnRenamed("lang", "l"), "kn-limits"))  # a row for each language
-    release(grams)
+    release(grams, parted)
     judged = of_docs.join(limits, F.col("lang") == F.col("l"), "left").withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(_nll())))
     none = F.lit(float("inf"))
     judged = judged.withColumns({"high": F.coalesce("high", none), "word_high": F.coalesce("word_high", none), "worst_word": F.exp("worst_word")})
@@ -423,8 +422,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.985, most_tr
     """doc_id, lang, n_symbols, perplexity, worst_word, high, word_high, kept for each row of ``docs`` (doc_id, lang, text; others ignored).
 
     kept: the perplexity a symbol and the perplexity of the worst word of WORD letters or more are at most the ``quantile`` of
-    held-out trusted documents of the language. Of the trusted documents (labels of quality 1, none toxic; at most ``most_trusted``, a
-    documented bound) three quarters train. A language with less than LEAST_TRAINED trained n-grams, or fewer held-out documents than
+    held-out trusted documents of the language. Of the trusted documents (labels of quality 1, none toxic; all of them, broadcast up to
+    ``most_trusted``) three quarters train. A language with less than LEAST_TRAINED trained n-grams, or fewer held-out documents than
     the quantile needs, takes a model of all languages together and limits made by that same model (``limits_of_rare``). A null
     language counts as ''.
 

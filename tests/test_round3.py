@@ -48,3 +48,15 @@ def test_eviction_is_exact_among_close_times(spark):
     ntz = entries.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert rules.evicted(ntz, 1000).count() == rules.evicted(entries, 1000).count() == 240_000
     assert quantiles.value_at_rank(spark.createDataFrame([(-(2**63),), (2**63 - 1,), (None,), (5,)], "v long"), F.col("v"), 2) == 5
+
+
+def test_all_trusted_documents_count_beyond_what_is_broadcast(spark):
+    from lodestone.llm import ngram_quality as Q
+
+    docs = spark.createDataFrame([(i if i % 50 else None, f"the river w{i % 11} flows", "en" if i % 3 else None) for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(5, 0, 0)], "doc_id long, quality int, toxic int")
+    few, all_ = (Q.with_parts(docs, labels, most) for most in (7, 10**6))
+    want = sorted(map(tuple, all_.collect()), key=str)
+    assert sum(r[3] > 0 for r in want) == 293 and sorted(map(tuple, few.collect()), key=str) == want
+    rows = lambda most: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in Q.quality(docs, labels, 0.9, most_trusted=most).collect()), key=str)
+    assert rows(7) == rows(10**6)
