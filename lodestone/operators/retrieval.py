@@ -37,7 +37,7 @@ def terms_asked(queries: DataFrame, tokens: Callable[[Column], Column] = search_
     return bags.select("query_id", "asks"), terms
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = search_tokens, least: float = 0.0) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = search_tokens, least: float = 0.0, block: int = 1024, chunk: int = 4096) -> DataFrame:
     """query_id, doc_id, score, rank for all queries (query_id, text) at once; only documents with a score above ``least``.
 
     Tokens of documents meet the distinct terms of the queries, which Spark broadcasts if their size allows, before they are grouped, so only
@@ -47,14 +47,61 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens: Callable[[Col
     split = tokenized(docs, tokens).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     p = split.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = p.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_figures(docs, tokens)))  # one row
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
-    scores = hits.groupBy(F.col("asks").alias("query_id"), "doc_id").agg(F.sum(part).alias("score")).where(F.col("score") > least)
-    best = top(scores, k).withColumnRenamed("query_id", "asks")
+    figures = corpus_figures(docs, tokens).first()  # one row
+    if not figures["n"]:
+        figures = {"n": 0, "avgdl": 1.0}  # there are no postings then
+    idf = F.ln((F.lit(figures["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(figures["avgdl"])))
+    factors = asked.join(df, "term").select("asks", "term", (idf * F.col("qtf")).alias("x"))
+    blocks = max(1, -(-members.select("asks").distinct().count() // block))
+    weights = p.select("doc_id", "term", weight.alias("w"))
+    scores = products(factors, weights.where("doc_id is not null"), blocks, max(1, -(-figures["n"] // chunk)), k, max(least, 0.0))
+    # pandas would make doubles of ids among which are nulls; texts without id are one document of each query
+    nameless = factors.join(weights.where("doc_id is null"), "term").groupBy(F.col("asks").alias("query_id"), "doc_id").agg(F.sum(F.col("x") * F.col("w")).alias("score"))
+    best = top(scores.unionByName(nameless.where(F.col("score") > least)), k).withColumnRenamed("query_id", "asks")
     return members.join(best, "asks").select("query_id", "doc_id", "score", "rank")
 
 
+def products(factors: DataFrame, weights: DataFrame, blocks: int, chunks: int, k: int, least: float) -> DataFrame:
+    """query_id, doc_id, score above ``least``: sums over terms of factors (asks, term, x) times weights (doc_id, term, w), the ``k`` best of each query in each chunk of documents.
+
+    Queries are dealt into ``blocks`` and documents into ``chunks``; each meets each once, ``AT_ONCE`` queries at a time, as in ``dense``.
+    """
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = factors.select("asks", "term", "x", deal("asks", blocks).alias("block"), every(chunks).alias("chunk"))
+    right = weights.select("doc_id", "term", "w", deal("doc_id", chunks).alias("chunk"), every(blocks).alias("block"))
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(held):
+            at, names = pd.factorize(asked["asks"])
+            place, ids = pd.factorize(held["doc_id"], use_na_sentinel=False)
+            weight = held["w"].to_numpy()
+            # a document has a term once, or once for each length if texts share its id
+            postings = {t: (place[i], weight[i], len(np.unique(place[i])) == len(i)) for t, i in held.groupby("term", sort=False).indices.items()}
+            take = min(k, len(ids))
+            for first in range(0, len(names), AT_ONCE):
+                some = asked[(at >= first) & (at < first + AT_ONCE)]
+                scores = np.zeros((min(AT_ONCE, len(names) - first), len(ids)))
+                for query, term, x in zip(at[some.index] - first, some["term"], some["x"], strict=True):
+                    if term in postings:
+                        docs, w, once = postings[term]
+                        if once:
+                            scores[query, docs] += x * w
+                        else:
+                            np.add.at(scores[query], docs, x * w)
+                for query, row in enumerate(scores):
+                    bound = np.partition(row, len(row) - take)[len(row) - take]
+                    near = np.flatnonzero((row >= bound - 1e-8) & (row > least))
+                    best = sorted(zip(-np.round(row[near], 9), ids[near], row[near], strict=True))[:k]
+                    found += [(names[first + query], doc_id, float(score)) for _, doc_id, score in best]
+        return pd.DataFrame(found, columns=["query_id", "doc_id", "score"])
+
+    kind = weights.schema["doc_id"].dataType.simpleString()
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(nearest, f"query_id string, doc_id {kind}, score double")
+
+
 def index_statistics(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
     """documents, avg_doc_length, vocabulary: one row."""
     terms = tokenized(docs, tokens).select(F.explode("t").alias("term")).distinct().agg(F.count(F.lit(1)).alias("vocabulary"))

@@ -60,3 +60,30 @@ def test_all_trusted_documents_count_beyond_what_is_broadcast(spark):
     assert sum(r[3] > 0 for r in want) == 293 and sorted(map(tuple, few.collect()), key=str) == want
     rows = lambda most: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in Q.quality(docs, labels, 0.9, most_trusted=most).collect()), key=str)
     assert rows(7) == rows(10**6)
+
+
+def test_bm25_in_blocks_against_plain(spark):
+    import math
+
+    texts = [(2**60 + i % 45, f"ring w{i % 7} " + "steel " * (i % 5)) for i in range(60)] + [(None, "steel ring"), (None, "steel steel w1"), (1, " "), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = [(i, f"ring ring w{i % 9} steel") for i in range(12)] + [(99, "nothing"), (100, None)]
+    rows = [(d, x.split()) for d, x in texts if x and x.split()]
+    n, mean = len(rows), sum(len(x) for _, x in rows) / len(rows)
+    tf = {}
+    for d, x in rows:
+        for w in x:
+            tf[d, len(x), w] = tf.get((d, len(x), w), 0) + 1
+    df = {w: sum(key[2] == w for key in tf) for w in {key[2] for key in tf}}
+    want = {}
+    for q, x in asked:
+        score = {}
+        for (d, dl, w), m in tf.items():
+            idf = math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1)
+            score[d] = score.get(d, 0) + idf * m * 2.5 / (m + 1.5 * (0.25 + 0.75 * dl / mean)) * (x or "").split().count(w)
+        best = sorted((-round(s, 9), -1 if d is None else d) for d, s in score.items() if s > 0)[:9]
+        want |= {(q, r): (d, -s) for r, (s, d) in enumerate(best, 1)}
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    for sizes in ({}, {"block": 2, "chunk": 7}):
+        got = retrieval.bm25(docs, queries, 9, **sizes).collect()
+        assert {(r["query_id"], r["rank"]): (-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 9)) for r in got} == want
