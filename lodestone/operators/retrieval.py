@@ -53,9 +53,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, tokens: Callable[[Col
     idf = F.ln((F.lit(figures["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(figures["avgdl"])))
     factors = asked.join(df, "term").select("asks", "term", (idf * F.col("qtf")).alias("x"))
+    return scored(members, factors, p.select("doc_id", "term", weight.alias("w")), figures["n"], k, least, block, chunk)
+
+
+def scored(members: DataFrame, factors: DataFrame, weights: DataFrame, n: int, k: int, least: float = 0.0, block: int = 1024, chunk: int = 4096) -> DataFrame:
+    """query_id, doc_id, score, rank: the ``k`` best of ``n`` documents for each query, from members (query_id, asks), factors (asks, term, x) and weights (doc_id, term, w)."""
     blocks = max(1, -(-members.select("asks").distinct().count() // block))
-    weights = p.select("doc_id", "term", weight.alias("w"))
-    scores = products(factors, weights.where("doc_id is not null"), blocks, max(1, -(-figures["n"] // chunk)), k, max(least, 0.0))
+    scores = products(factors, weights.where("doc_id is not null"), blocks, max(1, -(-n // chunk)), k, max(least, 0.0))
     # pandas would make doubles of ids among which are nulls; texts without id are one document of each query
     nameless = factors.join(weights.where("doc_id is null"), "term").groupBy(F.col("asks").alias("query_id"), "doc_id").agg(F.sum(F.col("x") * F.col("w")).alias("score"))
     best = top(scores.unionByName(nameless.where(F.col("score") > least)), k).withColumnRenamed("query_id", "asks")

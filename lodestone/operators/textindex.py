@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_tokens
-from lodestone.operators.retrieval import K1, B, tokenized, top
+from lodestone.operators.retrieval import K1, B, scored, terms_asked, tokenized
 
-BLOCK, LEVELS, HEAD = 128, 16, 128
+#: Postings in a block, documents in a shard, tokens that a part of a bucket has on average at most, documents scored together.
+BLOCK, SHARD, PART, CHUNK = 128, 1 << 18, 1 << 18, 4096
 
 
 class TextIndex:
-    """Tables below a folder: ``figures``, ``terms`` (term, df, idf, bound) and ``blocks`` by bucket of terms (term, head, most, doc_ids, weights).
+    """Tables below a folder: ``figures``, ``terms`` (term, df, idf, bound) and ``blocks`` by bucket of terms (term, head, most, held, doc_ids, weights).
 
-    A weight is the part of a term's score in a document that doesn't depend on the query. Each term has its ``HEAD`` largest weights in a block of its
-    own; the others are dealt into blocks of about ``BLOCK`` by level of weight and hash of the document, so a frequent term is spread over many tasks.
+    A weight is the part of a term's score in a document that doesn't depend on the query. Documents are dealt into shards; in each a term's postings
+    are cut into blocks of ``BLOCK`` from the largest weight on, the first of which is the head, so a frequent term is spread over many tasks.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -27,28 +28,32 @@ class TextIndex:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def build(self, docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens, buckets: int = 64) -> None:
-        """Index documents (doc_id, text) that have tokens; texts are cut once for the postings and once for their lengths."""
-        cut = tokenized(docs, tokens).where(F.size("t") > 0).select("doc_id", "t", F.size("t").alias("dl"))
-        cut.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{self.path}/figures")
-        cut.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).write.mode("overwrite").parquet(f"{self.path}/postings")
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        p = self._table("postings").crossJoin(F.broadcast(self._table("figures"))).select("term", "doc_id", weight.alias("weight"), "n")  # figures: one row
-        idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        """Index documents (doc_id, text) that have tokens; texts are cut once for the postings and once for their lengths.
+
+        Tokens are shuffled once, to the part of a bucket that counts them and cuts their blocks; there are as many parts as the tokens need.
+        """
+        cut = tokenized(docs, tokens).select("doc_id", "t", F.size("t").alias("dl"))
+        some = F.when(F.col("dl") > 0, F.col("dl"))
+        cut.agg(F.count(some).alias("n"), F.avg(some).alias("avgdl")).write.mode("overwrite").parquet(f"{self.path}/figures")
+        figures = self._table("figures").first()  # one row
+        n, avgdl = figures["n"], figures["avgdl"] or 1.0
+        parts, shards = max(1, -(-int(n * avgdl) // (buckets * PART))), max(1, -(-n // SHARD))
+        shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        terms = p.groupBy("term", "n").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("bound"))
-        terms.select("term", bucket, "df", idf.alias("idf"), "bound").write.mode("overwrite").parquet(f"{self.path}/terms")
-
-        most = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("weight"), "doc_id"))
-        heads = p.withColumn("place", most).where(F.col("place") <= HEAD)  # tasks choose theirs before the shuffle
-        heads = heads.groupBy("term").agg(F.max("weight").alias("most"), F.collect_list(F.struct("doc_id", "weight")).alias("x"), F.max(F.struct((-F.col("weight")).alias("w"), "doc_id")).alias("last"))
-        frequent = heads.join(self._table("terms").where(F.col("df") > HEAD).select("term", "df", "bound"), "term").select("term", "df", "bound", "last")
-        rest = p.join(frequent, "term").where(F.struct((-F.col("weight")).alias("w"), "doc_id") > F.col("last"))
-        level = F.floor(F.col("weight") / F.col("bound") * (LEVELS - 1)).cast("int")
-        rest = rest.withColumns({"level": level, "deal": F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / BLOCK)).cast("int")})
-        rest = rest.groupBy("term", "level", "deal").agg(F.max("weight").alias("most"), F.collect_list(F.struct("doc_id", "weight")).alias("x"))
-        blocks = heads.select("term", F.lit(True).alias("head"), "most", "x").union(rest.select("term", F.lit(False), "most", "x"))
-        blocks = blocks.select(bucket, "term", "head", "most", F.col("x.doc_id").alias("doc_ids"), F.col("x.weight").alias("weights"))
-        blocks.repartition("bucket", F.pmod(F.xxhash64("term", "most"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks")
+        place = ["bucket", "part"]
+        dealt = cut.select("doc_id", "dl", shard, F.explode("t").alias("term")).select("*", bucket, F.pmod(F.xxhash64("term", "shard", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), buckets * parts // 4)
+        p = dealt.repartition(tasks, *place).groupBy(*place, "term", "shard", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+        order = Window.partitionBy(*place, "term", "shard").orderBy(F.desc("weight"), "doc_id")
+        p = p.withColumn("weight", weight).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+        blocks = p.groupBy(*place, "term", "shard", "block").agg(F.max("weight").alias("most"), F.collect_list(F.struct("doc_id", "weight")).alias("x"))
+        blocks = blocks.select("bucket", "term", (F.col("block") == 0).alias("head"), "most", F.size("x").alias("held"), F.col("x.doc_id").alias("doc_ids"), F.col("x.weight").alias("weights"))
+        blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks")
+
+        idf = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        terms = self.spark.read.schema(blocks.schema).parquet(f"{self.path}/blocks").groupBy("bucket", "term").agg(F.sum("held").alias("df"), F.max("most").alias("bound"))
+        terms.select("term", "bucket", "df", idf.alias("idf"), "bound").write.mode("overwrite").parquet(f"{self.path}/terms")
 
     def _asked(self, queries: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
         """query_id, term, bucket, factor, bound of the terms that the index holds; a word that repeats in a query counts each time."""
@@ -64,18 +69,33 @@ class TextIndex:
         reaches it is in none of the blocks left out, so its score is whole.
         """
         asked = self._asked(queries, tokens)
+        met = self._met(asked).join(asked, ["bucket", "term"]).join(self._reach(queries, k, tokens), "query_id")
+        return met.where(F.col("most") * F.col("factor") + F.col("total") - F.col("bound") >= F.col("reach") - 1e-6).select("query_id", "factor", "doc_ids", "weights")
+
+    def _met(self, asked: DataFrame) -> DataFrame:
+        """Blocks of the buckets that hold terms asked for."""
         buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # as many as the index has at most
-        blocks = self._table("blocks").where(F.col("bucket").isin(buckets))
-        known = blocks.where("head").join(asked, ["bucket", "term"]).select("query_id", "factor", F.explode(F.arrays_zip("doc_ids", "weights")).alias("x"))
+        return self._table("blocks").where(F.col("bucket").isin(buckets))
+
+    def _reach(self, queries: DataFrame, k: int, tokens: Callable[[Column], Column]) -> DataFrame:
+        """query_id, reach, total: the score to reach for a query's best ``k``, 0 if its heads hold fewer, and the most that its terms can give together."""
+        asked = self._asked(queries, tokens)
+        known = self._met(asked).where("head").join(asked, ["bucket", "term"]).select("query_id", "factor", F.explode(F.arrays_zip("doc_ids", "weights")).alias("x"))
         known = known.groupBy("query_id", F.col("x.doc_ids").alias("doc_id")).agg(F.sum(F.col("factor") * F.col("x.weights")).alias("score"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
         reach = known.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("reach"))
-        totals = asked.groupBy("query_id").agg(F.sum("bound").alias("total")).join(reach, "query_id")
-        met = blocks.join(asked, ["bucket", "term"]).join(totals, "query_id")
-        return met.where(F.col("most") * F.col("factor") + F.col("total") - F.col("bound") >= F.col("reach") - 1e-6).select("query_id", "factor", "doc_ids", "weights")
+        return asked.groupBy("query_id").agg(F.sum("bound").alias("total")).join(reach, "query_id")
 
     def search(self, queries: DataFrame, k: int = 10, tokens: Callable[[Column], Column] = search_tokens, least: float = 0.0) -> DataFrame:
-        """query_id, doc_id, score, rank, as ``bm25`` gives them for the documents indexed; documents aren't read."""
-        hits = self.needed_blocks(queries, k, tokens).select("query_id", "factor", F.explode(F.arrays_zip("doc_ids", "weights")).alias("x"))
-        scores = hits.groupBy("query_id", F.col("x.doc_ids").alias("doc_id")).agg(F.sum(F.col("factor") * F.col("x.weights")).alias("score"))
-        return top(scores.where(F.col("score") > least), k)
+        """query_id, doc_id, score, rank, as ``bm25`` gives them for the documents indexed; documents aren't read.
+
+        A block that some query needs is read once and scored for all of them: what it adds to the others' scores is theirs.
+        """
+        asked, reach = self._asked(queries, tokens), self._reach(queries, k, tokens)
+        least_weight = (F.col("reach") - 1e-6 - F.col("total") + F.col("bound")) / F.col("factor")
+        floors = asked.join(reach, "query_id").groupBy("bucket", "term").agg(F.min(least_weight).alias("floor"))
+        needed = self._met(asked).join(floors, ["bucket", "term"]).where(F.col("most") >= F.col("floor"))
+        weights = needed.select("term", F.explode(F.arrays_zip("doc_ids", "weights")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), "term", F.col("x.weights").alias("w"))
+        members, bags = terms_asked(queries, tokens)
+        factors = bags.join(self._table("terms"), "term").select("asks", "term", (F.col("idf") * F.col("qtf")).alias("x"))
+        return scored(members, factors, weights, self._table("figures").first()["n"], k, least, chunk=CHUNK)

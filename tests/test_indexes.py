@@ -48,3 +48,24 @@ def test_vector_index(spark, tmp_path, vectors):
     found = key(index.search(queries, 10, probes=probes))
     hits = {(q, d) for (q, _), (d, _) in found.items()} & {(q, d) for (q, _), (d, _) in want.items()}
     assert probes < 24 and len(hits) >= 0.9 * len(want)
+
+
+def test_text_index_shuffles_postings_once(spark, tmp_path, monkeypatch):
+    from lodestone.operators import textindex
+
+    monkeypatch.setattr(textindex, "SHARD", 300)
+    monkeypatch.setattr(textindex, "PART", 100)
+    monkeypatch.setattr(textindex, "CHUNK", 128)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{int(rng.expovariate(0.05))}" for _ in range(60)], k=rng.randrange(1, 40))) + " the") for i in range(1100)]
+    rows += [(None, "the w1"), (None, "w2 the the"), (7, "the w3"), (7, rows[7][1]), (9001, None), (9002, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "the w1 w2"), (2, "w3 the the"), (3, "nowhere"), (4, "W1 the w2"), (5, "w1 w2 the")], "query_id long, text string")
+    index = TextIndex(spark, f"{tmp_path}/index")
+    index.build(docs)
+    key = lambda df: {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 6)) for r in df.collect()}
+    for k in (1, 10, 2000):
+        assert key(index.search(queries, k)) == key(bm25(docs, queries, k))
+    held = spark.read.parquet(f"{tmp_path}/index/blocks")
+    assert held.where("term = 'the' and head").count() == 4 and held.where("size(doc_ids) > 128 or size(doc_ids) <> held").count() == 0
+    assert not (tmp_path / "index" / "postings").exists()  # postings were written and shuffled four times more
