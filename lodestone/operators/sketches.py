@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.profile import data_type
 
 #: log2 of the registers of a distinct-value sketch (off by 1.04 / sqrt of them), size of a quantile sketch (ranks off by about 1.33 %), frequent values kept.
 REGISTERS, RANKS, FREQUENT = 14, 200, 1000
+#: Columns whose figures are aggregated in one pass.
+TOGETHER = 2
 STATE = ["n", "present", "sum1", "mean", "m2", "m3", "m4", "min", "max", "hll", "kll", "frequent", "dropped"]
 
 
@@ -20,7 +24,8 @@ def column_states(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
     present counts values that are neither null nor NaN. Numbers have mean and central sums of powers 2 to 4, least and largest value and a KLL sketch. Every column
     has an HLL sketch of the hashes of its values, and its ``FREQUENT`` most frequent values with their counts; dropped is the most that a
     value left out can have had, so counts are off by that at most.
-    One pass aggregates everything but the frequent values, which are counted by value in a second.
+    ``TOGETHER`` columns are aggregated in a pass that reads no others: with more the generated code is too long to be compiled. Values are counted
+    as they are, in a pass over each column, and only counted ones become strings.
     """
     fields = {f.name: f for f in df.schema.fields if f.name not in by}
     names = list(columns) if columns is not None else list(fields)
@@ -38,14 +43,28 @@ def column_states(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
             (v * count).alias("m2"), (F.skewness(number) * F.pow(v, 1.5) * count).alias("m3"), ((F.kurtosis(number) + 3) * v * v * count).alias("m4"), F.min(number).alias("min"), F.max(number).alias("max"),
             F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), REGISTERS).alias("hll"), F.kll_sketch_agg_double(number, RANKS).alias("kll"),
         ).alias(f"c{i}"))
-    states = df.groupBy(*by).agg(*per).select(*by, F.inline(F.array(*[f"c{i}" for i in range(len(names))])))
+    passes = []
+    for at in range(0, len(names), TOGETHER):
+        some = range(at, min(at + TOGETHER, len(names)))
+        passes.append(df.groupBy(*by).agg(*[per[i] for i in some]).select(*by, F.inline(F.array(*[f"c{i}" for i in some]))))
+    states = reduce(DataFrame.union, passes)
     # a constant column has no shape: its higher sums are 0
     states = states.withColumns({m: F.when(F.col("m2") == 0, F.lit(0.0)).otherwise(F.col(m)) for m in ("m3", "m4")})
-    values = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value")) for n in names])).alias("x")).select(*by, "x.*")
-    counts = values.where("value is not null and value <> 'NaN'").groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("m"))
+    counts = reduce(DataFrame.union, [value_counts(df, name, by) for name in names])
     return _with_frequent(states, counts, [*by, "column_name"])
 
 
+def value_counts(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, column_name, value (string), m: how often each value of a column is there; nulls and NaN don't count, -0.0 is 0.0."""
+    c = F.col(f"`{name}`")
+    kind = df.schema[name].dataType
+    floating = isinstance(kind, (T.FloatType, T.DoubleType))
+    c = c.cast("string") if data_type(kind) == "unknown" else c  # not all of these can be grouped
+    kept = df.where(~F.isnan(c) & c.isNotNull() if floating else c.isNotNull()).select(*by, c.alias("_value"))
+    counts = kept.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("m"))
+    return counts.select(*by, F.lit(name).alias("column_name"), F.col("_value").cast("string").alias("value"), "m")
+
+
 def _with_frequent(states: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """``states`` with the ``FREQUENT`` largest of ``counts`` (keys, value, m) of each; the first ones of each task are chosen before they are shuffled."""
     from pyspark.sql import Window

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.sketches import column_states, merge_states, profile_of_states
 
+_KEY = "{}_metadata.file_path, _metadata.file_size, unix_micros(_metadata.file_modification_time))"
+_KEYS = [_KEY.format("xxhash64(") + " AS _a", _KEY.format("xxhash64(1, ") + " AS _b"]
 _FILE = "sha2(concat_ws('|', _metadata.file_path, _metadata.file_size, unix_micros(_metadata.file_modification_time)), 256)"
 
 
@@ -40,8 +42,10 @@ class ProfileStore:
 
     def files(self, table: str) -> DataFrame:
         """file (fingerprint), path of the Parquet files that a table has now; their contents aren't read."""
-        listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(table)
-        return listed.selectExpr(f"{_FILE} AS file", "path")
+        return self._listed(table).selectExpr(f"{_FILE} AS file", "path")
+
+    def _listed(self, table: str) -> DataFrame:
+        return self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(table)
 
     def refresh(self, table: str) -> int:
         """Read the files of a table that the store lacks; gives their number. Their paths, no rows, pass through the driver."""
@@ -50,9 +54,11 @@ class ProfileStore:
         paths = [r["path"] for r in new.select("path").collect()]
         if paths:
             schema = self.spark.read.parquet(table).schema
-            rows = self.spark.read.schema(schema).parquet(*paths).selectExpr("*", f"{_FILE} AS file")
+            # rows are grouped by two hashes of what the fingerprint is of, which cost less for each row
+            rows = self.spark.read.schema(schema).parquet(*paths).selectExpr("*", *_KEYS)
+            known = self._listed(table).selectExpr(f"{_FILE} AS file", *_KEYS)
             generation = len(self._generations())
-            column_states(rows, by=["file"]).write.mode("overwrite").parquet(f"{self.path}/g{generation:06d}")
+            column_states(rows, by=["_a", "_b"]).join(known, ["_a", "_b"]).drop("_a", "_b").write.mode("overwrite").parquet(f"{self.path}/g{generation:06d}")
         return len(paths)
 
     def profile(self, table: str) -> DataFrame:

@@ -87,3 +87,24 @@ def test_bm25_in_blocks_against_plain(spark):
     for sizes in ({}, {"block": 2, "chunk": 7}):
         got = retrieval.bm25(docs, queries, 9, **sizes).collect()
         assert {(r["query_id"], r["rank"]): (-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 9)) for r in got} == want
+
+
+def test_states_count_values_as_they_are(spark):
+    from lodestone.operators.sketches import column_states
+
+    rows = [(1, "NaN", 0.0, [1]), (1, "NaN", -0.0, None), (2, "x", float("nan"), [1]), (2, "NaN", None, [2])]
+    df = spark.createDataFrame(rows, "part int, s string, z double, m array<int>")
+    states = column_states(df, ["s", "z", "m"])
+    assert {(r[0], x["value"], x["m"]) for r in states.select("column_name", "frequent").collect() for x in r[1]} == {("s", "NaN", 3), ("s", "x", 1), ("z", "0.0", 2), ("m", "[1]", 2), ("m", "[2]", 1)}
+    plan = column_states(df, ["s", "z"], by=["part"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan  # each row was made one of strings for each column
+
+
+def test_profile_queries_keep_states_and_count_once(spark, tmp_path):
+    from lodestone.plans.queries import QUERIES
+
+    for name in ("profile_merged_states", "profile_files"):
+        out = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("hll_sketch_agg") == 0  # states are read, not made again by each use of them
+        assert out.count() == 6
