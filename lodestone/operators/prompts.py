@@ -91,11 +91,21 @@ def mended_json(c: Column, quotes: bool = False) -> Column:
     return F.nullif(F.translate(tidy, "'", '"') if quotes else tidy, F.lit(""))
 
 
+#: What is looked at in an answer, by the column that holds it on the way.
+PARTS = {
+    "_profiles": "$.semantic_profiles", "_ufd": "$.ufd", "_sfd": "$.sfd", "_title": "$.ufd.title", "_core": "$.ufd.core_description.text",
+    "_summary": "$.sfd.summary", "_metadata": "$.sfd.schema_metadata",
+}
+
+
 def validated(answers: DataFrame) -> DataFrame:
     """answers (id, answer, expected_columns) with json, problems (phrases) and valid."""
-    text = F.coalesce(F.when(F.try_parse_json(extracted_json(F.col("answer"))).isNotNull(), extracted_json(F.col("answer"))), mended_json(F.col("answer")))
-    a = answers.withColumn("json", F.when(F.try_parse_json(text).isNotNull(), text))
-    part = lambda path: F.get_json_object("json", path)
+    # each step is a column of its own, so that a row's answer is cut out, parsed and, only if that fails, mended and parsed again once
+    a = answers.withColumn("_cut", extracted_json(F.col("answer"))).withColumn("_parsed", F.try_parse_json("_cut"))
+    a = a.withColumn("_mended", F.when(F.col("_parsed").isNull(), mended_json(F.col("answer")))).withColumn("_again", F.try_parse_json("_mended"))
+    a = a.withColumn("json", F.when(F.col("_parsed").isNotNull(), F.col("_cut")).when(F.col("_again").isNotNull(), F.col("_mended"))).withColumn("_value", F.coalesce("_parsed", "_again"))
+    a = a.withColumns({name: F.try_variant_get("_value", path, "string") for name, path in PARTS.items()})
+    part = lambda path: F.col(next(name for name, p in PARTS.items() if p == path))
     empty = lambda path: F.coalesce(part(path), F.lit("")).isin("", "{}", "[]")
     profiles = F.coalesce(F.size(F.json_object_keys(part("$.semantic_profiles"))), F.lit(0))
     problems = F.array_compact(F.array(
@@ -105,7 +115,7 @@ def validated(answers: DataFrame) -> DataFrame:
         F.when(empty("$.ufd.core_description.text"), "UFD missing core_description.text"), F.when(empty("$.sfd.summary"), "SFD missing summary"),
         F.when(empty("$.sfd.schema_metadata"), "SFD missing schema_metadata"),
     ))
-    return a.withColumn("problems", problems).withColumn("valid", F.size("problems") == 0)
+    return a.withColumn("problems", problems).withColumn("valid", F.size("problems") == 0).drop("_cut", "_parsed", "_mended", "_again", "_value", *PARTS)
 
 
 def markdown(descriptions: DataFrame) -> DataFrame:

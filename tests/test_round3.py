@@ -108,3 +108,26 @@ def test_profile_queries_keep_states_and_count_once(spark, tmp_path):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("hll_sketch_agg") == 0  # states are read, not made again by each use of them
         assert out.count() == 6
+
+
+def test_answers_are_parsed_once(spark):
+    from lodestone.operators import prompts
+
+    good = '{"semantic_profiles": {"c": {}}, "ufd": {"title": "t", "core_description": {"text": "x"}}, "sfd": {"summary": "s", "schema_metadata": [1]}}'
+    odd = {
+        1: good, 2: "```json\n" + good + "\n```", 3: "Here: " + good[:-1], 4: good.replace('"s"', "{ }").replace("[1]", "[ ]"), 5: '{"semantic_profiles": [1], "ufd": null, "sfd": "text"}', 6: "no", 7: None, 8: "{} ```",
+        9: '{"semantic_profiles": "{\\"a\\": 1}", "ufd": [{"title": "t"}], "sfd": {"summary": 0, "schema_metadata": {"x": null}}}', 10: good.replace('"x"', "null"), 11: "```\n" + good[:-2] + ",}\n``` }", 12: "[" + good + "]",
+    }
+    d = spark.createDataFrame([(k, v, 1) for k, v in odd.items()], "id int, answer string, expected_columns int")
+    out = prompts.validated(d)
+    assert out.columns == ["id", "answer", "expected_columns", "json", "problems", "valid"]
+    got = {r["id"]: r["problems"] for r in out.collect()}
+    none, core, title = "no JSON object", "UFD missing core_description.text", "UFD missing title"
+    gone = ["Missing top-level key: semantic_profiles", "Missing top-level key: ufd", "Missing top-level key: sfd"]
+    rest = [title, core, "SFD missing summary", "SFD missing schema_metadata"]
+    count = "semantic_profiles count mismatch"
+    assert [got[i] for i in (1, 2, 3, 4, 10)] == [[], [], [], rest[2:], [core]]
+    assert got[5] == [gone[1], count, *rest] and got[9] == [title, core]
+    assert got[6] == got[7] == [none, *gone, count, *rest] and got[8] == [*gone, count, *rest]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") <= 4 and "get_json_object" not in plan.lower()
