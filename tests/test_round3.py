@@ -131,3 +131,16 @@ def test_answers_are_parsed_once(spark):
     assert got[6] == got[7] == [none, *gone, count, *rest] and got[8] == [*gone, count, *rest]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") + plan.count("parse_json") <= 4 and "get_json_object" not in plan.lower()
+
+
+def test_dependencies_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    from lodestone.operators import profile
+
+    df = spark.range(900).select("id", (F.col("id") % 30).alias("a"), (F.col("id") % 10).alias("b"), F.when(F.col("id") > 5, F.lit("x")).alias("c")).coalesce(1)
+    pairs = [("id", "a"), ("a", "b"), ("b", "a"), ("c", "b"), ("b", "c")]
+    want = sorted(map(tuple, profile.functional_dependencies(df, pairs).collect()))
+    assert {r[:2] for r in want if r[4]} == {("id", "a"), ("a", "b"), ("b", "c")}
+    monkeypatch.setattr(profile, "PAIRS", 300)
+    out = profile.functional_dependencies(df, pairs)
+    assert sorted(map(tuple, out.collect())) == want
+    assert "RoundRobinPartitioning(15)" in out._jdf.queryExecution().executedPlan().toString().replace("roundrobinp", "RoundRobinP")
