@@ -70,3 +70,13 @@ def test_tables_as_arguments_and_reasons(spark):
     signals = spark.createDataFrame([("c", s, "k", 0.9, 0.5, 0.9) for s in ("b", "a", "a")], "column_name string, signal string, concept string, score double, weight double, confidence double")
     assert retrieval.fuse_signals(signals).first()["reason"] == "Cross-validated: a + b"
     assert spark.createDataFrame([("o'neil 3rd_big ÉTÉ",)], "x string").select(title_case(F.col("x"))).first()[0] == "O'Neil 3Rd_Big Été"
+
+
+def test_matrix_makes_no_row_for_each_term_query_and_document(spark, tmp_path):
+    documents = spark.createDataFrame([("a", i, f"ring w{i % 3}") for i in range(30)] + [("b", i, f"w{i % 2}") for i in range(9)], "experiment string, doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 ring"), (2, "ring W1"), (3, "w0")], "query_id long, text string")
+    qrels = spark.createDataFrame([(1, 1, 1), (2, 4, 1), (3, 3, 1)], "query_id long, doc_id long, relevance int")
+    out = evaluation.run_matrix(documents, queries, qrels, ["a", "b"], f"{tmp_path}/i", (1, 5))
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["experiment"], r["k"]): (r["documents"], round(r["mrr"], 6)) for r in out.collect()}
+    assert got == {("a", 1): (30, round((1 + 1 / 2 + 1 / 2) / 3, 6)), ("a", 5): (30, round((1 + 1 / 2 + 1 / 2) / 3, 6)), ("b", 1): (9, round(1 / 3, 6)), ("b", 5): (9, round(1 / 3, 6))}
