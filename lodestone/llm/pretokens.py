@@ -10,7 +10,12 @@ such a place, or the string of an added token, go to the library whole.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain, count, islice
+
+import numpy as np
 
 _RUN = re.compile(r"[ \n\t\r]{2,}|[\t\r]|^[ \n]|[ \n]\Z")
 _MARKS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")  # a text without these, and without white space at its ends, has no run
@@ -148,3 +153,99 @@ class PretokenEncoder:
                 lead = "" if tail == " " else "\0"
                 at = end
         return out
+
+
+class PieceIds:
+    """Ids of many texts at once: each distinct piece has a number, and the ids of all pieces lie in one array.
+
+    The library is given the new pieces of a run of texts in one call, each as an input of its own; where the ids of each end follows from their bytes.
+    Beyond ``limit`` pieces the most used half stays.
+    """
+
+    def __init__(self, path: str, limit: int = 500_000):
+        self.single, self.limit = PretokenEncoder(path, list, None, None, 1), limit
+        self.tok = self.single.tok
+        vocab = self.tok.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # a symbol for each byte; added tokens don't occur in pieces
+            self.n_bytes[i] = len(token)
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.bad, self.starts, self.uses = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _string(piece: str) -> str:
+        """The text that a piece, as ``PretokenEncoder._pieces`` marks it, stands for."""
+        return piece if piece[:1] == "\n" else piece[1:] if piece[:1] in ("\0", "\1") else " " + piece
+
+    def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings, one after the other, and how many each has."""
+        ids = np.array(self.tok.encode_batch_fast([strings], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        wanted = np.cumsum(np.fromiter(map(len, map(str.encode, strings)), np.int64, len(strings)))
+        found = np.cumsum(self.n_bytes[ids])
+        at = np.searchsorted(found, wanted)
+        if len(found) and found[-1] == wanted[-1] and (found[at] == wanted).all():
+            return ids, np.diff(at, prepend=-1)
+        each = [self.single.whole(s) for s in strings]  # a vocabulary without some bytes
+        return np.array([i for x in each for i in x], np.uint32), np.array(list(map(len, each)), np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        bodies = [p[1:] if p[:1] in ("\0", "\n") else p for p in pieces]
+        bad = [p[:1] != "\1" and (not b or b[0].isspace() or b[-1].isspace()) for p, b in zip(pieces, bodies, strict=True)]
+        ids, sizes = [self.ids], [self.sizes]
+        for lo in range(0, len(pieces), 1 << 14):
+            # what can't be cut there is never used
+            some = self._encode(["a" if b else self._string(p) for p, b in zip(pieces[lo : lo + (1 << 14)], bad[lo : lo + (1 << 14)], strict=True)])
+            ids.append(some[0])
+            sizes.append(some[1])
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.bad = np.concatenate([self.bad, np.array(bad, bool)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and where those of each end."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)], ends
+
+    def _forget(self) -> None:
+        half = self.limit // 2
+        stay = np.sort(np.argpartition(-self.uses, half)[:half])
+        kinds = list(self.numbers)
+        self.numbers = defaultdict(count(half).__next__, zip(map(kinds.__getitem__, stay.tolist()), range(half)))
+        self.ids, _ = self._gather(stay)
+        self.sizes, self.bad, self.uses = self.sizes[stay], self.bad[stay], self.uses[stay] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        cut = self.single.cuttable
+        lists = [PretokenEncoder._pieces(t) if cut and t and not ("\0" in t or "\1" in t or any(a in t for a in self.single.added)) else [] for t in texts]
+        if len(self.numbers) > self.limit:
+            self._forget()
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(lists)), np.int64)
+        if new := len(self.numbers) - len(self.sizes):
+            self._learn(list(islice(reversed(self.numbers), new))[::-1])
+        self.uses = np.bincount(numbers, minlength=len(self.sizes)) + np.pad(self.uses, (0, new))
+        flat, ends = self._gather(numbers)
+        ends, bad = np.append(0, ends), np.append(0, np.cumsum(self.bad[numbers]))
+        last = np.cumsum([len(x) for x in lists])
+        out = []
+        for text, pieces, to in zip(texts, lists, last.tolist(), strict=True):
+            since = to - len(pieces)
+            if text and (not pieces or bad[to] > bad[since]):
+                out.append(np.array(self.single.whole(text), np.uint32))
+            else:
+                out.append(flat[ends[since] : ends[to]])
+        return out
+
+    def of_texts(self, texts: list[str | None], most_chars: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text, null taken as empty; runs of texts of about ``most_chars`` characters are looked up together."""
+        run, held = [], 0
+        for text in texts:
+            run.append(text or "")
+            held += len(run[-1])
+            if held >= most_chars:
+                yield from self._some(run)
+                run, held = [], 0
+        if run:
+            yield from self._some(run)

@@ -18,23 +18,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.pretokens import PretokenEncoder
+from lodestone.llm.pretokens import PieceIds
 from lodestone.llm.shared import uri_filesystem
 
-_encoders: dict[tuple, PretokenEncoder] = {}
+_encoders: dict[tuple, PieceIds] = {}
 WRITTEN = "task int, piece int, file string, width int, n_docs long, n_tokens long"
 
 
-def _encoder(path: str, width: int, cache_entries: int) -> PretokenEncoder:
-    key = (path, width, cache_entries)
+def _encoder(path: str, cache_entries: int) -> PieceIds:
+    key = (path, cache_entries)
     if key not in _encoders:
         _encoders.clear()
-        kind = "<u2" if width == 2 else "<u4"
-        _encoders[key] = PretokenEncoder(path, lambda ids: np.array(ids, kind).tobytes(), b"".join, None, cache_entries)
+        _encoders[key] = PieceIds(path, cache_entries)
     return _encoders[key]
 
 
-def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0, parts: int | None = None, cache_entries: int = 250_000, part_tokens: int = 1 << 28, part_docs: int = 100_000) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0, parts: int | None = None, cache_entries: int = 500_000, part_tokens: int = 1 << 28, part_docs: int = 100_000) -> DataFrame:
     """Encode each text (null: empty), append ``end_id``, write the files below ``out`` and return the manifest.
 
     Rows are range-partitioned and sorted by (doc_id, hash of the text), so a doc_id that repeats does not gather in
@@ -46,14 +45,15 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0, par
     spark = docs.sparkSession
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // part_docs), 1)
-    end = np.array([end_id], "<u2" if width == 2 else "<u4").tobytes()
+    kind = "<u2" if width == 2 else "<u4"
+    end = np.array([end_id], kind).tobytes()
 
     def write(batches):
         from pyspark import TaskContext
 
         fs, root = uri_filesystem(out)
         fs.create_dir(root, recursive=True)
-        encoder, task = _encoder(path, width, cache_entries), TaskContext.get().partitionId()
+        encoder, task = _encoder(path, cache_entries), TaskContext.get().partitionId()
         part, held, rows, file = 0, 0, [], None
         ids, nulls, lengths = [], [], []
 
@@ -65,11 +65,11 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 0, par
             rows.append((task, part, name, width, len(ids), int(offsets[-1])))
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+            for doc_id, own in zip(batch["doc_id"].tolist(), encoder.of_texts(batch["text"].tolist()), strict=True):
                 if file is None:
                     name = f"{task:06d}-{part:04d}-{uuid.uuid4().hex}"
                     file = fs.open_output_stream(f"{root}/{name}.bin")
-                blob = encoder.value(text) + end
+                blob = own.astype(kind).tobytes() + end
                 file.write(blob)
                 missing = doc_id is None
                 ids.append(0 if missing else int(doc_id))

@@ -157,6 +157,37 @@ def test_pretokens_are_exact():
         assert e.value(s) == len(e.tok.encode(s, add_special_tokens=False).ids), repr(s)
 
 
+def test_ids_of_many_texts_are_exact_and_take_one_call():
+    from lodestone.llm.pretokens import PieceIds
+    from lodestone.llm.queries import tokenizer_path
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("  \n\n\t\r\x1c\x85\xa0 aAbé1'.,!<|endoftext|>ß日\0\1") for _ in range(rng.randrange(20))) for _ in range(3000)]
+    texts += [None, "", " ", "\n", "a<|endoftext|>b", "x" * 500, "\U0001f600 a\u0301b", *["".join(rng.choices("abcé", k=5)) + ", b" for _ in range(2000)]]
+    for limit, most_chars in ((60, 200), (1, 50), (500_000, 1 << 20)):
+        e = PieceIds(tokenizer_path(), limit)
+        for _ in range(2):
+            for text, ids in zip(texts, e.of_texts(texts, most_chars), strict=True):
+                assert ids.tolist() == e.tok.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert len(PieceIds(tokenizer_path()).numbers) == 0 and not list(e.of_texts([]))
+
+    calls, e = [], PieceIds(tokenizer_path())
+
+    class Counted:
+        def encode_batch_fast(self, inputs, **how):
+            calls.append(len(inputs[0]))
+            return e.single.tok.encode_batch_fast(inputs, **how)
+
+    e.tok = Counted()
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    for _ in range(2):
+        assert len(list(e.of_texts([" ".join(words[i : i + 100]) + "." for i in range(0, 600, 10)]))) == 60
+    assert len(calls) == 1 and calls[0] < 800
+    # a vocabulary whose bytes don't add up is asked for each piece
+    e.tok, e.n_bytes = e.single.tok, e.n_bytes * 0
+    assert [x.tolist() for x in e.of_texts(["new words"])] == [e.tok.encode("new words", add_special_tokens=False).ids]
+
+
 def test_learned_partitions_recall(spark):
     import numpy as np
 
