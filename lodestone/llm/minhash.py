@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import cut, free_names, release, small, tidy
+from lodestone.llm.shared import cut, free_names, release, small, small_batches, tidy
 
 UNIVERSE_BITS = 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -274,7 +274,8 @@ def _components(docs: DataFrame, percent: int = 85, size: int = 5, bands: int =
     coordinates = bands * rows
     least = share - 6 * (share * (1 - share) / coordinates) ** 0.5 if agreement is None else agreement
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
-    base = cut(sketches(docs, bands, rows, size, seed), "near-sketches")
+    with small_batches(docs.sparkSession):
+        base = cut(sketches(docs, bands, rows, size, seed), "near-sketches")
     worded = base.where("fp is not null and doc_id is not null")
     # one row of each class goes on; the class takes part under its fingerprint, its smallest doc_id is put in at the end
     heads = cut(worded.groupBy("fp").agg(F.min(F.struct("doc_id", "_text", "n_shingles")).alias("h"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("fp", "h.*", "bands", "sketch"), "near-heads")
@@ -307,6 +308,7 @@ def _components(docs: DataFrame, percent: int = 85, size: int = 5, bands: int =
 def _sets(classes: DataFrame, heads: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Shingle sets of the classes named, and of no others, each from the text of its first row."""
     needed = cut(classes.distinct().join(heads.select("fp", "doc_id", "_text"), "fp").select("doc_id", "_text"), "near-needed")
-    sets = cut(shingle_sets(docs.join(small(needed), ["doc_id", "_text"], "left_semi"), size).dropDuplicates(["fp"]), "near-sets")
+    with small_batches(docs.sparkSession):
+        sets = cut(shingle_sets(docs.join(small(needed), ["doc_id", "_text"], "left_semi"), size).dropDuplicates(["fp"]), "near-sets")
     release(needed)
     return sets

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import cut, free_names, release, small, tidy
+from lodestone.llm.shared import cut, free_names, release, small, small_batches, tidy
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -136,7 +136,7 @@ def _tokens(texts: list[str]) -> tuple[_Numbered, _Numbered]:
     return pieces, _Numbered([TOKEN.findall(p) for p in pieces.kinds])
 
 
-def _slices(texts: list[str], most_chars: int = 4 << 20) -> Iterator[slice]:
+def _slices(texts: list[str], most_chars: int = 2 << 20) -> Iterator[slice]:
     """Runs of texts of at most ``most_chars`` characters together, or of one longer text."""
     lo = held = 0
     for i, text in enumerate(texts):
@@ -191,6 +191,7 @@ def gram_counts(parted: DataFrame, most_grams: int = 400_000) -> DataFrame:
                     own = seen.setdefault(lang, {})
                     for g, times in zip(found, (n | trained << 44).tolist(), strict=True):
                         own[g] = own.get(g, 0) + times
+                    del pieces, words, of_words, found, n, trained  # else they stay while the next texts are cut
                     if sum(map(len, seen.values())) > most_grams:
                         yield from flush()
         yield from flush()
@@ -308,12 +309,14 @@ def scored(parted: DataFrame, grams: DataFrame, own: set[str], hot_grams: int) -
                         tokens = np.concatenate([words.ids[words.begins[p] : words.ends[p]] for p in mine[lacking[mine]].tolist()])
                         kinds, n = np.unique(tokens[missing[tokens]], return_counts=True)
                         missed[spots[doc]], times[spots[doc]] = [words.kinds[i] for i in kinds], n.tolist()
+                    del pieces, words
             yield batch[["doc_id", "lang", "h", "part"]].assign(model=models, n_symbols=symbols, logp=total, worst_word=worst, missed=missed, times=times)
 
     # doc_id travels as a string: pandas would turn a long column with nulls into doubles
     keyed = parted.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.xxhash64("lang", "text").alias("h"), "part", "text")
     made = keyed.mapInPandas(tidy(score), "doc_id string, lang string, h long, part int, model string, n_symbols long, logp double, worst_word double, missed array<string>, times array<int>")
-    base = cut(made.withColumn("row", F.monotonically_increasing_id()), "kn-documents")
+    with small_batches(parted.sparkSession):
+        base = cut(made.withColumn("row", F.monotonically_increasing_id()), "kn-documents")
     misses = base.where(F.size("missed") > 0).select("row", "model", F.explode(F.arrays_zip("missed", "times")).alias("m")).select("row", "model", F.col("m.missed").alias("word"), F.col("m.times").alias("times"))
     of_word = misses.select("model", "word").distinct().select("model", "word", F.explode(gram_column(F.col("word"))).alias("gram"))
     words = of_word.join(grams.select("model", "gram", "logp"), ["model", "gram"]).groupBy("model", "word").agg(F.sum("logp").alias("w"))
@@ -392,7 +395,8 @@ def limits_of_rare(of_docs: DataFrame, pooled: DataFrame, quantile: float) -> Da
 def _judged(docs: DataFrame, labels: DataFrame, quantile: float, most_trusted: int, hot_grams: int) -> DataFrame:
     """doc_id, lang, h, model, n_symbols, perplexity, worst_word, high, word_high, kept for each row of ``docs``."""
     parted = with_parts(docs, labels, most_trusted)
-    counts = cut(gram_counts(parted), "kn-grams")
+    with small_batches(docs.sparkSession):
+        counts = cut(gram_counts(parted), "kn-grams")
     trained = {r["lang"] for r in counts.groupBy("lang").agg(F.sum("trained").alias("n")).where(F.col("n") >= LEAST_TRAINED).collect()}  # a row for each language
     held = parted.where("part = 2")
     sizes = {r["lang"]: r["n"] for r in held.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +105,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs run within send Python batches of ``rows`` rows at most; whole texts in Spark's 10,000 fill both the executor and its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def tidy(run):
     """A function on a task's batches that, when it has put out its last one, gives the memory it freed back to the system.
 
@@ -123,14 +137,16 @@ def tidy(run):
     return wrapped
 
 
-def keep_rows(docs: DataFrame, decider) -> DataFrame:
-    """The rows of ``docs``, with all columns as they are, for which ``decider()(record batch)`` gives true."""
+def keep_rows(docs: DataFrame, decider, rows: int = 1000) -> DataFrame:
+    """The rows of ``docs``, with all columns as they are, for which ``decider()(record batch)`` gives true; it gets ``rows`` rows at a time at most."""
 
     def run(batches):
         import pyarrow as pa
 
         decide = decider()
         for batch in batches:
-            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+            for lo in range(0, batch.num_rows, rows):
+                some = batch.slice(lo, rows)
+                yield some.filter(pa.array(decide(some), pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

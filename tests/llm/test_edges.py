@@ -255,3 +255,41 @@ def test_shared_folder_must_be_named_on_a_cluster():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(cluster)
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    from lodestone.llm import minhash, ngram_quality
+    from lodestone.llm.shared import keep_rows, small_batches
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), small_batches(spark, 70):
+        sizes = spark.range(1000).coalesce(1).mapInPandas(lambda bs: (b.assign(id=len(b)) for b in bs), "id long").distinct().collect()
+        raise ValueError
+    assert max(r["id"] for r in sizes) == 70 and spark.conf.get(name) == before
+
+    def watch(module):
+        plain = module.cut
+
+        def cut(df, at):
+            seen[at] = int(spark.conf.get(name))
+            return plain(df, at)
+
+        monkeypatch.setattr(module, "cut", cut)
+
+    watch(ngram_quality)
+    watch(minhash)
+    df = docs_of(spark, [(i, f"some words of text number {i} and more", "s") for i in range(40)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert ngram_quality.quality(df, labels).count() == 40
+    assert minhash.drop_near_duplicates(df, percent=80, size=5, bands=32, rows=4).count() >= 1
+    assert [seen[x] for x in ("kn-grams", "kn-documents", "near-sketches")] == [2000] * 3 and spark.conf.get(name) == before
+
+    def decider():
+        def decide(batch):
+            assert batch.num_rows <= 1000
+            return [x % 2 == 0 for x in batch.column("id").to_pylist()]
+
+        return decide
+
+    assert sorted(r["id"] for r in keep_rows(spark.range(3500).coalesce(1), decider).collect()) == list(range(0, 3500, 2))
