@@ -4,6 +4,8 @@ Texts are sequences of words (runs of letters, digits and underscores, in lower
 pointer: at each step it puts out the word there and moves on or not as a random bit of (step, word) says, so two
 windows a few edits apart put out sequences that agree in most places again and again. Tables keyed by a few sampled
 places of a walk find the items a window may be near to; a Sellers alignment decides each.
+
+Only windows near a piece of an item are walked: of d + 1 pieces of an item, d edits leave one as it is.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ _WORD = re.compile(r"\w+")
 UNKNOWN, END = 0, 1
 #: Texts searched together: what a task holds grows with their words, and fewer take more time. Results are the same.
 SLICE, SMALL_SLICE = 5000, 1000
+#: Words of a piece of an item that are looked up at most, and places of texts that are dealt with together.
+MOST_GRAM, CHUNK = 4, 1 << 16
 FOUND = "doc_id long, item_id long, distance int, item_words int, start_word long"
 
 
@@ -48,6 +52,27 @@ def walks(symbols: np.ndarray, starts: np.ndarray, n: int, steps: int, seed: int
     return out
 
 
+def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans of such sizes, one span after the other."""
+    return np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+
+
+def _joined(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in keys and in the sorted table that hold the same key."""
+    first, last = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
+    hit = np.flatnonzero(last > first)
+    times = (last - first)[hit]
+    return np.repeat(hit, times), _spans(first[hit], times)
+
+
+def _grams(symbols: np.ndarray, most: int):
+    """g and, for each place, the key of the g symbols from there, for g up to ``most``."""
+    symbols, key = symbols.astype(np.uint64), np.zeros(len(symbols), np.uint64)
+    for g in range(1, min(most, len(symbols)) + 1):
+        key = (key[: len(symbols) - g + 1] + symbols[g - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        yield g, key
+
+
 class Items:
     """The benchmark, ready for search: vocabulary, and for each length the tables of its items' walks.
 
@@ -76,6 +101,31 @@ class Items:
         for n, of in self.by_length.items():
             self.own_words[n] = np.zeros(len(self.vocabulary) + 2, np.uint8)
             self.own_words[n][np.concatenate([self.items[k][1] for k in of])] = 1
+        self.pieces = self._pieces()
+
+    def _piece(self, n: int) -> int:
+        """Words of a piece of an item of n words that are looked up; 0 if the edits allowed may leave no piece."""
+        return min(n // (most_edits(n, self.share) + 1), MOST_GRAM)
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.uint64, np.ndarray, np.ndarray]]:
+        """For each g the g words that begin pieces: a table of which leading bits occur, their shift, sorted keys and their items' lengths."""
+        keys: dict[int, list[np.ndarray]] = {}
+        for n, of in self.by_length.items():
+            if g := self._piece(n):
+                begins = np.arange(most_edits(n, self.share) + 1) * n // (most_edits(n, self.share) + 1)
+                found = [key[begins] for k in of for size, key in _grams(self.items[k][1], g) if size == g]
+                unique = np.unique(np.concatenate(found))
+                keys.setdefault(g, []).append(np.stack([unique, np.full(len(unique), n, np.uint64)]))
+        pieces = {}
+        for g, found in keys.items():
+            key, lengths = np.concatenate(found, axis=1)
+            order = np.argsort(key, kind="stable")
+            bits = int(np.clip(np.ceil(np.log2(64 * len(key))), 16, 22))
+            shift = np.uint64(64 - bits)
+            occurs = np.zeros(1 << bits, bool)
+            occurs[key >> shift] = True
+            pieces[g] = occurs, shift, key[order], lengths[order].astype(np.int64)
+        return pieces
 
     def _tables_for(self, recall: float, sampled: int) -> int:
         """Tables needed: with p, the chance that all sampled places of one agree at the most edits, 1 - (1 - p) ** tables >= recall."""
@@ -116,31 +166,67 @@ class Items:
             tables.append((key[order], np.array(of)[order]))
         return tables
 
+    def _places(self, symbols: np.ndarray) -> dict[int, np.ndarray]:
+        """For each length the places, ascending, at which the text goes on like a piece of an item of that length."""
+        places, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(symbols), CHUNK):
+            for g, key in _grams(symbols[lo : lo + CHUNK + MOST_GRAM - 1], MOST_GRAM):
+                if g in self.pieces:
+                    occurs, shift, keys, of = self.pieces[g]
+                    maybe = np.flatnonzero(occurs[key[:CHUNK] >> shift])
+                    at, spots = _joined(key[maybe], keys)
+                    places.append(lo + maybe[at])
+                    lengths.append(of[spots])
+        place, length = np.concatenate(places), np.concatenate(lengths)
+        order = np.argsort(length, kind="stable")  # all pieces of a length have the same g
+        found, first = np.unique(length[order], return_index=True)
+        return dict(zip(found.tolist(), np.split(place[order], first[1:]), strict=False))
+
+    def _windows(self, symbols: np.ndarray, n: int, places: np.ndarray | None):
+        """Starts of windows of n symbols, some at a time: those near a place (all for None) that hold enough words of items of their length."""
+        d = most_edits(n, self.share)
+        first, last = np.zeros(1, np.int64), np.full(1, len(symbols))
+        if places is not None:
+            first, last = np.maximum(places - 2 * n - d, 0), np.minimum(places + n + 1, len(symbols))
+            new = np.flatnonzero(first[1:] > last[:-1]) + 1
+            first, last = first[np.append(0, new)], last[np.append(new - 1, len(last) - 1)]
+        # long stretches are cut, short ones taken together
+        most = max(CHUNK, n)
+        cuts = -(-(last - first) // most)
+        first = np.repeat(first, cuts) + _spans(np.zeros(len(cuts), np.int64), cuts) * most
+        sizes = np.minimum(np.repeat(last, cuts) - first, most)
+        # sums may wrap around: their differences over n words are right in any type that holds n
+        kind = np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.int64
+        groups = np.cumsum(sizes + n) // (2 * most)
+        for lo, hi in zip(*(np.searchsorted(groups, np.unique(groups), side) for side in ("left", "right")), strict=True):
+            a, size = first[lo:hi], sizes[lo:hi]
+            # the last symbol is END, no item's word: windows that reach beyond it hold nothing there
+            read = np.minimum(_spans(a, size + n - 1), len(symbols) - 1)
+            known = np.concatenate([np.zeros(1, kind), np.cumsum(self.own_words[n][symbols[read]], dtype=kind)])
+            at = _spans(np.cumsum(size + n - 1) - (size + n - 1), size)
+            yield _spans(a, size)[known[at + n] - known[at] >= n - d]
+
     def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and items that share a key in some table: starts and item numbers.
+        """Windows and items that share a key in some table: starts and item numbers. ``symbols`` end with END.
 
+        A stretch within d edits of an item holds one of any d + 1 pieces of the item as it is. Windows without one from n
+        words before their start to 2 n + d behind it are left out first: no stretch that is aligned because of them can match.
         A window within d edits of an item holds at least n - d of its words, each at most as often as the item does.
-        Windows that hold fewer words of all items of their length are left out first, pairs that share fewer
-        words last; neither loses any.
+        Windows that hold fewer words of all items of their length are left out next, pairs that share fewer
+        words last; none loses any.
         """
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        places = self._places(symbols)
         for n, tables in self.index.items():
-            need = n - most_edits(n, self.share)
-            # sums may wrap around: their differences over n words are right in any type that holds n
-            kind = np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.int64
-            known = np.concatenate([np.zeros(1, kind), np.cumsum(self.own_words[n][symbols], dtype=kind)])
-            ends = np.minimum(np.arange(n, len(symbols) + n, dtype=np.int64), len(symbols)) if len(symbols) < n else None
-            held = known[ends] - known[:-1] if ends is not None else np.concatenate([known[n:] - known[:-n], known[-1] - known[len(symbols) - n + 1 : -1]])
-            starts = np.flatnonzero(held >= need)
-            for lo in range(0, len(starts), 1 << 16):
-                part = starts[lo : lo + (1 << 16)]
-                for key, (keys, of) in zip(self._keys(symbols, part, n), tables, strict=True):
-                    first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    hit = np.flatnonzero(last > first)
-                    if len(hit):
-                        times = (last - first)[hit]
-                        spots = np.repeat(first[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                        found.append((np.repeat(part[hit], times), of[spots]))
+            if n not in places and self._piece(n):
+                continue
+            for starts in self._windows(symbols, n, places.get(n)):
+                for lo in range(0, len(starts), 1 << 16):
+                    part = starts[lo : lo + (1 << 16)]
+                    for key, (keys, of) in zip(self._keys(symbols, part, n), tables, strict=True):
+                        hit, spots = _joined(key, keys)
+                        if len(hit):
+                            found.append((part[hit], of[spots]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts, of = (np.concatenate([f[i] for f in found]) for i in (0, 1))

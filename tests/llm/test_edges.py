@@ -293,3 +293,29 @@ def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
         return decide
 
     assert sorted(r["id"] for r in keep_rows(spark.range(3500).coalesce(1), decider).collect()) == list(range(0, 3500, 2))
+
+
+def test_only_windows_near_a_piece_of_an_item_are_walked(monkeypatch):
+    from lodestone.llm import decontaminate as D
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([1, 2, 4, 5, 9, 15, 33, 59, 120] * 3)]
+    items = D.Items(texts, 0.2, 1, 0.999, 11)
+    walked, walks = [], D.walks
+    monkeypatch.setattr(D, "walks", lambda symbols, starts, *a: walked.append(len(starts)) or walks(symbols, starts, *a))
+    foreign = [" ".join(rng.choices(words, k=2000)) for _ in range(20)]  # the items' words in another order
+    list(D._matches(items, foreign))
+    assert sum(walked) < 0.1 * 40_000 * items.WALKS
+    hidden = []
+    for k, (_, text) in enumerate(texts):  # all pieces but one hold an edit
+        w = text.split()
+        n, d = len(w), len(w) // 5
+        whole = rng.randrange(d + 1)
+        for piece in {*range(d + 1)} - {whole}:
+            w[rng.randrange(piece * n // (d + 1), (piece + 1) * n // (d + 1))] = "new"
+        hidden.append(f"{foreign[k % 20]} {' '.join(w)} {foreign[-1 - k % 20]}")
+    for chunk in (1 << 16, 500):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        found = {(t, k): d for t, k, d, _ in D._matches(items, hidden)}
+        assert all(found[k, k] <= len(text.split()) // 5 for k, (_, text) in enumerate(texts))
